@@ -197,10 +197,8 @@ def post_queries() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(post_queries())
-    try:
-        from riskspark.plans import oracle_more
+    from riskspark.plans import oracle_features, oracle_more
 
-        out.update(oracle_more.more_queries())
-    except ImportError:
-        pass
+    out.update(oracle_more.more_queries())
+    out.update(oracle_features.feature_queries())
     return out

@@ -212,10 +212,8 @@ def registry() -> dict[str, Query]:
         "softmax3": q_softmax3,
         "json_field": q_json_field,
     }
-    try:
-        from riskspark.plans import queries_more
+    from riskspark.plans import queries_features, queries_more
 
-        out.update(queries_more.registry())
-    except ImportError:
-        pass
+    out.update(queries_more.registry())
+    out.update(queries_features.registry())
     return out
