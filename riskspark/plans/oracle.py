@@ -197,8 +197,9 @@ def post_queries() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(post_queries())
-    from riskspark.plans import oracle_features, oracle_more
+    from riskspark.plans import oracle_features, oracle_more, oracle_training
 
     out.update(oracle_more.more_queries())
     out.update(oracle_features.feature_queries())
+    out.update(oracle_training.training_queries())
     return out

@@ -212,8 +212,9 @@ def registry() -> dict[str, Query]:
         "softmax3": q_softmax3,
         "json_field": q_json_field,
     }
-    from riskspark.plans import queries_features, queries_more
+    from riskspark.plans import queries_features, queries_more, queries_training
 
     out.update(queries_more.registry())
     out.update(queries_features.registry())
+    out.update(queries_training.registry())
     return out
