@@ -33,7 +33,6 @@ from riskspark.functions import patterns as P
 from riskspark.functions import text as X
 from riskspark.plans.strategy import join_small
 
-_SPACE = F.lit(" ")
 
 
 def word_terms(text) -> Column:
@@ -41,13 +40,13 @@ def word_terms(text) -> Column:
     toks = X.tokens(text, P.TOKEN2)
     n = F.size(toks)
     bigrams = F.when(n >= 2, F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1),
-                                          lambda a, b: F.concat(a, _SPACE, b))).otherwise(F.array().cast("array<string>"))
+                                          lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(toks, bigrams)
 
 
 def char_wb_terms(word: Column, lo: int = 3, hi: int = 5) -> Column:
     """ARRAY of char n-grams of one word (padded with one space each side)."""
-    padded = F.concat(_SPACE, word, _SPACE)
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
     plen = F.length(padded)
     return F.flatten(F.transform(
         F.sequence(F.lit(lo), F.least(F.lit(hi), plen)),

@@ -283,3 +283,24 @@ def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf
     probs = [arr[labels.index(lab)] if lab in labels else F.lit(0.0) for lab in rules.LEVELS]
     keep = [c for c in df.columns]
     return scored.select(*keep, F.array(*probs).alias(out))
+
+
+def fit_or_load(pipeline, train: DataFrame, key: str):
+    """Fit ``pipeline`` once and keep the model in the shared checkpoint
+    folder (``spark.checkpoint.dir``); later calls with the same key load
+    it instead of refitting."""
+    import hashlib
+    import os
+
+    from pyspark.ml import PipelineModel
+
+    from riskspark.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(train.sparkSession)
+    path = os.path.join(root, "models", hashlib.sha1(key.encode()).hexdigest()[:16])
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001 - not saved yet
+        model = pipeline.fit(train)
+        model.write().overwrite().save(path)
+        return PipelineModel.load(path)

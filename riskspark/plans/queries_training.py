@@ -68,7 +68,7 @@ def _fit_v2(spark, sf_dir):
     split = _strat(spark, sf_dir)
     TN.require_rows(split)
     train = TN.balanced_weights(split.filter(F.col("split") == "train"))
-    return TN.pipeline_v2().fit(train), split
+    return TN.fit_or_load(TN.pipeline_v2(), train, f"v2|{sf_dir}"), split
 
 
 def q_train_v1(spark, sf_dir):

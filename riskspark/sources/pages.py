@@ -153,6 +153,9 @@ def hashtag_sample(pages: DataFrame, limit: int = rules.VIDEOS_PER_HASHTAG, cont
                     F.col("at.page_id").alias("page_id"), F.col("at.pos").alias("pos")))
 
 
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 def parse_html_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS) -> DataFrame:
     """Exact-parser variant of the caption extraction: ``html.parser`` per
     row inside ``mapInPandas`` (Arrow batches, one pass, no shuffle)."""
@@ -169,6 +172,8 @@ def parse_html_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS) ->
                 self.open = {}
 
             def handle_starttag(self, tag, attrs):
+                if tag in _VOID:
+                    return
                 a = dict(attrs)
                 self.stack.append(tag)
                 for i, (t, k, v) in enumerate(sels):
@@ -178,6 +183,8 @@ def parse_html_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS) ->
                         self.open[i] = len(self.stack)
 
             def handle_endtag(self, tag):
+                if tag in _VOID:
+                    return
                 depth = len(self.stack)
                 for i, dpt in list(self.open.items()):
                     if dpt == depth:
