@@ -25,3 +25,7 @@ MENTION = "@" + WORD + "+"
 HASHTAG = "#" + WORD + "+"
 # Pictographs, dingbats, variation selector and zero-width joiner.
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
+
+# The same whitespace set as a plain string, for trim(str, chars).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")

@@ -29,20 +29,32 @@ def brightness(gray: Column) -> Column:
     return F.aggregate(gray, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double") / F.size(gray).cast("double")
 
 
-def laplacian_variance(gray: Column, width: Column, height: Column) -> Column:
-    """Population variance of the Laplacian [0 1 0; 1 -4 1; 0 1 0]."""
+def laplacian_values(gray: Column, width: Column, height: Column) -> Column:
+    """The Laplacian [0 1 0; 1 -4 1; 0 1 0] of every pixel (row-major)."""
     def px(r, c):
         return F.element_at(gray, (_refl(r, height) * width + _refl(c, width) + F.lit(1)).cast("int")).cast("double")
 
-    n = width * height
-
     def lap(k):
         r, c = F.floor(k / width).cast("int"), k % width
         return px(r - 1, c) + px(r + 1, c) + px(r, c - 1) + px(r, c + 1) - F.lit(4.0) * px(r, c)
 
-    values = F.transform(F.sequence(F.lit(0), n - F.lit(1)), lap)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n.cast("double")
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n.cast("double")
+    return F.transform(F.sequence(F.lit(0), width * height - F.lit(1)), lap)
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values).cast("double")
+
+
+def with_blur(df: DataFrame, gray: str = "gray", out: str = "blur") -> DataFrame:
+    """Adds the population variance of the Laplacian (two passes, like
+    NumPy): the values and their mean are columns of their own, so each is
+    computed once per frame."""
+    return (df.withColumn("__lap", laplacian_values(F.col(gray), F.col("width"), F.col("height")))
+              .withColumn("__mu", _mean(F.col("__lap")))
+              .withColumn(out, F.aggregate(F.col("__lap"), F.lit(0.0),
+                                           lambda a, x: a + (x - F.col("__mu")) * (x - F.col("__mu")))
+                          / F.size(F.col("__lap")).cast("double"))
+              .drop("__lap", "__mu"))
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -52,10 +64,8 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
 
 def frame_stats(frames: DataFrame) -> DataFrame:
     """(video_id, frame, brightness, blur) for every frame."""
-    return frames.select(
-        "video_id", "frame", brightness(F.col("gray")).alias("brightness"),
-        laplacian_variance(F.col("gray"), F.col("width"), F.col("height")).alias("blur"),
-    )
+    b = with_blur(frames.select("video_id", "frame", "width", "height", "gray"))
+    return b.select("video_id", "frame", brightness(F.col("gray")).alias("brightness"), "blur")
 
 
 def atmosphere(blur: Column, bright: Column, motion: Column) -> dict[str, Column]:
@@ -74,9 +84,8 @@ def frame_features(frames: DataFrame, places: int | None = 6) -> DataFrame:
     cur = frames.select("video_id", "frame", "width", "height", "gray").filter(F.col("frame") >= 1)
     prev = frames.select("video_id", (F.col("frame") + F.lit(1)).alias("frame"), F.col("gray").alias("prev"))
     pairs = cur.join(prev, ["video_id", "frame"], "inner")
-    per_frame = pairs.select(
-        "video_id",
-        laplacian_variance(F.col("gray"), F.col("width"), F.col("height")).alias("blur"),
+    per_frame = with_blur(pairs).select(
+        "video_id", "blur",
         brightness(F.col("gray")).alias("brightness"),
         mean_abs_diff(F.col("prev"), F.col("gray")).alias("motion"),
     )

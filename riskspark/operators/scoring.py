@@ -70,16 +70,25 @@ def text_risk(hashtag, sentiment, caption, transcript,
               profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Column:
     """clamp(adjust(base(tag), sentiment) + boost(hits(lower(caption+" "+transcript))))."""
     hits = X.keyword_hits(merged_text(caption, transcript), profile.keywords_v2)
+    return text_risk_from(hashtag, sentiment, hits, profile)
+
+
+def text_risk_from(hashtag, sentiment, hits, profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Column:
     base = adjust_with_sentiment(tag_base_risk(hashtag, profile), sentiment)
     return N.clamp01(base + keyword_boost(hits))
 
 
 # --- caption-level percent score -------------------------------------------
 
+def keyword_risk_from_hits(hits) -> Column:
+    """0 if no hits else min(1, hits / 3)."""
+    h = _c(hits)
+    return F.when(h == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), h.cast("double") / F.lit(3.0)))
+
+
 def keyword_risk_v1(text, profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Column:
     """0 if no hits else min(1, hits / 3)."""
-    hits = X.keyword_hits(text, profile.keywords_v1)
-    return F.when(hits == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), hits.cast("double") / F.lit(3.0)))
+    return keyword_risk_from_hits(X.keyword_hits(text, profile.keywords_v1))
 
 
 def engagement_risk(likes, comments) -> Column:
@@ -92,9 +101,19 @@ def engagement_risk(likes, comments) -> Column:
 
 def risk_percent(caption, neg, like_raw, comment_raw, hashtag,
                  profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Column:
-    """clamp(.5 neg + .3 kw + .2 engagement + .15 bonus tag) * 100, 2 places."""
-    kw = keyword_risk_v1(caption, profile)
-    eng = engagement_risk(X.parse_count(like_raw), X.parse_count(comment_raw))
+    """clamp(.5 neg + .3 kw + .2 engagement + .15 bonus tag) * 100, 2 places.
+
+    For whole tables prefer ``with_risk_percent``, which computes the parsed
+    counts and hits once as columns before the arithmetic."""
+    return risk_percent_from(X.keyword_hits(caption, profile.keywords_v1), neg,
+                             X.parse_count(like_raw), X.parse_count(comment_raw), hashtag, profile)
+
+
+def risk_percent_from(hits, neg, likes, comments, hashtag,
+                      profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Column:
+    """The percent score from keyword hits (v1 list) and parsed counts."""
+    kw = keyword_risk_from_hits(hits)
+    eng = engagement_risk(likes, comments)
     tag = F.lower(_c(hashtag))
     bonus = F.when(tag.isin(*profile.bonus_tags), F.lit(rules.BONUS_TAG_VALUE)).otherwise(F.lit(0.0))
     raw = (F.lit(rules.PCT_W_NEG) * _c(neg) + F.lit(rules.PCT_W_KEYWORD) * kw
@@ -211,18 +230,32 @@ def fuse(text, rf, video) -> Column:
 
 # --- jobs --------------------------------------------------------------------
 
+def with_risk_percent(df: DataFrame, caption: str, neg: str, like_raw: str, comment_raw: str, hashtag: str,
+                      out: str = "risk_yuzdesi", profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> DataFrame:
+    """Adds the percent score.  The parsed counts and the keyword hits are
+    columns of their own first: each is referenced several times by the
+    arithmetic, so Catalyst keeps that projection separate and evaluates
+    the count parser and the 18 substring tests once per row."""
+    staged = df.withColumns({
+        "__hits1": X.keyword_hits(F.col(caption), profile.keywords_v1),
+        "__likes": X.parse_count(like_raw),
+        "__comments": X.parse_count(comment_raw),
+    })
+    return staged.withColumn(out, risk_percent_from("__hits1", neg, "__likes", "__comments", hashtag, profile)).drop(
+        "__hits1", "__likes", "__comments")
+
+
 def collect_posts(raw: DataFrame, profile: rules.RiskProfile = rules.DEFAULT_PROFILE,
                   make_scorer: Callable | None = None) -> DataFrame:
     """Collector step: caption sentiment and the 0-100 percent score from the
     *raw* caption, then the stored caption is the cleaned one."""
     scored = S.score_sentiment(raw, "caption_raw", make_scorer, labels=rules.SENTIMENT_WORDS,
                                prefix="", profile=profile)
-    pct = risk_percent("caption_raw", "neg", "like_raw", "comment_raw", "hashtag", profile)
+    scored = with_risk_percent(scored, "caption_raw", "neg", "like_raw", "comment_raw", "hashtag", profile=profile)
     return scored.select(
         "post_id", "hashtag",
         X.clean_caption("caption_raw").alias("caption"),
-        "like_raw", "comment_raw", "sentiment", "neg", "neu", "pos",
-        pct.alias("risk_yuzdesi"),
+        "like_raw", "comment_raw", "sentiment", "neg", "neu", "pos", "risk_yuzdesi",
         "transcript", "summary", "video_url", "face_detected", "face_emotion",
         "face_emotion_score", "visual_happy", "visual_sad", "visual_angry", "visual_calm",
         "visual_blur", "visual_brightness", "visual_motion",
@@ -252,10 +285,11 @@ def score_posts(posts: DataFrame, rf_probability: Column | None = None,
         raise ValueError("score_posts needs rf_probability or rf_model")
     df = S.score_sentiment(df, "__merged", make_scorer, prefix="__s_", profile=profile)
     df = df.withColumns({
-        "__text": text_risk("hashtag", "__s_sentiment", "caption", "transcript", profile),
+        "__hits2": X.keyword_hits(merged_text("caption", "transcript"), profile.keywords_v2),
         "__rfp": rf_probability,
         "__video": video_risk(posts, profile),
     })
+    df = df.withColumn("__text", text_risk_from("hashtag", "__s_sentiment", "__hits2", profile))
     p = [F.col("__rfp")[i] for i in range(3)]
     df = df.withColumns({
         "__rf": rf_score(p[0], p[1], p[2]),

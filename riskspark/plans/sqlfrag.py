@@ -29,7 +29,7 @@ def lst(values) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(P.STRIP)}, '', 'g')"
+    return f"trim({x}, {q(P.WS_CHARS)})"
 
 
 def collapse(x: str) -> str:
