@@ -13,11 +13,15 @@ SQL):
 * weight: tf (or ``1 + ln tf`` when sublinear) times ``ln((1+N)/(1+df)) + 1``,
   L2-normalised per document.
 
-Plan: explode -> count per (doc, term) (shuffled on both, partial
-aggregation) -> document frequency per term -> vocabulary selection (a
-top-V: per-partition top-V merged, V rows) -> join back with the vocabulary
-broadcast only after its byte size has been measured -> per-document norm
-with a window on doc (a document holds at most V kept terms).
+Plan (one query): explode -> count per (doc, term) (shuffled on both,
+partial aggregation) -> document frequency per term -> vocabulary
+selection (a top-V: per-partition top-V merged, V rows) -> join back.  The
+join is a plain equi-join: adaptive execution measures the finished
+vocabulary stage and turns the join into a broadcast join when it is under
+``spark.sql.adaptive.autoBroadcastJoinThreshold`` (a sort-merge join
+otherwise), and the counts exchange is reused, not recomputed.  The
+per-document norm is a window on doc (a document holds at most V kept
+terms).
 """
 
 from __future__ import annotations
@@ -31,8 +35,6 @@ from riskspark import rules
 from riskspark.functions import numeric as N
 from riskspark.functions import patterns as P
 from riskspark.functions import text as X
-from riskspark.plans.strategy import join_small
-
 
 
 def word_terms(text) -> Column:
@@ -100,8 +102,8 @@ def tfidf(corpus: DataFrame, doc_col: str, text_col: str, spec: TfidfSpec,
     if n_docs is None:
         n_docs = corpus.select(doc_col).count()
     counts = term_counts(corpus, doc_col, text_col, spec.kind)
-    vocab = vocabulary(counts, n_docs, spec, doc_col).cache()  # V rows: measured, then joined
-    kept = join_small(counts, vocab.select("term", "idf"), "term")
+    vocab = vocabulary(counts, n_docs, spec, doc_col)
+    kept = counts.join(vocab.select("term", "idf"), "term")
     tf = F.col("tf").cast("double")
     if spec.sublinear:
         tf = F.lit(1.0) + F.log(tf)

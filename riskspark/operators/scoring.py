@@ -279,7 +279,10 @@ def score_posts(posts: DataFrame, rf_probability: Column | None = None,
     if rf_model is not None:
         from riskspark.operators.training import rf_probability_columns
 
-        df = rf_probability_columns(rf_model, df.withColumn("__model_text", F.col("__merged")), "__model_text")
+        from riskspark.operators.features import model_text
+
+        # the same text expression the model was trained on (no train/serve skew)
+        df = rf_probability_columns(rf_model, df.withColumn("__model_text", model_text(posts)), "__model_text")
         rf_probability = F.col("__rf_probs")
     if rf_probability is None:
         raise ValueError("score_posts needs rf_probability or rf_model")

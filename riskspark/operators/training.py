@@ -85,8 +85,13 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
                      test_share: float = rules.SPLIT_TEST_SHARE, seed: int = rules.SPLIT_SEED) -> DataFrame:
     """Adds ``split``: per label, the ceil(share * n_label) rows with the
     smallest (u, id) are 'test'."""
+    from pyspark import StorageLevel
+
     h = df.withColumn("__u", hash_u32(id_col, seed)).withColumn("__b", F.floor(F.col("__u") / F.lit(BUCKETS)))
-    hist = h.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("n")).collect()
+    # the two counting passes need only (id, label, u); keep that narrow
+    # projection for them and release it once the thresholds are known
+    narrow = h.select(id_col, label_col, "__u", "__b").persist(StorageLevel.MEMORY_AND_DISK)
+    hist = narrow.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("n")).collect()
     per_label: dict = {}
     for r in hist:
         per_label.setdefault(r[label_col], []).append((r["__b"], r["n"]))
@@ -110,7 +115,7 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
     thresholds = {}
     if edge is not None:
         w = Window.partitionBy(label_col, "__b").orderBy("__u", id_col)
-        ranked = h.filter(edge).withColumn("__r", F.row_number().over(w))
+        ranked = narrow.filter(edge).withColumn("__r", F.row_number().over(w))
         want = None
         for lab, (b, r) in cut.items():
             if r <= 0:
@@ -119,6 +124,7 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
             want = c if want is None else (want | c)
         for row in ranked.filter(want).select(label_col, "__u", id_col).collect():
             thresholds[row[label_col]] = (row["__u"], row[id_col])
+    narrow.unpersist()
     test = F.lit(False)
     for lab, (tu, tid) in thresholds.items():
         below = (F.col("__u") < F.lit(tu)) | ((F.col("__u") == F.lit(tu)) & (F.col(id_col) <= F.lit(tid)))

@@ -70,7 +70,7 @@ def q_oov_summary(spark, sf_dir):
     train = labelled_corpus(spark, sf_dir)
     vocab = FE.vocabulary(FE.term_counts(train, "post_id", "text", "word"), train.count(), FE.V2_WORD, "post_id")
     counts = FE.term_counts(c, "post_id", "text", "word")
-    known = FE.join_small(counts, vocab.select("term"), "term", "left_semi")
+    known = counts.join(vocab.select("term"), "term", "left_semi")
     per_doc = FE.nnz(known.withColumnRenamed("tf", "weight"), c, "post_id")
     unknown = counts.select("term").distinct().join(vocab.select("term"), "term", "left_anti")
     n_unknown = unknown.count()  # one bounded scalar
