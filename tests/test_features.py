@@ -82,8 +82,11 @@ def test_min_max_df_pruning(spark):
     assert {r.term for r in vocab.collect()} == want
 
 
-def test_vocab_join_becomes_broadcast_at_run_time(spark):
+def test_vocab_broadcast_and_no_shuffle_of_terms(spark):
     w, _ = FE.tfidf(_corpus(spark), "doc", "text", FE.TfidfSpec("word", max_features=3))
     w.collect()
     plan = w._jdf.queryExecution().executedPlan().toString()  # the final adaptive plan
     assert "BroadcastHashJoin" in plan
+    # the only shuffles: corpus by doc (x2: counts for the vocabulary and for
+    # the weights), and document frequency by term -- none by (doc, term)
+    assert "hashpartitioning(doc, term" not in plan
