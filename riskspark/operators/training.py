@@ -207,7 +207,10 @@ def _char_sql(col: str) -> str:
 
 def pipeline_v1(text_col: str = "text", label_col: str = "label", trees: int = rules.V1_TREES,
                 max_depth: int = 30, seed: int = rules.SPLIT_SEED):
-    """Word TF-IDF (5,000 terms) + random forest.  Spark caps tree depth at 30."""
+    """Word TF-IDF (5,000 terms) + random forest.  Spark caps tree depth at 30.
+    The forest caches node ids and checkpoints them every 10 iterations into
+    the shared ``spark.checkpoint.dir``, so deep-tree lineage stays short and
+    survives lost executors."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer
@@ -219,7 +222,8 @@ def pipeline_v1(text_col: str = "text", label_col: str = "label", trees: int = r
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
         StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
-                               seed=seed, featureSubsetStrategy="sqrt"),
+                               seed=seed, featureSubsetStrategy="sqrt",
+                               cacheNodeIds=True, checkpointInterval=10),
     ])
 
 
@@ -233,7 +237,8 @@ def pipeline_v2(text_col: str = "text", label_col: str = "label", trees: int = r
                                     StringIndexer, VectorAssembler)
 
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
-                                seed=seed, featureSubsetStrategy="sqrt")
+                                seed=seed, featureSubsetStrategy="sqrt",
+                               cacheNodeIds=True, checkpointInterval=10)
     if weight_col:
         rf.setWeightCol(weight_col)
     return Pipeline(stages=[

@@ -158,6 +158,8 @@ FROM pages""",
         "dash_hashtags": with_dash("SELECT DISTINCT hashtag FROM view WHERE hashtag IS NOT NULL"),
         "dash_topk": with_dash(f"SELECT post_id, hashtag, mm_risk_score, mm_level FROM fv "
                                f"ORDER BY mm_risk_score DESC NULLS LAST, post_id LIMIT {QM.TOP_K}"),
+        "posts_head": with_dash(f"SELECT post_id, hashtag, caption, mm_risk_score, mm_level FROM view "
+                                f"ORDER BY post_id LIMIT {QM.HEAD_ROWS}"),
         "label_counts": O.with_scored("SELECT rf_risk_label AS label, count(*) AS n FROM scored GROUP BY rf_risk_label"),
         "score_describe": O.with_scored(
             f"SELECT count(rf_risk_score) AS count, {r6('avg(rf_risk_score)')} AS mean, "

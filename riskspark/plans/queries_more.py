@@ -20,6 +20,7 @@ FIXTURE_CAPTION_SELECTORS = (("h1", None, None), ("title", None, None))
 DASH_FILTER_TAGS = ("depression", "suicide", "Selfharm")
 DASH_SEARCH = "the|und"
 TOP_K = 10
+HEAD_ROWS = 5
 
 
 def _pages(spark, sf_dir):
@@ -90,6 +91,13 @@ def q_dash_topk(spark, sf_dir):
     return RP.top_k(RP.filter_hashtags(_view(spark, sf_dir)), TOP_K)
 
 
+def q_posts_head(spark, sf_dir):
+    """The first rows of the scored table in post order (a head() with a
+    stated order: TakeOrderedAndProject, k rows per partition merged)."""
+    return _view(spark, sf_dir).orderBy("post_id").limit(HEAD_ROWS).select(
+        "post_id", "hashtag", "caption", "mm_risk_score", "mm_level")
+
+
 def q_label_counts(spark, sf_dir):
     from riskspark.plans.queries import scored_posts
 
@@ -119,6 +127,7 @@ def registry():
         "dash_hashtag": q_dash_hashtag,
         "dash_hashtags": q_dash_hashtags,
         "dash_topk": q_dash_topk,
+        "posts_head": q_posts_head,
         "label_counts": q_label_counts,
         "score_describe": q_score_describe,
     }

@@ -60,6 +60,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write per partition (no funnel through one task or the driver)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        # the writer trims cell whitespace by default; texts must come back whole
+        (w.option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
