@@ -53,3 +53,14 @@ def test_hot_video_gives_same_result_when_repartitioned(spark):
     b = sorted(CM.comment_topn(c.repartition(13)).collect())
     assert a == b and len(a) == 21
     _ = F
+
+
+def test_transcript_of_a_hot_video_is_whole_and_ordered(spark):
+    from riskspark.operators.transcripts import transcript_build
+
+    rows = [(1, i, f"w{i}") for i in range(3000)] + [(2, 0, " x "), (2, 1, "y")]
+    seg = spark.createDataFrame(rows, "video_id long, seg long, text string").repartition(7)
+    got = {r.video_id: r for r in transcript_build(seg, chunk_segments=256).collect()}
+    want = " ".join(f"w{i}" for i in range(3000))
+    assert got[1].transcript == want and got[1].summary == want[:300]
+    assert got[2].transcript == "x  y"  # " x " + " " + "y", stripped
