@@ -81,16 +81,9 @@ def split_plain(df: DataFrame, id_col: str, test_share: float = rules.SPLIT_TEST
     return df.withColumn("split", F.when(u < F.lit(test_share * TWO32), F.lit("test")).otherwise(F.lit("train")))
 
 
-def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
-                     test_share: float = rules.SPLIT_TEST_SHARE, seed: int = rules.SPLIT_SEED) -> DataFrame:
-    """Adds ``split``: per label, the ceil(share * n_label) rows with the
-    smallest (u, id) are 'test'."""
-    from pyspark import StorageLevel
-
-    h = df.withColumn("__u", hash_u32(id_col, seed)).withColumn("__b", F.floor(F.col("__u") / F.lit(BUCKETS)))
-    # the two counting passes need only (id, label, u); keep that narrow
-    # projection for them and release it once the thresholds are known
-    narrow = h.select(id_col, label_col, "__u", "__b").persist(StorageLevel.MEMORY_AND_DISK)
+def _cut_points(narrow: DataFrame, id_col: str, label_col: str, test_share: float) -> dict:
+    """Per label, the (u, id) of the last test row, from a per-label
+    histogram of u and a ranking inside the one bucket holding the cut."""
     hist = narrow.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("n")).collect()
     per_label: dict = {}
     for r in hist:
@@ -105,31 +98,62 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
                 cut[lab] = (b, k - acc)
                 break
             acc += n
-    # rank only inside the bucket that holds each label's cut
+    cut = {lab: (b, r) for lab, (b, r) in cut.items() if r > 0}
+    if not cut:
+        return {}
     edge = None
     for lab, (b, _) in cut.items():
-        if _ <= 0:
-            continue
         cond = (F.col(label_col) == F.lit(lab)) & (F.col("__b") == F.lit(b))
         edge = cond if edge is None else (edge | cond)
-    thresholds = {}
-    if edge is not None:
-        w = Window.partitionBy(label_col, "__b").orderBy("__u", id_col)
-        ranked = narrow.filter(edge).withColumn("__r", F.row_number().over(w))
-        want = None
-        for lab, (b, r) in cut.items():
-            if r <= 0:
-                continue
-            c = (F.col(label_col) == F.lit(lab)) & (F.col("__r") == F.lit(r))
-            want = c if want is None else (want | c)
-        for row in ranked.filter(want).select(label_col, "__u", id_col).collect():
-            thresholds[row[label_col]] = (row["__u"], row[id_col])
-    narrow.unpersist()
+    w = Window.partitionBy(label_col, "__b").orderBy("__u", id_col)
+    ranked = narrow.filter(edge).withColumn("__r", F.row_number().over(w))
+    want = None
+    for lab, (b, r) in cut.items():
+        c = (F.col(label_col) == F.lit(lab)) & (F.col("__r") == F.lit(r))
+        want = c if want is None else (want | c)
+    return {row[label_col]: (row["__u"], row[id_col])
+            for row in ranked.filter(want).select(label_col, "__u", id_col).collect()}
+
+
+def _is_test(thresholds: dict, id_col: str, label_col: str) -> Column:
     test = F.lit(False)
     for lab, (tu, tid) in thresholds.items():
         below = (F.col("__u") < F.lit(tu)) | ((F.col("__u") == F.lit(tu)) & (F.col(id_col) <= F.lit(tid)))
         test = F.when(F.col(label_col) == F.lit(lab), below).otherwise(test)
-    return h.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("__u", "__b")
+    return F.when(test, F.lit("test")).otherwise(F.lit("train"))
+
+
+def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    return df.withColumn("__u", hash_u32(id_col, seed)).withColumn("__b", F.floor(F.col("__u") / F.lit(BUCKETS)))
+
+
+def split_stratified(df: DataFrame, id_col: str, label_col: str = "label",
+                     test_share: float = rules.SPLIT_TEST_SHARE, seed: int = rules.SPLIT_SEED) -> DataFrame:
+    """Adds ``split``: per label, the ceil(share * n_label) rows with the
+    smallest (u, id) are 'test'.  All input columns are kept."""
+    from pyspark import StorageLevel
+
+    h = _hashed(df, id_col, seed)
+    # the two counting passes need only (id, label, u); keep that narrow
+    # projection for them and release it once the thresholds are known
+    narrow = h.select(id_col, label_col, "__u", "__b").persist(StorageLevel.MEMORY_AND_DISK)
+    thresholds = _cut_points(narrow, id_col, label_col, test_share)
+    narrow.unpersist()
+    return h.withColumn("split", _is_test(thresholds, id_col, label_col)).drop("__u", "__b")
+
+
+def split_labels(df: DataFrame, id_col: str, label_col: str = "label",
+                 test_share: float = rules.SPLIT_TEST_SHARE, seed: int = rules.SPLIT_SEED) -> DataFrame:
+    """(id, label, split) of the same stratified split, for consumers that
+    need no other column (evaluation).  The narrow (id, label, u) table is
+    written once as a reliable checkpoint in the shared checkpoint folder,
+    so the input (e.g. text cleaning) is computed once and the lineage is
+    cut -- a lost executor does not send the job back to the raw input."""
+    from riskspark.session import cut_lineage
+
+    narrow = cut_lineage(_hashed(df, id_col, seed).select(id_col, label_col, "__u", "__b"))
+    thresholds = _cut_points(narrow, id_col, label_col, test_share)
+    return narrow.select(id_col, label_col, _is_test(thresholds, id_col, label_col).alias("split"))
 
 
 def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred",

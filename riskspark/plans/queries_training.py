@@ -21,6 +21,10 @@ def _strat(spark, sf_dir):
     return TN.split_stratified(_prep(spark, sf_dir), "post_id")
 
 
+def _strat_labels(spark, sf_dir):
+    return TN.split_labels(_prep(spark, sf_dir), "post_id")
+
+
 def _fixture_pred(df):
     p = FX.fixture_rf_probability("post_id")
     return df.withColumn("pred", SC.rf_label(p[0], p[1], p[2]))
@@ -39,16 +43,16 @@ def q_split_plain(spark, sf_dir):
 
 
 def q_split_stratified(spark, sf_dir):
-    return _strat(spark, sf_dir).select("post_id", "label", "split")
+    return _strat_labels(spark, sf_dir)
 
 
 def q_confusion(spark, sf_dir):
-    test = _strat(spark, sf_dir).filter(F.col("split") == "test")
+    test = _strat_labels(spark, sf_dir).filter(F.col("split") == "test")
     return TN.confusion(_fixture_pred(test))
 
 
 def q_class_report(spark, sf_dir):
-    test = _strat(spark, sf_dir).filter(F.col("split") == "test")
+    test = _strat_labels(spark, sf_dir).filter(F.col("split") == "test")
     return TN.class_report(_fixture_pred(test))
 
 

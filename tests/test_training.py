@@ -20,9 +20,10 @@ def _prep(spark, sf):
     return TN.train_prep(FX.posts(spark, sf).join(FX.training_labels(spark, sf), "post_id", "left"))
 
 
-def test_stratified_split_is_exact(spark):
+@pytest.mark.parametrize("fn", ["split_stratified", "split_labels"])
+def test_stratified_split_is_exact(spark, fn):
     prep = _prep(spark, SF01)
-    got = {r.post_id: r.split for r in TN.split_stratified(prep, "post_id").collect()}
+    got = {r.post_id: r.split for r in getattr(TN, fn)(prep, "post_id").collect()}
     rows = prep.select("post_id", "label").collect()
     by = {}
     for r in rows:
