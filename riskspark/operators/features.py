@@ -126,8 +126,9 @@ def model_text(df: DataFrame, cols=rules.TRAIN_TEXT_COLS) -> Column:
     present = available_columns(df, cols)
     if not present:
         raise ValueError(f"none of the text columns {list(cols)} is present")
-    parts = [F.nullif(X.clean_text(F.col(c)), F.lit("")) for c in present]
-    return X.strip_ws(F.concat_ws(" ", *parts))
+    # each cleaned part is referenced once (``nullif`` would evaluate it twice)
+    parts = F.array(*[X.clean_text(F.col(c)) for c in present])
+    return X.strip_ws(F.array_join(F.filter(parts, lambda s: s != F.lit("")), " "))
 
 
 def nnz(weights: DataFrame, docs: DataFrame, doc_col: str) -> DataFrame:

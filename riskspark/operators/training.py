@@ -50,8 +50,16 @@ def train_prep(df: DataFrame, id_col: str = "post_id", label_col: str | None = N
     label in LOW / MEDIUM / HIGH (upper-cased, stripped)."""
     label_col = label_col or pick_label_col(df)
     label = F.upper(X.strip_ws(F.col(label_col).cast("string")))
-    out = df.select(F.col(id_col), model_text(df, text_cols).alias("text"), label.alias("label"))
-    return out.filter((F.length("text") > F.lit(rules.MIN_TEXT_CHARS)) & F.col("label").isin(*rules.LEVELS))
+    present = available_columns(df, text_cols)
+    labelled = df.select(F.col(id_col), *present, label.alias("label")).filter(F.col("label").isin(*rules.LEVELS))
+    # The length rule keeps the text in a 0- or 1-element array that is then
+    # exploded.  A plain filter on length(text) would be pushed below the
+    # projection (and below a join with the labels) with the whole cleaning
+    # expression inlined, so every text would be cleaned twice, labelled or
+    # not; here it is cleaned once, after the label filter.
+    text = F.filter(F.array(model_text(labelled, text_cols)),
+                    lambda t: F.length(t) > F.lit(rules.MIN_TEXT_CHARS))
+    return labelled.select(F.col(id_col), F.explode(text).alias("text"), "label")
 
 
 def require_rows(df: DataFrame, minimum: int = rules.MIN_TRAIN_ROWS) -> int:

@@ -63,6 +63,16 @@ def test_text_and_label_normalisation(spark):
     assert [(r.post_id, r.text, r.label) for r in got] == [(1, "see now more", "HIGH")]
 
 
+def test_train_prep_cleans_each_text_once(spark):
+    """The length rule must not be inlined into a pushed-down filter: no
+    Filter in the plan may contain the cleaning regexes, and the cleaning
+    runs after the join with the labels."""
+    plan = _prep(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    filters = [ln for ln in plan.splitlines() if "Filter" in ln]
+    assert filters and not any("regexp_replace" in ln for ln in filters)
+    assert plan.count("regexp_replace(regexp_replace(regexp_replace(lower(coalesce(transcript") == 1
+
+
 def _pred(spark, pairs):
     return spark.createDataFrame(pairs, "label string, pred string")
 
