@@ -40,7 +40,12 @@ from riskspark.plans.strategy import join_small
 
 def word_terms(text) -> Column:
     """ARRAY of word 1-grams followed by 2-grams."""
-    toks = X.tokens(text, P.TOKEN2)
+    return word_terms_of(X.tokens(text, P.TOKEN2))
+
+
+def word_terms_of(toks: Column) -> Column:
+    """ARRAY of the 1-grams ``toks`` followed by their 2-grams.  ``toks`` is
+    referenced several times: pass a column, not the tokenizer expression."""
     n = F.size(toks)
     bigrams = F.when(n >= 2, F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1),
                                           lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
@@ -65,7 +70,11 @@ def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "wor
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     corpus = corpus.select(doc_col, text_col).repartition(n, doc_col)
     if kind == "word":
-        terms = corpus.select(doc_col, F.explode(word_terms(F.col(text_col))).alias("term"))
+        # tokens are a column of their own: the explode (a Generate) gets no
+        # common-subexpression elimination, so the tokenizer would otherwise
+        # run once per reference in the n-gram expression
+        toks = corpus.select(doc_col, X.tokens(F.col(text_col), P.TOKEN2).alias("__toks"))
+        terms = toks.select(doc_col, F.explode(word_terms_of(F.col("__toks"))).alias("term"))
     elif kind == "char":
         low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
         words = corpus.select(doc_col, F.explode(F.split(low, P.WS + "+")).alias("w")).filter(F.col("w") != "")

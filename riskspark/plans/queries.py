@@ -24,12 +24,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _posts(spark, sf_dir):
-    return FX.posts(spark, sf_dir)
+    return FX.posts(spark, sf_dir, spread=True)
 
 
 def _raw_posts(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return FX.raw_posts(docs)
+    return FX.raw_posts(FX.documents(spark, sf_dir, spread=True))
 
 
 def scored_posts(spark: SparkSession, sf_dir: str, profile=rules.DEFAULT_PROFILE) -> DataFrame:

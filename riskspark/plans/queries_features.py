@@ -10,7 +10,7 @@ from riskspark.sources import fixtures as FX
 
 def corpus(spark, sf_dir):
     """(post_id, text): the training text of every post."""
-    p = FX.posts(spark, sf_dir)
+    p = FX.posts(spark, sf_dir, spread=True)
     return p.select("post_id", FE.model_text(p).alias("text"))
 
 

@@ -13,7 +13,7 @@ from riskspark.sources import fixtures as FX
 
 
 def _prep(spark, sf_dir):
-    posts = FX.posts(spark, sf_dir)
+    posts = FX.posts(spark, sf_dir, spread=True)
     return TN.train_prep(posts.join(FX.training_labels(spark, sf_dir), "post_id", "left"))
 
 
@@ -35,11 +35,11 @@ def q_train_prep(spark, sf_dir):
 
 
 def q_train_prep_v1(spark, sf_dir):
-    return TN.train_prep_v1(FX.posts(spark, sf_dir))
+    return TN.train_prep_v1(FX.posts(spark, sf_dir, spread=True))
 
 
 def q_split_plain(spark, sf_dir):
-    return TN.split_plain(TN.train_prep_v1(FX.posts(spark, sf_dir)), "post_id").select("post_id", "risk_label", "split")
+    return TN.split_plain(TN.train_prep_v1(FX.posts(spark, sf_dir, spread=True)), "post_id").select("post_id", "risk_label", "split")
 
 
 def q_split_stratified(spark, sf_dir):
@@ -76,7 +76,7 @@ def _fit_v2(spark, sf_dir):
 
 
 def q_train_v1(spark, sf_dir):
-    d = TN.split_plain(TN.train_prep_v1(FX.posts(spark, sf_dir)), "post_id")
+    d = TN.split_plain(TN.train_prep_v1(FX.posts(spark, sf_dir, spread=True)), "post_id")
     model = TN.pipeline_v1(text_col="full_text", label_col="risk_label").fit(d.filter(F.col("split") == "train"))
     out = TN.rf_probability_columns(model, d.filter(F.col("split") == "test"), "full_text")
     p = [F.col("__rf_probs")[i] for i in range(3)]
@@ -95,7 +95,7 @@ def q_rf_scores(spark, sf_dir):
     """Fit on the training split, then score every post with the fitted
     pipeline (one transform; label and score from the same probabilities)."""
     model, _ = _fit_v2(spark, sf_dir)
-    posts = FX.posts(spark, sf_dir)
+    posts = FX.posts(spark, sf_dir, spread=True)
     scored = SC.score_posts(posts, rf_model=model)
     return scored.select("post_id", "rf_risk_label", "rf_risk_score", "mm_risk", "mm_risk_level")
 
@@ -106,7 +106,7 @@ def q_rf_check(spark, sf_dir):
     from riskspark.operators import features as FE
 
     model, split = _fit_v2(spark, sf_dir)
-    posts = FX.posts(spark, sf_dir)
+    posts = FX.posts(spark, sf_dir, spread=True)
     text = posts.select("post_id", FE.model_text(posts).alias("text"))
     out = TN.rf_probability_columns(model, text, "text")
     p = [F.col("__rf_probs")[i] for i in range(3)]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import rules
-from riskspark.sources.tables import read_table
+from riskspark.sources.tables import read_table, spread_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture derivation (ours)
@@ -113,12 +113,20 @@ def raw_posts(documents: DataFrame) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, sf_dir: str, profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(doc_id, text, n_chars); with ``spread`` a scan with fewer splits than
+    task slots is spread over hash partitions of doc_id first (see
+    ``tables.spread_scan``), so the per-row text work uses every core."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return spread_scan(docs, "doc_id") if spread else docs
+
+
+def posts(spark: SparkSession, sf_dir: str, profile: rules.RiskProfile = rules.DEFAULT_PROFILE,
+          spread: bool = False) -> DataFrame:
     """The collector's posts table (canonical ``schemas.POSTS`` columns)."""
     from riskspark.operators.scoring import collect_posts
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return collect_posts(raw_posts(docs), profile)
+    return collect_posts(raw_posts(documents(spark, sf_dir, spread)), profile)
 
 
 def fixture_rf_probability(post_id) -> Column:

@@ -36,6 +36,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_scan(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Spread the rows of a scan with fewer input splits than the session
+    has task slots over hash partitions of ``key`` (a unique id, so no
+    partition can be hot).
+
+    A file written as one row group is read by one task however many cores
+    there are; CPU-heavy per-row work over whole texts would then run on one
+    core.  On a cluster reading many files the scan already has more splits
+    than slots, and ``df`` is returned unchanged: no shuffle is added."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:  # planning only, no job
+        return df
+    n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), slots)
+    return df.repartition(n, key)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a UTF-8 CSV (BOM tolerated) with quoted multi-line cells; float
     NaN cells become NULL so averages skip them like pandas does."""
