@@ -46,8 +46,12 @@ def spread_scan(df: DataFrame, key: str, partitions: int | None = None) -> DataF
     core.  On a cluster reading many files the scan already has more splits
     than slots, and ``df`` is returned unchanged: no shuffle is added."""
     spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:  # planning only, no job
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    if splits >= slots:
         return df
     n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), slots)
     return df.repartition(n, key)
