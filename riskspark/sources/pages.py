@@ -119,15 +119,20 @@ def page_links(pages: DataFrame, contains: str = VIDEO_LINK_CONTAINS, keep=()) -
     as ``a.href`` reports them, distinct per page at their first position
     (0-based, document order)."""
     keep = list(keep)
+    links = _matching_links(pages, contains, keep)
+    return links.groupBy("page_id", *keep, "link").agg(F.min("pos").alias("pos")).select(
+        "page_id", *keep, "pos", "link")
+
+
+def _matching_links(pages: DataFrame, contains: str, keep: list) -> DataFrame:
+    """Every matching link occurrence (page_id, keep..., pos, link), repeats included."""
     hrefs = pages.select(
         "page_id", "url", *keep, F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF), 1)).alias("pos", "href")
     ).withColumn("href", decode_entities(F.col("href")))
-    links = hrefs.filter(F.col("href").contains(contains)).select(
+    return hrefs.filter(F.col("href").contains(contains)).select(
         "page_id", *keep, F.col("pos").cast("bigint").alias("pos"),
         resolve_url(F.col("href"), F.col("url")).alias("link"),
     )
-    return links.groupBy("page_id", *keep, "link").agg(F.min("pos").alias("pos")).select(
-        "page_id", *keep, "pos", "link")
 
 
 def page_tag(url: Column, pattern: str = TAG_URL_PATTERN) -> Column:
@@ -142,10 +147,12 @@ def hashtag_sample(pages: DataFrame, limit: int = rules.VIDEOS_PER_HASHTAG, cont
     Distinct per (hashtag, link) is shuffled on both columns, so a hashtag
     with most of the pages is still spread out; ``row_number() <= limit``
     becomes a partial ``WindowGroupLimit`` before the shuffle by hashtag, so
-    a hot hashtag ships at most ``limit`` rows per map partition."""
+    a hot hashtag ships at most ``limit`` rows per map partition.  The
+    first (page, position) of a link is one minimum over all its
+    occurrences, so no per-page distinct step (and shuffle) comes first."""
     tagged = pages.select("page_id", "html", "url", page_tag(F.col("url"), tag_pattern).alias("hashtag")).filter(
         F.col("hashtag").isNotNull())
-    lt = page_links(tagged, contains, keep=("hashtag",))
+    lt = _matching_links(tagged, contains, ["hashtag"])
     first = lt.groupBy("hashtag", "link").agg(F.min(F.struct("page_id", "pos")).alias("at"))
     w = Window.partitionBy("hashtag").orderBy(F.col("at.page_id"), F.col("at.pos"), F.col("link"))
     return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(limit))
