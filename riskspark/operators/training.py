@@ -9,8 +9,10 @@ histogram of ``u`` over 65,536 buckets (partial aggregation; at most
 labels x 65,536 rows reach the driver) finds the bucket holding the cut,
 and only that one bucket per label is ranked.
 
-Evaluation (confusion matrix, per-class report) aggregates predictions to
-at most 3 x 3 counts first and computes on those.
+Evaluation (confusion matrix, per-class report) is one global aggregation
+of predictions to a single row of counts (true x predicted cells, support,
+predicted totals), partial per task, so its only shuffle carries one row per
+task; the report rows are column arithmetic on that row.
 """
 
 from __future__ import annotations
@@ -164,65 +166,63 @@ def split_labels(df: DataFrame, id_col: str, label_col: str = "label",
     return narrow.select(id_col, label_col, _is_test(thresholds, id_col, label_col).alias("split"))
 
 
+def _eval_counts(pred: DataFrame, label_col: str, pred_col: str, labels) -> DataFrame:
+    """One row of counts: ``c_i_j`` rows with true label i and prediction j,
+    ``sup_i`` rows with true label i, ``prd_j`` rows predicted j (labels are
+    indices into ``labels``).  A single global aggregation: each task emits
+    one partial row, so one small exchange is the only shuffle, however
+    many predictions there are."""
+    t, p = F.col(label_col), F.col(pred_col)
+    aggs = []
+    for i, a in enumerate(labels):
+        aggs.append(F.count_if(t == F.lit(a)).alias(f"sup_{i}"))
+        aggs.append(F.count_if(p == F.lit(a)).alias(f"prd_{i}"))
+        aggs += [F.count_if((t == F.lit(a)) & (p == F.lit(b))).alias(f"c_{i}_{j}") for j, b in enumerate(labels)]
+    return pred.agg(*aggs)
+
+
 def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred",
               labels=rules.LEVELS) -> DataFrame:
     """Dense confusion matrix: one row per true label (all labels), one
     BIGINT column ``pred_<LABEL>`` per predicted label."""
-    counts = pred.groupBy(label_col).pivot(pred_col, list(labels)).agg(F.count(F.lit(1)))
-    spine = pred.sparkSession.createDataFrame([(lab,) for lab in labels], f"{label_col} string")
-    j = spine.join(counts, label_col, "left")
-    return j.select(F.col(label_col).alias("label"),
-                    *[F.coalesce(F.col(lab), F.lit(0)).cast("bigint").alias(f"pred_{lab}") for lab in labels])
+    rows = [F.struct(F.lit(a).alias("label"),
+                     *[F.col(f"c_{i}_{j}").cast("bigint").alias(f"pred_{b}") for j, b in enumerate(labels)])
+            for i, a in enumerate(labels)]
+    return _eval_counts(pred, label_col, pred_col, labels).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "pred",
                  labels=rules.LEVELS, places: int = 6) -> DataFrame:
     """precision / recall / f1 / support per class, then accuracy, macro and
     weighted averages (0 where a ratio is 0/0)."""
-    spark = pred.sparkSession
-    pairs = pred.groupBy(label_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
-    per = pairs.select(
-        F.explode(F.array(
-            F.struct(F.col(label_col).alias("cls"), F.lit("sup").alias("k"), F.col("n").alias("n")),
-            F.struct(F.col(pred_col).alias("cls"), F.lit("prd").alias("k"), F.col("n").alias("n")),
-            F.struct(F.col(label_col).alias("cls"), F.when(F.col(label_col) == F.col(pred_col), F.lit("tp"))
-                     .otherwise(F.lit("miss")).alias("k"), F.col("n").alias("n")),
-        )).alias("e")
-    ).select("e.*").groupBy("cls").pivot("k", ["sup", "prd", "tp"]).agg(F.sum("n"))
-    spine = spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "cls string, ord int")
-    c = spine.join(per, "cls", "left").select(
-        "cls", *[F.coalesce(F.col(k), F.lit(0)).cast("double").alias(k) for k in ("sup", "prd", "tp")])
     zero = F.lit(0.0)
-    c = c.select(
-        "cls", "sup",
-        F.when(F.col("prd") > 0, F.col("tp") / F.col("prd")).otherwise(zero).alias("precision"),
-        F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(zero).alias("recall"),
-        F.when(F.col("sup") + F.col("prd") > 0, F.lit(2.0) * F.col("tp") / (F.col("sup") + F.col("prd")))
-        .otherwise(zero).alias("f1"),
-        "tp",
-    )
-    k = float(len(labels))
-    tot = c.agg(
-        F.sum("sup").alias("n"), F.sum("tp").alias("tp"),
-        F.sum("precision").alias("mp"), F.sum("recall").alias("mr"), F.sum("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("sup")).alias("wp"), F.sum(F.col("recall") * F.col("sup")).alias("wr"),
-        F.sum(F.col("f1") * F.col("sup")).alias("wf"),
-    )
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(zero)
-    summary = tot.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("cls"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), safe(F.col("tp"), F.col("n")).alias("f1"),
-                 F.col("n").alias("sup")),
-        F.struct(F.lit("macro avg").alias("cls"), (F.col("mp") / F.lit(k)).alias("precision"),
-                 (F.col("mr") / F.lit(k)).alias("recall"), (F.col("mf") / F.lit(k)).alias("f1"), F.col("n").alias("sup")),
-        F.struct(F.lit("weighted avg").alias("cls"), safe(F.col("wp"), F.col("n")).alias("precision"),
-                 safe(F.col("wr"), F.col("n")).alias("recall"), safe(F.col("wf"), F.col("n")).alias("f1"),
-                 F.col("n").alias("sup")),
-    )).alias("e")).select("e.*")
-    rows = c.select("cls", "precision", "recall", "f1", "sup").unionByName(summary)
+    per = []
+    for i, _ in enumerate(labels):
+        sup, prd = F.col(f"sup_{i}").cast("double"), F.col(f"prd_{i}").cast("double")
+        tp = F.col(f"c_{i}_{i}").cast("double")
+        per.append({"precision": safe(tp, prd), "recall": safe(tp, sup),
+                    "f1": safe(F.lit(2.0) * tp, sup + prd), "sup": sup, "tp": tp})
+    k = float(len(labels))
+    total = lambda key: sum((m[key] for m in per[1:]), per[0][key])
+    wsum = lambda key: sum((m[key] * m["sup"] for m in per[1:]), per[0][key] * per[0]["sup"])
+    n = total("sup")
+
+    def row(name, precision, recall, f1, support):
+        return F.struct(F.lit(name).alias("class"), precision.alias("precision"), recall.alias("recall"),
+                        f1.alias("f1"), support.alias("support"))
+
+    rows = [row(a, m["precision"], m["recall"], m["f1"], m["sup"]) for a, m in zip(labels, per)]
+    none = F.lit(None).cast("double")
+    rows += [
+        row("accuracy", none, none, safe(total("tp"), n), n),
+        row("macro avg", total("precision") / F.lit(k), total("recall") / F.lit(k), total("f1") / F.lit(k), n),
+        row("weighted avg", safe(wsum("precision"), n), safe(wsum("recall"), n), safe(wsum("f1"), n), n),
+    ]
+    out = _eval_counts(pred, label_col, pred_col, labels).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     r = lambda x: N.round_half_away(F.col(x), places)
-    return rows.select(F.col("cls").alias("class"), r("precision").alias("precision"), r("recall").alias("recall"),
-                       r("f1").alias("f1"), F.col("sup").cast("bigint").alias("support"))
+    return out.select("class", r("precision").alias("precision"), r("recall").alias("recall"),
+                      r("f1").alias("f1"), F.col("support").cast("bigint").alias("support"))
 
 
 # --- Spark ML pipelines ------------------------------------------------------
