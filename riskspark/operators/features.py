@@ -54,7 +54,12 @@ def word_terms_of(toks: Column) -> Column:
 
 def char_wb_terms(word: Column, lo: int = 3, hi: int = 5) -> Column:
     """ARRAY of char n-grams of one word (padded with one space each side)."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return char_terms_of_padded(F.concat(F.lit(" "), word, F.lit(" ")), lo, hi)
+
+
+def char_terms_of_padded(padded: Column, lo: int = 3, hi: int = 5) -> Column:
+    """ARRAY of char n-grams of an already padded word.  ``padded`` is read
+    once per n-gram: pass a column, not the padding expression."""
     plen = F.length(padded)
     return F.flatten(F.transform(
         F.sequence(F.lit(lo), F.least(F.lit(hi), plen)),
@@ -78,7 +83,14 @@ def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "wor
     elif kind == "char":
         low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
         words = corpus.select(doc_col, F.explode(F.split(low, P.WS + "+")).alias("w")).filter(F.col("w") != "")
-        terms = words.select(doc_col, F.explode(char_wb_terms(F.col("w"))).alias("term"))
+        # n-grams depend on the word only: count each word once per document
+        # (no exchange -- the corpus is partitioned by document), expand the
+        # distinct words, and add up their counts.  The padded word is a
+        # column of its own (see the word case).
+        wc = words.groupBy(doc_col, "w").agg(F.count(F.lit(1)).alias("__c"))
+        padded = wc.select(doc_col, F.concat(F.lit(" "), F.col("w"), F.lit(" ")).alias("__p"), "__c")
+        terms = padded.select(doc_col, "__c", F.explode(char_terms_of_padded(F.col("__p"))).alias("term"))
+        return terms.groupBy(doc_col, "term").agg(F.sum("__c").cast("bigint").alias("tf"))
     else:
         raise ValueError(kind)
     return terms.groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))
