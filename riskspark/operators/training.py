@@ -5,9 +5,9 @@ of md5("<seed>-<id>").  The plain split takes ``u < share * 2^32`` (no
 shuffle at all).  The stratified split takes exactly ceil(share * n_label)
 rows per label -- the ones with the smallest (u, id) -- without a window
 over a whole label (three labels would mean three tasks): a per-label
-histogram of ``u`` over 65,536 buckets (partial aggregation; at most
-labels x 65,536 rows reach the driver) finds the bucket holding the cut,
-and only that one bucket per label is ranked.
+histogram of ``u`` over 65,536 buckets (partial aggregation) and a running
+count over it find the bucket holding the cut (one row per label reaches
+the driver), and only that one bucket per label is ranked.
 
 Evaluation (confusion matrix, per-class report) is one global aggregation
 of predictions to a single row of counts (true x predicted cells, support,
@@ -17,8 +17,6 @@ task; the report rows are column arithmetic on that row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,20 +92,16 @@ def split_plain(df: DataFrame, id_col: str, test_share: float = rules.SPLIT_TEST
 def _cut_points(narrow: DataFrame, id_col: str, label_col: str, test_share: float) -> dict:
     """Per label, the (u, id) of the last test row, from a per-label
     histogram of u and a ranking inside the one bucket holding the cut."""
-    hist = narrow.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("n")).collect()
-    per_label: dict = {}
-    for r in hist:
-        per_label.setdefault(r[label_col], []).append((r["__b"], r["n"]))
-    cut = {}
-    for lab, rows in per_label.items():
-        rows.sort()
-        k = math.ceil(test_share * sum(n for _, n in rows))
-        acc = 0
-        for b, n in rows:
-            if acc + n >= k:
-                cut[lab] = (b, k - acc)
-                break
-            acc += n
+    # Per label, the running count over buckets finds the one bucket where the
+    # k-th row lies; the histogram has at most 65,536 rows per label, and only
+    # one row per label reaches the driver.
+    hist = narrow.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.select(label_col, "__b", "n", F.sum("n").over(upto).alias("cum"),
+                    F.ceil(F.lit(float(test_share)) * F.sum("n").over(Window.partitionBy(label_col))).alias("k"))
+    crossing = h.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("n") < F.col("k")))
+    cut = {r[label_col]: (r["__b"], r["k"] - (r["cum"] - r["n"]))
+           for r in crossing.select(label_col, "__b", "n", "cum", "k").collect()}
     cut = {lab: (b, r) for lab, (b, r) in cut.items() if r > 0}
     if not cut:
         return {}
