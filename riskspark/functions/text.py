@@ -21,6 +21,14 @@ def strip_ws(x) -> Column:
     return F.trim(_c(x), F.lit(P.WS_CHARS))
 
 
+def drop_invalid_utf8(x) -> Column:
+    """Drop byte sequences that are not valid UTF-8 (text read from binary
+    sources); a valid string is returned unchanged.  In a string that has
+    invalid bytes, a U+FFFD that was already there is dropped with them."""
+    c = _c(x)
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.regexp_replace(F.make_valid_utf8(c), "\ufffd", ""))
+
+
 def collapse_ws(x) -> Column:
     """``" ".join(s.split())``: whitespace runs -> one space, stripped.
 

@@ -24,9 +24,11 @@ def _ordered_join(order_col: str, text_col: str):
 def transcript_build(segments: DataFrame, video_col: str = "video_id", seg_col: str = "seg",
                      text_col: str = "text", chunk_segments: int = 1024,
                      summary_chars: int = rules.SUMMARY_CHARS) -> DataFrame:
-    """(video, transcript, summary): segment texts joined by one space in
-    segment order, stripped; summary = first ``summary_chars`` characters."""
-    seg = segments.select(video_col, seg_col, text_col).filter(F.col(text_col).isNotNull())
+    """(video, transcript, summary): segment texts (invalid UTF-8 dropped)
+    joined by one space in segment order, stripped; summary = first
+    ``summary_chars`` characters."""
+    seg = segments.select(video_col, seg_col, X.drop_invalid_utf8(F.col(text_col)).alias(text_col)).filter(
+        F.col(text_col).isNotNull())
     chunks = (seg.withColumn("__chunk", F.floor(F.col(seg_col) / F.lit(chunk_segments)))
               .groupBy(video_col, "__chunk")
               .agg(_ordered_join(seg_col, text_col).alias("__part")))

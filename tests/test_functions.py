@@ -101,3 +101,9 @@ def test_keyword_expression_is_compact(spark):
     # many fused rules must stay within one generated method (no fallback)
     df = spark.range(3).select(F.lit("kill myself help me").alias("t"))
     assert df.select(X.keyword_hits("t", rules.KEYWORDS_V2)).first()[0] == 2
+
+
+def test_drop_invalid_utf8(spark):
+    df = spark.createDataFrame([(bytearray(b"ab\xffc"),), (bytearray("ok �".encode()),), (None,)], "b binary")
+    got = [r.t for r in df.select(X.drop_invalid_utf8(F.col("b").cast("string")).alias("t")).collect()]
+    assert got == ["abc", "ok �", None]
