@@ -222,12 +222,14 @@ def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "pre
 # --- Spark ML pipelines ------------------------------------------------------
 
 def _char_sql(col: str) -> str:
-    """SQL of the char n-gram array (same definition as the long form)."""
+    """SQL of the char n-gram array (same definition as the long form).
+    Words are padded once, not once per n-gram."""
     ws = P.WS + "+"
     return (
-        f"flatten(transform(filter(split(lower(coalesce({col}, '')), r'{ws}'), w -> w != ''), "
-        "w -> flatten(transform(sequence(3, least(5, length(w) + 2)), "
-        "n -> transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n))))))"
+        f"flatten(transform(transform(filter(split(lower(coalesce({col}, '')), r'{ws}'), w -> w != ''), "
+        "w -> concat(' ', w, ' ')), "
+        "p -> flatten(transform(sequence(3, least(5, length(p))), "
+        "n -> transform(sequence(1, length(p) + 1 - n), i -> substring(p, i, n))))))"
     )
 
 
