@@ -63,3 +63,32 @@ def test_regex_and_parser_agree_on_driver_pages(spark):
     b = {r.page_id: r.caption for r in PG.parse_html_fields(pages, sel).collect()}
     assert a == b
     _ = F
+
+
+def test_hot_hashtag_sample_matches_brute_force(spark):
+    """One hashtag holds most pages; links repeat inside and across pages.
+    First-N per hashtag in (page, position) order, the same on any
+    partitioning, with the partial limit in the plan."""
+    rows = []
+    for pid in range(60):
+        tag = "hot" if pid % 10 else f"cold{pid}"
+        links = [(pid * 7 + k) % 23 for k in range(5)] + [pid % 4]
+        html = "".join(f'<a href="/video/{v}">v</a>' for v in links)
+        rows.append((pid, f"https://www.site.example/tag/{tag}", html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for pid, url, html in sorted(rows):
+        tag = url.rsplit("/", 1)[1]
+        seen = want.setdefault(tag, [])
+        for v in [int(x) for x in html.replace('<a href="/video/', " ").replace('">v</a>', " ").split()]:
+            link = f"https://www.site.example/video/{v}"
+            if link not in seen:
+                seen.append(link)
+    want = {t: ls[:3] for t, ls in want.items()}
+    for df in (pages, pages.repartition(7)):
+        out = PG.hashtag_sample(df)
+        got = {}
+        for r in out.orderBy("hashtag", "rank").collect():
+            got.setdefault(r.hashtag, []).append(r.link)
+        assert got == want
+    assert "WindowGroupLimit" in PG.hashtag_sample(pages)._jdf.queryExecution().executedPlan().toString()
