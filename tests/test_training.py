@@ -111,3 +111,29 @@ def test_pipeline_v1_invariants_and_persistence(spark, tmp_path):
                                                    F.col("__rf_probs")[2]).alias("s")).collect():
         assert sum(r["__rf_probs"]) == pytest.approx(1.0)
         assert 0.1 - 1e-9 <= r.s <= 1.0 + 1e-9
+
+
+def test_report_edge_cases_brute_force(spark):
+    """NULL and unknown labels or predictions, and a class that never
+    occurs: support counts true labels, predicted totals count predictions,
+    whatever the other side is."""
+    pairs = [("HIGH", None), ("HIGH", "HIGH"), (None, "HIGH"), ("odd", "LOW"), ("LOW", "odd"), ("LOW", "LOW")]
+    conf = {r.label: (r.pred_HIGH, r.pred_LOW, r.pred_MEDIUM) for r in TN.confusion(_pred(spark, pairs)).collect()}
+    assert conf == {"HIGH": (1, 0, 0), "LOW": (0, 1, 0), "MEDIUM": (0, 0, 0)}
+    rep = {r["class"]: r for r in TN.class_report(_pred(spark, pairs)).collect()}
+    per = {}
+    for c in rules.LEVELS:
+        tp = sum(1 for a, b in pairs if a == c == b)
+        prd = sum(1 for _, b in pairs if b == c)
+        sup = sum(1 for a, _ in pairs if a == c)
+        p = tp / prd if prd else 0.0
+        r = tp / sup if sup else 0.0
+        f = 2 * tp / (sup + prd) if sup + prd else 0.0
+        per[c] = (p, r, f, sup)
+        assert (rep[c].precision, rep[c].recall, rep[c].f1, rep[c].support) == \
+            (pytest.approx(p, abs=1e-6), pytest.approx(r, abs=1e-6), pytest.approx(f, abs=1e-6), sup)
+    n = sum(v[3] for v in per.values())
+    assert rep["accuracy"].support == n == 4
+    assert rep["accuracy"].f1 == pytest.approx(2 / 4, abs=1e-6) and rep["accuracy"].precision is None
+    assert rep["macro avg"].recall == pytest.approx(sum(v[1] for v in per.values()) / 3, abs=1e-6)
+    assert rep["weighted avg"].f1 == pytest.approx(sum(v[2] * v[3] for v in per.values()) / n, abs=1e-6)
