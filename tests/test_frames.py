@@ -1,5 +1,7 @@
 """Frame statistics: atmosphere golden rows (FIXTURES.md 2.7), Laplacian vs NumPy."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,17 @@ def test_motion_uses_previous_frame(spark):
     r = FR.frame_features(df, places=None).first()
     assert r.motion == pytest.approx(((10 + 20) / 2 + (0 + 20) / 2) / 2)
     assert r.brightness == pytest.approx((15 + 5) / 2)
+
+
+def test_frame_pairs_spread_a_hot_video(spark):
+    """With inputs too large to broadcast, the previous-frame join is
+    partitioned on (video, frame), not on the video alone, and the video
+    means are partially aggregated before the shuffle by video."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FR.frame_features(FX.frames(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert re.search(r"Exchange hashpartitioning\(video_id#\d+L, frame#\d+L", plan)
+    assert "partial_avg(blur" in plan
