@@ -73,10 +73,13 @@ def q_oov_summary(spark, sf_dir):
     known = counts.join(vocab.select("term"), "term", "left_semi")
     per_doc = FE.nnz(known.withColumnRenamed("tf", "weight"), c, "post_id")
     unknown = counts.select("term").distinct().join(vocab.select("term"), "term", "left_anti")
-    n_unknown = unknown.count()  # one bounded scalar
-    return per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("nnz") == 0).alias("n_zero_nnz"),
-                       FE.N.round_half_away(F.avg("nnz"), 6).alias("mean_nnz"),
-                       F.lit(n_unknown).cast("bigint").alias("n_unknown_terms"))
+    # documents and unknown terms in one stream, summarised by one global
+    # aggregation (one job; each side only fills its own column)
+    rows = per_doc.select("nnz", F.lit(None).cast("string").alias("term")).unionByName(
+        unknown.select(F.lit(None).cast("bigint").alias("nnz"), "term"))
+    return rows.agg(F.count("nnz").alias("n_docs"), F.count_if(F.col("nnz") == 0).alias("n_zero_nnz"),
+                    FE.N.round_half_away(F.avg("nnz"), 6).alias("mean_nnz"),
+                    F.count("term").cast("bigint").alias("n_unknown_terms"))
 
 
 def registry():
