@@ -18,8 +18,10 @@ document is one row, so this moves text, about 10x less than the exploded
 terms, and cannot create a hot key); counting per (doc, term) and the
 per-document norm window then need no further exchange.  Document
 frequency per term is one shuffle with partial aggregation; the vocabulary
-is a top-V (per-partition top-V, merged: V rows), its byte size is measured
-and it is broadcast below 64 MiB, else joined by a shuffle join.  Measured
+is a top-V (``top_terms``: when V rows from every partition would be too
+many for one task, a cutoff from a histogram of totals first), its byte
+size is measured and
+it is broadcast below 64 MiB, else joined by a shuffle join.  Measured
 at sf0.1: 17 s against 56 s for the variant that shuffles the exploded
 (doc, term) rows.
 """
@@ -110,14 +112,46 @@ V2_WORD = TfidfSpec("word", rules.V2_WORD_MAX_FEATURES, rules.V2_MIN_DF, rules.V
 V2_CHAR = TfidfSpec("char", rules.V2_CHAR_MAX_FEATURES, rules.V2_MIN_DF, rules.V2_CHAR_MAX_DF, True)
 
 
+# Above this many rows (k times the shuffle partitions), the ordered limit
+# first cuts the terms by a histogram of totals (see ``top_terms``).
+DEFAULT_FUNNEL_ROWS = 4_000_000
+
+
+def top_terms(stats: DataFrame, k: int, max_funnel_rows: int = DEFAULT_FUNNEL_ROWS) -> DataFrame:
+    """The ``k`` terms with the largest ``total`` (ties: term ascending).
+
+    ``orderBy(...).limit(k)`` sends the top ``k`` rows of *every* partition
+    to one task: at most k times the shuffle partitions (adaptive execution
+    only merges partitions).  While that bound is under ``max_funnel_rows``
+    it is used as is.  Above it, the term table is written once to the
+    shared checkpoint folder, a histogram of its totals (one row per
+    distinct total: at most sqrt(2 * tokens) rows) with a running count
+    gives the total T at which the k-th term lies, and only terms with
+    total >= T -- fewer than k, plus the ties at T -- reach the ordered
+    limit."""
+    from riskspark.session import cut_lineage
+
+    order = [F.col("total").desc(), F.col("term").asc()]
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if k * parts <= max_funnel_rows:
+        return stats.orderBy(*order).limit(k)
+    stats = cut_lineage(stats)
+    hist = stats.groupBy("total").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.orderBy(F.col("total").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.select("total", "c", F.sum("c").over(upto).alias("cum"))
+    edge = h.filter((F.col("cum") >= F.lit(k)) & (F.col("cum") - F.col("c") < F.lit(k))).select("total").first()
+    if edge is not None:  # otherwise there are at most k terms: all are kept
+        stats = stats.filter(F.col("total") >= F.lit(edge["total"]))
+    return stats.orderBy(*order).limit(k)
+
+
 def vocabulary(counts: DataFrame, n_docs: int, spec: TfidfSpec, doc_col: str) -> DataFrame:
     """(term, df, total, idf, rank) of the kept vocabulary."""
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     stats = stats.filter((F.col("df") >= F.lit(spec.min_df))
                          & (F.col("df").cast("double") <= F.lit(float(spec.max_df)) * F.lit(float(n_docs))))
-    order = [F.col("total").desc(), F.col("term").asc()]
     if spec.max_features is not None:
-        stats = stats.orderBy(*order).limit(spec.max_features)
+        stats = top_terms(stats, spec.max_features)
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df").cast("double"))) + F.lit(1.0)
     return stats.select("term", F.col("df").cast("bigint").alias("df"), F.col("total").cast("bigint").alias("total"),
                         idf.alias("idf"))

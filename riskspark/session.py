@@ -59,9 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint):
-    the result survives the loss of the executors that computed it."""
+    the result survives the loss of the executors that computed it.
+
+    The input is persisted while the checkpoint is written: writing the
+    files of an unpersisted input computes it a second time.  Once written,
+    the checkpoint is read from the folder and the persisted copy is
+    released."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def local_dir_hint() -> str:

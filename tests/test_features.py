@@ -90,3 +90,14 @@ def test_vocab_broadcast_and_no_shuffle_of_terms(spark):
     # the only shuffles: corpus by doc (x2: counts for the vocabulary and for
     # the weights), and document frequency by term -- none by (doc, term)
     assert "hashpartitioning(doc, term" not in plan
+
+
+def test_top_terms_cutoff_path_matches_ordered_limit(spark):
+    """Many ties at the cut: the histogram path keeps exactly the rows of
+    orderBy(total desc, term).limit(k)."""
+    rows = [(f"t{i:03d}", 1 + (i * 7) % 5) for i in range(300)]
+    stats = spark.createDataFrame(rows, "term string, total long").repartition(6)
+    for k in (1, 37, 120, 299, 300, 400):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+        got = [tuple(r) for r in FE.top_terms(stats, k, max_funnel_rows=0).collect()]
+        assert sorted(got, key=lambda r: (-r[1], r[0])) == want
