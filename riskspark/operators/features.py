@@ -21,9 +21,9 @@ frequency per term is one shuffle with partial aggregation; the vocabulary
 is a top-V (``top_terms``: when V rows from every partition would be too
 many for one task, a cutoff from a histogram of totals first), its byte
 size is measured and
-it is broadcast below 64 MiB, else joined by a shuffle join.  Measured
-at sf0.1: 17 s against 56 s for the variant that shuffles the exploded
-(doc, term) rows.
+it is broadcast below 64 MiB, else joined by a shuffle join.  When this
+plan was chosen it measured 17 s at sf0.1 against 56 s for the variant that
+shuffles the exploded (doc, term) rows.
 """
 
 from __future__ import annotations
