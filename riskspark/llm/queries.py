@@ -72,9 +72,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN, with_ids=False, digests=True)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm import langid as L
+
+    docs = table(spark, sf_dir, "documents")
+    return (L.identify(docs.select("doc_id", "text"), L.train(docs))
+            .select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"))
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm import pagetext as H
+
+    return H.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm import licenses as S
+
+    return S.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
     "op5_source_mix": op5_source_mix,
+    "op6_page_text": op6_page_text,
+    "op7_licenses": op7_licenses,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
