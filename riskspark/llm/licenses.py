@@ -82,7 +82,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             .join(F.broadcast(_templates(spark)), ["pair", "verify"])     # a fixed table of some 150 rows
             .withColumn("diagonal", F.col("pos") - F.col("at")))
     key = ["doc_id", "text_hash", "template", "label", "base", "pairs"]
-    votes = hits.groupBy(*key, "diagonal").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("at"))).alias("seen"))
+    votes = hits.groupBy(*key, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"))
     # neighbouring diagonals of a notice make one span; a phrase's diagonals stay apart
     line = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(line), F.lit(-1 << 40)) > MERGE)
