@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskspark.llm.staging import Stage
+
 MIN_PAGES = 3           # a template subtree is on this many different pages of its host at least,
 MIN_SHARE = 0.1         # and on this share of them
 
@@ -270,7 +272,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
             cols += [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    site = templates(pages, url, html, **how).withColumnRenamed("host", "template_host")
+    # Written first, so that the join below has no aggregation in its stages and adaptive execution may split a hot host.
+    site = Stage(pages.sparkSession, "templates").write(
+        templates(pages, url, html, **how).withColumnRenamed("host", "template_host"), "templates")
     return (pages.select(*[pages[c].alias(f"k{i}") for i, c in enumerate(keep)], pages[html].alias("page_html"),
                          host(pages[url]).alias("page_host"))
             .join(site, F.col("page_host") == F.col("template_host"), "left")
