@@ -72,6 +72,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN, with_ids=False, digests=True)
 
 
+def op3_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm import embeddings as V
+
+    return V.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm import langid as L
 
@@ -94,6 +100,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_embedding_dups": op3_embedding_dups,
     "op4_language": op4_language,
     "op5_source_mix": op5_source_mix,
     "op6_page_text": op6_page_text,
