@@ -133,46 +133,6 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array(np.concatenate([recurs[use], np.zeros(z, bool)]))], names=names)
 
 
-_FOUND = "sort boolean, least long, rid long, at int, windows int"
-
-
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (least, content, windows) -> marks of those that have
-    an equal one (sort = false) and one of each class that shares its hash
-    with another class, or recurs in itself (sort = true)."""
-    def judge(c: list[np.ndarray]) -> pa.RecordBatch:
-        least, content, rid, at, windows, recurs = c
-        same = np.zeros(len(least), bool)
-        same[1:] = (least[1:] == least[:-1]) & (content[1:] == content[:-1]) & (windows[1:] == windows[:-1])
-        equal = same.copy()
-        equal[:-1] |= same[1:]
-        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))     # of each hash
-        classes = np.add.reduceat((~same).astype(np.int64), first)
-        several = np.repeat(classes > 1, np.diff(np.append(first, len(least))))
-        rows = np.concatenate([np.flatnonzero(equal), np.flatnonzero(~same & (several | recurs))])
-        sort = np.arange(len(rows)) >= equal.sum()
-        return pa.RecordBatch.from_arrays([pa.array(sort), pa.array(least[rows]), pa.array(rid[rows]), pa.array(at[rows]),
-                                           pa.array(windows[rows])], names=["sort", "least", "rid", "at", "windows"])
-
-    held: list[list[np.ndarray]] = []       # rows of the last hash, which the next batch may go on with
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        cut = np.flatnonzero(c[0][1:] != c[0][:-1]) + 1
-        if held and held[-1][0][-1] != c[0][0]:
-            yield judge([np.concatenate(x) for x in zip(*held)])
-            held = []
-        if len(cut):
-            k = int(cut[-1])
-            yield judge([np.concatenate(x) for x in zip(*held, [x[:k] for x in c])])
-            held = [[x[k:] for x in c]]
-        else:
-            held.append(c)
-    if held:
-        yield judge([np.concatenate(x) for x in zip(*held)])
-
-
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text, pieces) -> the bytes of each piece."""
     for b in batches:
@@ -218,46 +178,39 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
-    """(rid, marks) for rows (rid, text): where the repeated windows start, as (at, windows) pairs."""
-    segs = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_segment_rows, _SEG)
-    whole = "least = 0 AND content = 0"
-    by = ["least", "content", "windows"]
-    # marks of whole copies have no class to look for and are dealt by their row
-    key = F.when(F.expr(whole), F.col("rid")).otherwise(F.col("least"))
-    found = stage.write(segs.withColumn("k", key).repartition("k").sortWithinPartitions(*by).drop("k")
-                        .mapInArrow(_whole_or_class, _FOUND), "found")
-    pieces = (found.where("sort").groupBy("rid").agg(F.collect_list(F.struct("least", "at", "windows")).alias("pieces")))
-    n_pieces = found.where("sort").count()
-    if n_pieces * 24 <= DEFAULT_BROADCAST_BYTES:    # 24 bytes a piece; beyond, a shuffle join
-        pieces = F.broadcast(pieces)
-    text = rows.join(pieces, "rid").select("rid", "text", "pieces").mapInArrow(
+    """(rid, at, windows) for rows (rid, text): the runs of windows that repeat.
+
+    Segments are counted by content with partial counts per task, so a
+    passage that very many texts share is no hot group; the joins back read
+    written tables, which adaptive execution may split by a hot key."""
+    segs = stage.write(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_segment_rows, _SEG), "segments")
+    whole = (F.col("least") == 0) & (F.col("content") == 0)
+    same = ["least", "content", "windows"]
+    classes = stage.write(segs.where(~whole).groupBy(*same).agg(
+        F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"), F.max("recurs").alias("recurs")), "classes")
+    several = stage.write(classes.groupBy("least").agg(F.count("*").alias("k")).where("k > 1").select("least"), "several")
+    alone = classes.where("recurs").join(several, "least", "left_anti")
+    picked = stage.write(classes.join(several, "least", "left_semi").unionByName(alone)
+                         .select("least", "one.rid", "one.at", "windows"), "picked")
+    equal = segs.where(~whole).join(classes.where("n > 1").select(*same), same, "left_semi")
+
+    lists = picked.groupBy("rid").agg(F.collect_list(F.struct("least", "at", "windows")).alias("pieces"))
+    pieces = _join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
         _piece_rows, "least long, rid long, at int, piece binary").dropDuplicates(["least", "rid", "at"])
-    sorted_marks = text.repartition("least").sortWithinPartitions("least").mapInArrow(
+    sorted_marks = pieces.repartition("least").sortWithinPartitions("least").mapInArrow(
         _sort_shards, "rid long, at int, windows int")
-    marks = stage.write(found.where("NOT sort").select("rid", "at", "windows").unionByName(sorted_marks), "marks")
+    marks = stage.write(segs.where(whole).select("rid", "at", "windows")
+                        .unionByName(equal.select("rid", "at", "windows")).unionByName(sorted_marks), "marks")
+    stage.release("segments", "classes", "several", "picked")
     return marks
 
 
-def _whole_or_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole-copy marks pass through; the rest is grouped into classes."""
-    def rest() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            whole = (b.column(0).to_numpy() == 0) & (b.column(1).to_numpy() == 0)
-            if whole.any():
-                part = b.filter(pa.array(whole))
-                passed.append(pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(part.num_rows, bool)), *(part.column(i) for i in (0, 2, 3, 4))],
-                    names=["sort", "least", "rid", "at", "windows"]))
-                b = b.filter(pa.array(~whole))
-            yield b
-
-    passed: list[pa.RecordBatch] = []
-    for r in _classes(rest()):
-        yield r
-        while passed:
-            yield passed.pop()
-    while passed:
-        yield passed.pop()
+def _join_lists(rows: DataFrame, lists: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """Rows joined with lists of ``n`` entries in all: 24 bytes an entry, so
+    the size is known and small lists are broadcast; else texts are shuffled."""
+    if n * 24 <= DEFAULT_BROADCAST_BYTES:
+        lists = F.broadcast(lists)
+    return rows.join(lists, "rid", how)
 
 
 def _kept(text: str | None, marks: list[dict] | None) -> tuple[bytes, int, int, int]:
@@ -275,15 +228,14 @@ def _kept(text: str | None, marks: list[dict] | None) -> tuple[bytes, int, int,
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The columns of ``docs``, in order, then the ``marks`` of its text."""
     stage = Stage(docs.sparkSession, "suffix")
-    rid = F.xxhash64(F.col(doc_id), F.col(text))
-    marks = removal_marks(docs.select(rid.alias("rid"), F.col(text).alias("text")), stage).distinct()
-    n = marks.count()
-    lists = marks.groupBy("rid").agg(F.collect_list(F.struct("at", "windows")).alias("marks")).withColumnRenamed("rid", "mark_rid")
-    if n * 24 <= DEFAULT_BROADCAST_BYTES:           # 24 bytes a mark; beyond, a shuffle join
-        lists = F.broadcast(lists)
-    stage.release("found")
-    return docs.withColumn("__rid", rid).join(lists, F.col("__rid") == F.col("mark_rid"), "left").drop("__rid", "mark_rid")
+    rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    marks = removal_marks(rows, stage)
+    lists = marks.groupBy("rid").agg(F.collect_set(F.struct("at", "windows")).alias("marks"))
+    whole = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), *[
+        docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return _join_lists(whole, lists, marks.count(), "left").drop("rid")
 
 
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,7 +252,7 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                           + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
                           + [T.StructField("kept_sha256", T.StringType())])
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return _marked(slim, "doc_id", "text").select("doc_id", "text", "marks").mapInArrow(run, schema)
+    return _marked(slim, "doc_id", "text").mapInArrow(run, schema)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,6 +265,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                    for t, m in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names=docs_names)
 
-    return _marked(docs, doc_id, text).select(*docs.columns, "marks").mapInArrow(run, docs.schema)
+    docs_names = list(docs.columns)
+    return _marked(docs, doc_id, text).mapInArrow(run, docs.schema)
