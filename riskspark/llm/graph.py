@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.staging import Stage
 
-JUMPS = 3
+JUMPS = 2
 
 
 def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
@@ -27,13 +27,11 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
     known, k = None, 0
     while known is None or not e.isEmpty():
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        p = stage.write(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), f"{name}-p{k}")
-        for j in range(JUMPS):
-            q = p.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            new = f"{name}-p{k}j{j}"
-            p, old = stage.write(p.join(q, "p").select("u", F.col("pp").alias("p")), new), \
-                f"{name}-p{k}" + (f"j{j - 1}" if j else "")
-            stage.release(old)
+        p = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        p = stage.write(p, f"{name}-h{k}")
+        for _ in range(JUMPS):
+            p = p.join(p.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
+        p = stage.write(p, f"{name}-p{k}")
         pa, pb = (p.select(F.col("u").alias(c), F.col("p").alias(f"p{c}")) for c in ("a", "b"))
         renamed = e.join(pa, "a").join(pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         nxt = stage.write(renamed.where("a < b").distinct(), f"{name}-e{k + 1}")
@@ -43,6 +41,6 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
             new_known = (known.join(p.select(F.col("u").alias("root"), "p"), "root", "left")
                          .select("node", F.coalesce("p", "root").alias("root")))
         new_known = stage.write(new_known, f"{name}-m{k}")
-        stage.release(f"{name}-e{k}", f"{name}-p{k}j{JUMPS - 1}", *([f"{name}-m{k - 1}"] if k else []))
+        stage.release(f"{name}-e{k}", f"{name}-h{k}", f"{name}-p{k}", *([f"{name}-m{k - 1}"] if k else []))
         e, known, k = nxt, new_known, k + 1
     return known

@@ -46,7 +46,7 @@ from riskspark.plans.strategy import join_small
 SHINGLE = 5
 PARTS = 0.8             # parts of a window, over its smallest size
 HOT = 48
-PIVOTS = 16
+PIVOTS = 32
 SLICE_WORDS = 1 << 18
 KEPT_BYTES = 5          # bytes of each feature's hash that are compared when a pair is verified
 _ORDER = powers(SHINGLE + 1, 0xD6E8FEB86659FD93)[1:]
@@ -154,7 +154,7 @@ _FOUND = "hot boolean, x long, y long, a int, b int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node) -> pairs of short runs (x, y nodes, sizes
+    """Rows sorted by (sig, node) -> pairs of short runs (x < y nodes, slacks
     a, b) and the rows of long ones (x sig, y node, a size, b slack).  A run
     may span many batches; of an unfinished one at most HOT rows are held."""
     held = [np.zeros(0, np.int64) for _ in range(4)]
@@ -197,7 +197,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             a, b = cols[2][left], cols[2][right]
             near = 100 * np.minimum(a, b) >= 80 * np.maximum(a, b)
-            yield from emit(False, cols[1][left[near]], cols[1][right[near]], a[near], b[near])
+            left, right = left[near], right[near]
+            yield from emit(False, cols[1][left], cols[1][right], cols[3][left], cols[3][right])
         if long[:end].any():
             at = np.flatnonzero(np.repeat(long[:end], size[:end]))
             if not last and long[-1]:
@@ -247,12 +248,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     sigs = source.select("text").mapInArrow(_signatures, _SIG).repartition("sig").sortWithinPartitions("sig", "node")
     found = stage.write(sigs.mapInArrow(_runs, _FOUND), "found")
-    pairs = (found.where("NOT hot").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-             .agg((F.count("*") / F.max(F.col("a") + F.col("b"))).alias("near")))
     # a set with fewer hot signatures than its slack may do without them
     hot = found.where("hot").select(F.col("x").alias("sig"), F.col("y").alias("node"), F.col("a").alias("n"), F.col("b").alias("slack"))
-    heavy = hot.groupBy("node", "slack").agg(F.count("*").alias("d")).where("d >= slack").select("node", "slack")
+    dropped = stage.write(hot.groupBy("node", "slack").agg(F.count("*").alias("d")), "dropped")
+    heavy = dropped.where("d >= slack").select("node", "slack")
     hot = stage.write(hot.join(heavy, ["node", "slack"], "left_semi").select("sig", "node", "n"), "hot")
+    # a link shares as many signatures as either set's slack, all but the hot ones here
+    pairs = found.where("NOT hot").groupBy("x", "y", "a", "b").agg(F.count("*").alias("near"))
+    for node, slack in (("x", "a"), ("y", "b")):
+        pairs = (pairs.join(dropped.select(F.col("node").alias(node), F.col("slack").alias(slack), "d"), [node, slack], "left")
+                 .where(F.col("near") >= F.col(slack) - F.coalesce("d", F.lit(0))).drop("d"))
+    pairs = pairs.select("x", "y", "near")
 
     def against_members(rows_of: DataFrame, first: int, count: int) -> DataFrame:
         """Pairs of the rows with members first..first+count-1 (by node) of their signature."""
@@ -267,7 +273,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         if "comp" in rows_of.columns:
             met = met.where("comp != other_comp")
         return (met.groupBy(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"))
-                .agg((F.count("*") / F.max(F.col("n") + F.col("m"))).alias("near")))
+                .agg(F.count("*").alias("near")))
 
     pairs = stage.write(pairs.unionByName(against_members(hot, 0, PIVOTS))
                         .groupBy("x", "y").agg(F.max("near").alias("near")), "pairs")
@@ -300,7 +306,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     labels = stage.write(named.join(least, "root").select("node", "component_id"), "labels")
     out = rows.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    stage.release("found", "pairs", "hot", "classes", *(["sets", "wanted"] if sets_made else []))
+    stage.release("found", "dropped", "pairs", "hot", "classes", *(["sets", "wanted"] if sets_made else []))
     return out
 
 
@@ -328,9 +334,10 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp
         return stage.write(old.unionByName(fresh), f"{name}-all")
 
     rest = stage.write(apart(pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")).select("x", "y"), "rest")
-    if not rest.isEmpty():
-        comp = merge(verified(rest, "second"), "cc2")
-    first, count = PIVOTS, 2 * PIVOTS
+    more = verified(rest, "second").where("linked")
+    if not more.isEmpty():
+        comp = merge(more, "cc2")
+    first, count = PIVOTS, 4 * PIVOTS
     while True:
         # hot signatures whose members are still in several components
         named = with_comp(hot, comp, "node", "comp")
@@ -340,6 +347,7 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp
         if left.isEmpty():
             return comp
         more = stage.write(against_members(left, first, count).select("x", "y"), f"more{first}")
+        more = verified(more, f"tested{first}").where("linked")
         if not more.isEmpty():
-            comp = merge(verified(more, f"tested{first}"), f"cc3-{first}")
-        first, count = first + count, 2 * count
+            comp = merge(more, f"cc3-{first}")
+        first, count = first + count, 4 * count
