@@ -186,16 +186,19 @@ class Shard:
     @staticmethod
     def _tied(rank: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Those of ``live`` that share their rank with another of ``live``."""
-        if len(live) == 0:
-            return live
-        _, back, n = np.unique(rank[live], return_inverse=True, return_counts=True)
-        return live[n[back] > 1]
+        own = rank[live]
+        return live[np.bincount(own, minlength=1)[own] > 1] if len(live) else live
 
     @staticmethod
     def _refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> None:
         """Order the rows of each rank by key; a rank is the number of smaller rows."""
-        order = np.argsort(key, kind="stable") if not rank[live].any() else np.lexsort((key, rank[live]))
-        r, k = rank[live][order], key[order]
+        own = rank[live]
+        bits = int(key.max(initial=np.uint64(0))).bit_length()
+        if int(own.max(initial=0)).bit_length() + bits <= 63:
+            order = np.argsort(own.astype(np.uint64) << np.uint64(bits) | key)
+        else:
+            order = np.lexsort((key, own))
+        r, k = own[order], key[order]
         n = np.arange(len(r))
         new_group = np.concatenate([[True], r[1:] != r[:-1]])
         new_sub = new_group | np.concatenate([[True], k[1:] != k[:-1]])

@@ -84,14 +84,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     value = low[start]
     end = start + windows + length - 1
     content = mix((sums[end] - sums[start]) * q[start] + windows.astype(np.uint64))
-    recurs = np.zeros(len(start), bool)
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    for a in range(0, len(start), 8192):
-        s = slice(a, a + 8192)
-        left = (view[start[s]] == value[s, None]).argmax(1) + start[s]
-        tail = start[s] + windows[s] - 1
-        right = tail + width - 1 - (view[tail][:, ::-1] == value[s, None]).argmax(1)
-        recurs[s] = left != right
+    # A window that repeats within its segment makes the k-gram recur there with some period, so that it is met
+    # both as the first k-gram of a window and as the last k-gram of one, at different places.
+    opens = np.concatenate([[0], np.cumsum(h[:len(low)] == low)])
+    closes = np.concatenate([[0], np.cumsum(h[width - 1:] == low)])
+    stop = start + windows
+    inner = np.minimum(start + width - 1, stop)
+    met = opens[stop] - opens[start] + closes[stop] - closes[start] - (opens[stop] - opens[inner])
+    recurs = met > 1
     return text[start], start - offsets[:-1][text[start]], windows, value, content, recurs
 
 
