@@ -13,9 +13,11 @@ of 1 adds each of its features as a signature.
 Signatures shared by more than ``HOT`` sets come from common passages or
 large groups of copies.  As every link shares ``slack`` signatures, a set
 with fewer hot ones than that may drop them all and lose no link.  The rest
-(sets made of little else) are compared with some members of the hot
-signature, and then, while a hot signature still holds several components,
-with its other members too.
+(sets made of little else) keep their rarest hot ones, all but slack - 1, of
+which a pair sharing hot ones only must share one.  They are compared with
+some members of each, and then, while a hot signature still holds several
+components, with its other members too; parities of features by cell bound
+the distance of such a pair from below before it becomes a row.
 
 Candidate pairs are verified on the sets themselves: first the best pair of
 each document, then those whose ends are still in different components.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,7 @@ SHINGLE = 5
 PARTS = 0.8             # parts of a window, over its smallest size
 HOT = 48
 PIVOTS = 32
+PARITIES = 16           # longs of parities
 SLICE_WORDS = 1 << 18
 KEPT_BYTES = 5          # bytes of each feature's hash that are compared when a pair is verified
 _ORDER = powers(SHINGLE + 1, 0xD6E8FEB86659FD93)[1:]
@@ -220,6 +223,19 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array(sets, pa.binary())], names=["node", "f"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity of the number of features in each of 64 * PARITIES cells; the
+    parities of two sets differ in no more cells than the sets in features."""
+    for b in batches:
+        out = np.zeros((b.num_rows, 64 * PARITIES), np.uint8)
+        for k, raw in enumerate(b.column(1)):
+            cell = (_unpack(raw.as_py()) % np.uint64(64 * PARITIES)).astype(np.int64)
+            out[k] = np.bincount(cell, minlength=64 * PARITIES) & 1
+        words_ = np.packbits(out, axis=1, bitorder="little").view(np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(0, words_.size + 1, PARITIES, dtype=np.int32), words_.ravel())
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "bits"])
+
+
 def _unpack(raw: bytes) -> np.ndarray:
     wide = np.zeros((len(raw) // KEPT_BYTES, 8), np.uint8)
     wide[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
@@ -251,8 +267,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     # a set with fewer hot signatures than its slack may do without them
     hot = found.where("hot").select(F.col("x").alias("sig"), F.col("y").alias("node"), F.col("a").alias("n"), F.col("b").alias("slack"))
     dropped = stage.write(hot.groupBy("node", "slack").agg(F.count("*").alias("d")), "dropped")
-    heavy = dropped.where("d >= slack").select("node", "slack")
-    hot = stage.write(hot.join(heavy, ["node", "slack"], "left_semi").select("sig", "node", "n"), "hot")
+    heavy = dropped.where("d >= slack")
+    met = hot.groupBy("sig").agg(F.count("*").alias("freq"))
+    rarest = F.row_number().over(Window.partitionBy("node", "slack").orderBy("freq", "sig"))
+    hot = stage.write(hot.join(heavy, ["node", "slack"]).join(met, "sig").withColumn("r", rarest)
+                      .where(F.col("r") <= F.col("d") - F.greatest("slack", F.lit(1)) + 1).select("sig", "node", "n"), "hot")
     # a link shares as many signatures as either set's slack, all but the hot ones here
     pairs = found.where("NOT hot").groupBy("x", "y", "a", "b").agg(F.count("*").alias("near"))
     for node, slack in (("x", "a"), ("y", "b")):
@@ -260,23 +279,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                  .where(F.col("near") >= F.col(slack) - F.coalesce("d", F.lit(0))).drop("d"))
     pairs = pairs.select("x", "y", "near")
 
-    def against_members(rows_of: DataFrame, first: int, count: int) -> DataFrame:
-        """Pairs of the rows with members first..first+count-1 (by node) of their signature."""
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-        chosen = rows_of.withColumn("r", rank).where(F.col("r") <= first + count).where(F.col("r") > first)
-        chosen = chosen.select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
-                               *([F.col("comp").alias("other_comp")] if "comp" in rows_of.columns else []))
-        met = rows_of.join(stage.write(chosen, f"members{first}"), "sig").where("node != other") \
-            .where(100 * F.least("n", "m") >= 80 * F.greatest("n", "m"))
-        if "comp" in rows_of.columns:
-            met = met.where("comp != other_comp")
-        return (met.groupBy(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"))
-                .agg(F.count("*").alias("near")))
-
-    pairs = stage.write(pairs.unionByName(against_members(hot, 0, PIVOTS))
-                        .groupBy("x", "y").agg(F.max("near").alias("near")), "pairs")
+    pairs = stage.write(pairs.groupBy("x", "y").agg(F.max("near").alias("near")), "pairs")
 
     sets_made: list[DataFrame] = []
 
@@ -291,6 +294,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             sets_made.append(stage.write(made, "sets"))
         return sets_made[0]
 
+    def open_rows() -> DataFrame:
+        """Hot rows with the parities of their sets."""
+        bits = sets().join(hot.select("node").distinct(), "node", "left_semi").mapInArrow(_parities, "node long, bits array<long>")
+        return stage.write(hot.join(bits, "node"), "hot-bits")
+
+    def against_members(rows_of: DataFrame, first: int, count: int) -> DataFrame:
+        """Pairs of the rows with members first + 1 .. first + count (by node)
+        of their signature, as far as sizes, components and parities allow a link."""
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
+        chosen = rows_of.withColumn("r", rank).where(F.col("r") <= first + count).where(F.col("r") > first)
+        chosen = stage.write(chosen.select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
+                                           F.col("comp").alias("other_comp"), F.col("bits").alias("other_bits")), f"members{first}")
+        differ = " + ".join(f"bit_count(bits[{i}] ^ other_bits[{i}])" for i in range(PARITIES))
+        return (rows_of.join(chosen, "sig")
+                .where("node <> other AND comp <> other_comp AND 100 * least(n, m) >= 80 * greatest(n, m)")
+                .where(f"9 * ({differ}) <= n + m")       # sets this similar differ in (n + m) / 9 features at most
+                .select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
+
     def verified(some: DataFrame, name: str) -> DataFrame:
         fx, fy = (sets().select(F.col("node").alias(c), F.col("f").alias(f"f{c}")) for c in ("x", "y"))
         return stage.write(some.select("x", "y").join(fx, "x").join(fy, "y").select("x", "y", "fx", "fy")
@@ -300,7 +321,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         return (df.join(comp.select(F.col("node").alias(col), F.col("root").alias(out)), col, "left")
                 .withColumn(out, F.coalesce(out, col)))
 
-    comp = _link_up(stage, pairs, hot, verified, with_comp, against_members)
+    comp = _link_up(stage, pairs, hot, open_rows, verified, with_comp, against_members)
     named = (classes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stage.write(named.join(least, "root").select("node", "component_id"), "labels")
@@ -310,11 +331,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
-def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp, against_members) -> DataFrame:
+def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, open_rows, verified, with_comp, against_members) -> DataFrame:
     """(node, root) of the links among the candidates."""
-    empty = stage.spark.createDataFrame([], "node long, root long")
-    if pairs.isEmpty():
-        return empty
+    if pairs.isEmpty() and hot.isEmpty():
+        return stage.spark.createDataFrame([], "node long, root long")
     best = (pairs.select(F.col("x").alias("u"), "near", "x", "y").unionByName(pairs.select(F.col("y").alias("u"), "near", "x", "y"))
             .groupBy("u").agg(F.max(F.struct("near", "x", "y")).alias("m")).select("m.x", "m.y").distinct())
     tested = verified(best, "first")
@@ -337,16 +357,19 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp
     more = verified(rest, "second").where("linked")
     if not more.isEmpty():
         comp = merge(more, "cc2")
-    first, count = PIVOTS, 4 * PIVOTS
+    if hot.isEmpty():
+        return comp
+    hot = open_rows()
+    first, count = 0, PIVOTS
     while True:
         # hot signatures whose members are still in several components
         named = with_comp(hot, comp, "node", "comp")
-        split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")) \
-            .where((F.col("lo") != F.col("hi")) & (F.col("size") > first)).select("sig")
-        left = stage.write(named.join(split, "sig", "left_semi"), f"open{first}")
-        if left.isEmpty():
+        split = stage.write(named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+                            .where((F.col("lo") != F.col("hi")) & (F.col("size") > first + (first > 0))).select("sig"), f"split{first}")
+        if split.isEmpty():
             return comp
-        more = stage.write(against_members(left, first, count).select("x", "y"), f"more{first}")
+        left = stage.write(named.join(split, "sig", "left_semi"), f"open{first}")
+        more = stage.write(against_members(left, first, count), f"more{first}")
         more = verified(more, f"tested{first}").where("linked")
         if not more.isEmpty():
             comp = merge(more, f"cc3-{first}")
