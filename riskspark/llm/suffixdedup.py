@@ -37,9 +37,9 @@ from riskspark.plans.strategy import DEFAULT_BROADCAST_BYTES
 
 LENGTH = 200
 GRAM = 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MAX_WINDOWS = 4096      # windows in one segment; longer runs are cut
-SHARD_BYTES = 6 << 20   # bytes sorted together, unless one hash alone has more
+SHARD_BYTES = 2 << 20   # bytes sorted together, unless one hash alone has more
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,12 +150,14 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by hash -> marks (rid, at, windows).  A shard holds whole hashes."""
+    """Pieces sorted by hash -> marks (rid, at, windows).  A shard holds whole
+    hashes; pieces that repeated rows bring twice are sorted once."""
     rows: list[tuple[int, int, int, bytes]] = []
     size = 0
 
     def sort_now(part: list) -> Iterator[pa.RecordBatch]:
         rid, at, n = [], [], []
+        part = list({x[:3]: x for x in part}.values())
         for (_, r, a, _), starts in zip(part, repeated_starts([x[3] for x in part], LENGTH)):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1) + 1
@@ -196,7 +198,7 @@ def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
 
     lists = picked.groupBy("rid").agg(F.collect_list(F.struct("least", "at", "windows")).alias("pieces"))
     pieces = _join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
-        _piece_rows, "least long, rid long, at int, piece binary").dropDuplicates(["least", "rid", "at"])
+        _piece_rows, "least long, rid long, at int, piece binary")
     sorted_marks = pieces.repartition("least").sortWithinPartitions("least").mapInArrow(
         _sort_shards, "rid long, at int, windows int")
     marks = stage.write(segs.where(whole).select("rid", "at", "windows")
