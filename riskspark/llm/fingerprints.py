@@ -51,7 +51,7 @@ def _merged(cells: str) -> str:
     both = (f"named_struct('c', x.c, 'n', {last}.n + x.n, 'k', {last}.k ^ x.k, 'h', {last}.h ^ x.h)")
     step = (f"if(size(acc) > 0 AND {last}.c = x.c, concat(slice(acc, 1, size(acc) - 1), array({both})), "
             "concat(acc, array(x)))")
-    return (f"filter(aggregate(array_sort({cells}), CAST(array() AS array<{CELL}>), (acc, x) -> {step}), "
+    return (f"filter(aggregate(sort_array({cells}), CAST(array() AS array<{CELL}>), (acc, x) -> {step}), "
             "x -> x.n <> 0 OR x.k <> 0 OR x.h <> 0)")
 
 
