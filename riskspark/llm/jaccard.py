@@ -275,7 +275,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     # a link shares as many signatures as either set's slack, all but the hot ones here
     pairs = found.where("NOT hot").groupBy("x", "y", "a", "b").agg(F.count("*").alias("near"))
     for node, slack in (("x", "a"), ("y", "b")):
-        pairs = (pairs.join(dropped.select(F.col("node").alias(node), F.col("slack").alias(slack), "d"), [node, slack], "left")
+        pairs = (join_small(pairs, dropped.select(F.col("node").alias(node), F.col("slack").alias(slack), "d"), [node, slack], "left")
                  .where(F.col("near") >= F.col(slack) - F.coalesce("d", F.lit(0))).drop("d"))
     pairs = pairs.select("x", "y", "near")
 
