@@ -43,12 +43,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    p = np.full(n, base, dtype=np.uint64)
-    if n:
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-    return p
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept up to a block's length."""
+    known = _POWERS.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
+    p = np.full(max(n, 1), base, dtype=np.uint64)
+    p[0] = 1
+    np.multiply.accumulate(p, out=p)
+    if n <= BLOCK_BYTES:
+        _POWERS[base] = p
+    return p[:n]
 
 
 def word_blocks(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()
