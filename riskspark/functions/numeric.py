@@ -70,3 +70,13 @@ def argmax3_label(p0, p1, p2, labels=rules.SENTIMENT_LABELS) -> Column:
         .when(p1 >= p2, F.lit(labels[1]))
         .otherwise(F.lit(labels[2]))
     )
+
+
+def unparsable(cell) -> Column:
+    """True for a cell that is present but is no number ('' included)."""
+    return cell.isNotNull() & cell.try_cast("double").isNull()
+
+
+def safe_float(cell, default: float) -> Column:
+    """The cell as DOUBLE; ``default`` if it is no number; NULL stays NULL."""
+    return F.when(unparsable(cell), F.lit(default)).otherwise(cell.try_cast("double"))

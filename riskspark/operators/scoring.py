@@ -93,9 +93,9 @@ def keyword_risk_v1(text, profile: rules.RiskProfile = rules.DEFAULT_PROFILE) ->
 
 def engagement_risk(likes, comments) -> Column:
     """total <= 0 -> 0, else clamp(total / 100000)."""
-    total = _c(likes) + _c(comments)
+    total = _c(likes).cast("double") + _c(comments).cast("double")  # two large counts overflow a BIGINT
     return F.when(total <= 0, F.lit(0.0)).otherwise(
-        N.clamp01(total.cast("double") / F.lit(rules.ENGAGEMENT_SCALE))
+        N.clamp01(total / F.lit(rules.ENGAGEMENT_SCALE))
     )
 
 
@@ -141,8 +141,9 @@ def face_video_risk(emotion, score, missing_as_max: bool = True) -> Column:
     """.5 base(emotion) + .5 clamp(score, read as percent above 1.5).
 
     A missing score is NaN in the reproduced behaviour and clamps to 1.0
-    (``missing_as_max``); otherwise it stays NULL."""
-    s = _c(score).cast("double")
+    (``missing_as_max``); otherwise it stays NULL.  A cell that is no number
+    counts as 0."""
+    s = N.safe_float(_c(score), 0.0)
     s = F.when(s > F.lit(rules.FACE_PERCENT_CUTOFF), s / F.lit(100.0)).otherwise(s)
     s = N.clamp01(s)
     if missing_as_max:
@@ -155,9 +156,10 @@ def visual_video_risk(sad, angry, brightness, motion, missing_as_max: bool = Tru
 
     With ``missing_as_max`` a missing value behaves like the NaN it is in the
     reproduced behaviour: sad/angry NaN -> 1.0, brightness NaN -> dull 0,
-    motion NaN -> 1."""
-    vs, va = _c(sad).cast("double"), _c(angry).cast("double")
-    vb, vm = _c(brightness).cast("double"), _c(motion).cast("double")
+    motion NaN -> 1.  A cell that is no number takes its default: 0, for
+    brightness 128."""
+    vs, va = N.safe_float(_c(sad), 0.0), N.safe_float(_c(angry), 0.0)
+    vb, vm = N.safe_float(_c(brightness), rules.VISUAL_DEFAULT_BRIGHTNESS), N.safe_float(_c(motion), 0.0)
     bright_norm = N.clamp01(vb / F.lit(rules.VISUAL_BRIGHT_SCALE))
     motion_norm = N.clamp01(vm / F.lit(rules.VISUAL_MOTION_SCALE))
     if missing_as_max:

@@ -165,3 +165,28 @@ def test_lexicon_scorer(spark):
     assert (got[1].neg, got[1].neu, got[1].pos) == (0.0, 1.0, 0.0)
     assert got[2].sentiment == "NEU"  # one distinct positive word: neu 2/3 > pos 1/3
     _ = F
+
+
+def test_bad_cells_and_large_counts_do_not_stop_the_job(spark):
+    from pyspark.sql import functions as F
+
+    from riskspark.operators import scoring as S
+
+    df = spark.createDataFrame(
+        [("sad", "n/a", "n/a", "0.1", "", "10", 2**63 - 1), ("sad", "85.0", "0.5", "0.1", "0", "40", 5)],
+        "emotion string, score string, sad string, angry string, bright string, motion string, likes bigint")
+    got = df.select(S.face_video_risk("emotion", "score").alias("face"),
+                    S.visual_video_risk("sad", "angry", "bright", "motion").alias("visual"),
+                    S.engagement_risk("likes", "likes").alias("eng")).collect()
+    assert got[0]["face"] == 0.35 and abs(got[1]["face"] - 0.775) < 1e-12
+    assert abs(got[0]["visual"] - (0.25 * 0.1 + 0.2 * (1 - 128 / 255) + 0.1 * 0.5)) < 1e-12
+    assert abs(got[1]["visual"] - 0.55) < 1e-12
+    assert got[0]["eng"] == 1.0
+
+
+def test_describe_skips_nan(spark):
+    from riskspark.operators.report import describe
+
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    row = describe(df, "v").first()
+    assert row["count"] == 2 and row["mean"] == 2.0 and row["max"] == 3.0
