@@ -44,6 +44,7 @@ NOTICES = (
      "the following conditions are met", "notice-bsd"),
     ("this work is licensed under a creative commons attribution", "notice-cc"),
 )
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"    # WORD before capitals are lowered: as many words
 MAX_PAIRS = 62          # votes of a template fit the bits of a long
 SHARE = 0.6             # part of a notice's pairs that must be hit
 MERGE = 2               # diagonals this near belong to one span
@@ -101,7 +102,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         listed(F.collect_set(F.when(whole, F.col("label")))).alias("base_labels"),
         listed(F.collect_set(F.when(named, F.col("label")))).alias("labels"), F.max("part").alias("score"))
     found = found.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    all_rows = rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
+    all_rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
+                           F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     return (all_rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")),
                           "left")
             .select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
