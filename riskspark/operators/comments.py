@@ -53,7 +53,7 @@ def label_risk(label) -> "F.Column":
 
 def comment_risk(videos: DataFrame, comments: DataFrame, tag_col: str = "tag", video_col: str = "video_url",
                  status_col: str | None = "status", make_scorer: Callable | None = None,
-                 n: int = rules.MAX_COMMENTS_PER_VIDEO,
+                 n: int | None = None,
                  profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> DataFrame:
     """Per-video comment risk (tag, video_url, n_comments, neg/neu/pos counts,
     risk_score rounded to 3, risk_level from the unrounded mean).
@@ -64,7 +64,7 @@ def comment_risk(videos: DataFrame, comments: DataFrame, tag_col: str = "tag", v
     from riskspark.schemas import require_columns
 
     require_columns(videos, [tag_col, video_col])
-    top = comment_topn(comments, video_col, "pos", "text", n)
+    top = comment_topn(comments, video_col, "pos", "text", profile.max_comments if n is None else n)
     labelled = SE.score_sentiment(top, "text", make_scorer, profile=profile)
     lab = F.col("sentiment")
     agg = labelled.groupBy(video_col).agg(

@@ -3,8 +3,8 @@
 The long form is the exact feature definition (the one checked against
 SQL):
 
-* word n-grams: lower-cased tokens of two or more word characters; 1- and
-  2-grams of consecutive tokens joined by one space;
+* word n-grams: lower-cased tokens of two or more word characters; 1-grams,
+  or 1- and 2-grams of consecutive tokens joined by one space;
 * char n-grams within word boundaries: each whitespace-separated word is
   padded with one space on both sides; n runs from 3 to 5 and stops at the
   first n that reaches the padded length (that gram is the whole word);
@@ -69,9 +69,13 @@ def char_terms_of_padded(padded: Column, lo: int = 3, hi: int = 5) -> Column:
     ))
 
 
-def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "word") -> DataFrame:
-    """(doc, term, tf BIGINT) for every term occurring in a document.  The
-    result is partitioned by document."""
+def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "word",
+                max_words: int = 2) -> DataFrame:
+    """(doc, term, tf BIGINT) for every term occurring in a document.  Word
+    terms are n-grams of up to ``max_words`` (1 or 2) tokens.  The result is
+    partitioned by document."""
+    if max_words not in (1, 2):
+        raise ValueError(f"max_words must be 1 or 2, not {max_words}")
     # an explicit count: adaptive execution would merge a byte-small corpus
     # into one task, but exploding text is CPU-heavy
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -81,7 +85,7 @@ def term_counts(corpus: DataFrame, doc_col: str, text_col: str, kind: str = "wor
         # common-subexpression elimination, so the tokenizer would otherwise
         # run once per reference in the n-gram expression
         toks = corpus.select(doc_col, X.tokens(F.col(text_col), P.TOKEN2).alias("__toks"))
-        terms = toks.select(doc_col, F.explode(word_terms_of(F.col("__toks"))).alias("term"))
+        terms = toks.select(doc_col, F.explode(word_terms_of(F.col("__toks")) if max_words == 2 else F.col("__toks")).alias("term"))
     elif kind == "char":
         low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
         words = corpus.select(doc_col, F.explode(F.split(low, P.WS + "+")).alias("w")).filter(F.col("w") != "")
@@ -105,9 +109,10 @@ class TfidfSpec:
     min_df: int = 1
     max_df: float = 1.0
     sublinear: bool = False
+    max_words: int = 2      # longest word n-gram, in tokens
 
 
-V1_WORD = TfidfSpec("word", rules.V1_MAX_FEATURES)
+V1_WORD = TfidfSpec("word", rules.V1_MAX_FEATURES, max_words=1)
 V2_WORD = TfidfSpec("word", rules.V2_WORD_MAX_FEATURES, rules.V2_MIN_DF, rules.V2_WORD_MAX_DF, True)
 V2_CHAR = TfidfSpec("char", rules.V2_CHAR_MAX_FEATURES, rules.V2_MIN_DF, rules.V2_CHAR_MAX_DF, True)
 
@@ -162,7 +167,7 @@ def tfidf(corpus: DataFrame, doc_col: str, text_col: str, spec: TfidfSpec,
     """(weights, vocabulary): weights = (doc, term, weight) for kept terms."""
     if n_docs is None:
         n_docs = corpus.select(doc_col).count()
-    counts = term_counts(corpus, doc_col, text_col, spec.kind)
+    counts = term_counts(corpus, doc_col, text_col, spec.kind, spec.max_words)
     vocab = vocabulary(counts, n_docs, spec, doc_col).cache()  # V rows: measured, then broadcast
     kept = join_small(counts, vocab.select("term", "idf"), "term")
     tf = F.col("tf").cast("double")

@@ -1,25 +1,29 @@
 """Frame statistics -> atmosphere scores of a video.
 
-Frames are rows (video_id, frame, width, height, gray ARRAY<INT>) with a
-dense frame index.  Per frame, brightness (mean gray) and blur (variance of
+Frames are rows (video_id, frame, width, height, gray ARRAY<INT>); frame
+numbers may have gaps.  Per frame, brightness (mean gray) and blur (variance of
 the 4-neighbour Laplacian, border reflected without repeating the edge) are
 array higher-order functions on the JVM.  Motion needs the previous frame:
-an equi-join on (video_id, frame - 1), shuffled on both keys, so a video
-with very many frames is spread over many tasks (a ``lag`` window would
-put the whole video into one).  Video means are partial + final
+its number is found on (video_id, frame) alone, in chunks of frame numbers,
+then the pixels meet in an equi-join on (video_id, frame), shuffled on both
+keys, so a video with very many frames is spread over many tasks (a ``lag``
+window over the pixels would put the whole video into one).  Video means are partial + final
 aggregations.  As in the reproduced behaviour, the first frame only serves
 as the previous frame of the second; a single-frame video scores 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import rules
 from riskspark.functions import numeric as N
 
 
+CHUNK = 4096     # frame numbers in one window
+
+
 def _refl(i: Column, n: Column) -> Column:
     r = F.when(i < 0, -i).when(i >= n, F.lit(2) * n - F.lit(2) - i).otherwise(i)
     return F.greatest(F.lit(0), F.least(n - F.lit(1), r))
@@ -79,10 +83,26 @@ def atmosphere(blur: Column, bright: Column, motion: Column) -> dict[str, Column
     return {"happy": happy / total, "sad": sad / total, "angry": angry / total, "calm": calm / total}
 
 
+def previous_frames(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(video_id, frame, prev_frame) of every frame that has an earlier one in
+    its video.  Within a chunk of ``chunk`` frame numbers the earlier one is a
+    ``lag``; a chunk's first frame follows the last one of the chunk before,
+    so no window holds more than ``chunk`` frames, or one row a chunk."""
+    ids = frames.select("video_id", "frame", F.floor(F.col("frame") / F.lit(chunk)).alias("__c"))
+    inside = Window.partitionBy("video_id", "__c").orderBy("frame")
+    rows = ids.select("video_id", "frame", F.lag("frame").over(inside).alias("prev_frame"))
+    ends = ids.groupBy("video_id", "__c").agg(F.min("frame").alias("frame"), F.max("frame").alias("__last"))
+    across = ends.select("video_id", "frame", F.lag("__last").over(
+        Window.partitionBy("video_id").orderBy("__c")).alias("prev_frame"))
+    return rows.where("prev_frame IS NOT NULL").unionByName(across.where("prev_frame IS NOT NULL"))
+
+
 def frame_features(frames: DataFrame, places: int | None = 6) -> DataFrame:
     """(video_id, blur, brightness, motion, happy, sad, angry, calm)."""
-    cur = frames.select("video_id", "frame", "width", "height", "gray").filter(F.col("frame") >= 1)
-    prev = frames.select("video_id", (F.col("frame") + F.lit(1)).alias("frame"), F.col("gray").alias("prev"))
+    follows = previous_frames(frames)
+    cur = frames.select("video_id", "frame", "width", "height", "gray")
+    prev = frames.select("video_id", F.col("frame").alias("prev_frame"), F.col("gray").alias("prev")).join(
+        follows, ["video_id", "prev_frame"])
     pairs = cur.join(prev, ["video_id", "frame"], "inner")
     per_frame = with_blur(pairs).select(
         "video_id", "blur",

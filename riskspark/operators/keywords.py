@@ -1,13 +1,12 @@
 """Keyword dictionary matching as a join (for user-supplied dictionaries).
 
 The built-in lists are matched by one fused ``contains`` expression
-(``functions.text.keyword_hits``).  A user dictionary is a table, so it is
-matched with a join whose predicate is ``contains(lower(text), keyword)``:
-an inequality predicate, which Spark can only run as a nested-loop join.
-That is done with the dictionary broadcast, and only after its size has
-been checked.  A dictionary above the bound is split into hash slices that
-each fit the bound; each slice is one broadcast pass, and the matches of
-all passes are counted together.
+(``functions.text.keyword_hits``).  A user dictionary is a table of any
+size.  Each entry is keyed by its first ``GRAM`` characters (all of it, if
+shorter); each position of a text gives one row per key length in use, with
+the characters from there on, as many as the longest entry has.  The two
+meet in an equi-join on the key and a start-of-string test, so no text is
+compared with entries whose key it does not contain.
 """
 
 from __future__ import annotations
@@ -15,40 +14,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 50_000
+from riskspark.plans.strategy import join_small
 
-
-def _matches(texts: DataFrame, dictionary: DataFrame, id_col: str) -> DataFrame:
-    return texts.join(F.broadcast(dictionary), F.col("__lc").contains(F.col("__kw")), "left").select(
-        id_col, "__kw"
-    )
+GRAM = 3
+BLOCK = 256
 
 
 def keyword_hits_join(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str,
-                      keyword_col: str = "keyword",
-                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                      keyword_col: str = "keyword", gram: int = GRAM) -> DataFrame:
     """(id, kw_hits BIGINT): number of distinct dictionary entries occurring as
-    substrings of lower(text).  Texts without a hit get 0."""
-    dic = dictionary.select(F.lower(F.col(keyword_col)).alias("__kw")).filter(
-        F.col("__kw").isNotNull() & (F.length("__kw") > 0)
-    ).distinct()
-    t = texts.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lc"))
-    n = dic.count()  # a small action on the dictionary only: proves the bound
-    if n <= max_broadcast_rows:
-        matched = _matches(t, dic, id_col)
-    else:
-        slices = -(-n // max_broadcast_rows) * 2  # hash slices well under the bound
-        dic = dic.withColumn("__slice", F.pmod(F.xxhash64("__kw"), F.lit(slices)))
-        largest = dic.groupBy("__slice").count().agg(F.max("count")).first()[0]
-        if largest > max_broadcast_rows:
-            raise ValueError(f"dictionary slice of {largest} rows exceeds the broadcast bound")
-        parts = [
-            _matches(t, dic.filter(F.col("__slice") == i).select("__kw"), id_col).filter(F.col("__kw").isNotNull())
-            for i in range(slices)
-        ]
-        matched = parts[0]
-        for p in parts[1:]:
-            matched = matched.unionByName(p)
-        # texts with no hit at all still need a row
-        matched = matched.unionByName(t.select(id_col, F.lit(None).cast("string").alias("__kw")))
-    return matched.groupBy(id_col).agg(F.count_distinct("__kw").cast("bigint").alias("kw_hits"))
+    substrings of lower(text).  Texts without a hit, NULL texts among them,
+    get 0; NULL and empty entries match nothing; an id that repeats gets one
+    row, with the entries of all its texts."""
+    dic = dictionary.select(F.lower(F.col(keyword_col)).alias("__kw")).filter(F.length("__kw") > 0).distinct()
+    dic = dic.withColumn("__key", F.substring("__kw", 1, gram))
+    # one row of bounds on the dictionary: key lengths in use, longest entry
+    bounds = dic.agg(F.collect_set(F.length("__key")).alias("sizes"), F.max(F.length("__kw")).alias("longest")).first()
+    sizes, longest = sorted(bounds["sizes"]), bounds["longest"] or 0
+    ids = texts.select(id_col)
+    if not sizes:
+        return ids.distinct().select(id_col, F.lit(0).cast("bigint").alias("kw_hits"))
+    low = texts.select(id_col, F.lower(F.col(text_col)).alias("__lc")).filter(F.length("__lc") > 0)
+    # blocks first: cutting at a position reads the string up to there
+    at = low.select(id_col, "__lc", F.explode(F.sequence(F.lit(1), F.length("__lc"), F.lit(BLOCK))).alias("__i"))
+    block = at.select(id_col, F.substring("__lc", F.col("__i"), F.lit(BLOCK + longest - 1)).alias("__b"))
+    at = block.select(id_col, "__b", F.explode(F.sequence(F.lit(1), F.least(F.length("__b"), F.lit(BLOCK)))).alias("__i"))
+    heads = at.select(id_col, F.substring("__b", F.col("__i"), F.lit(longest)).alias("__head"))
+    keys = F.array(*[F.substring("__head", 1, n) for n in sizes])
+    grams = heads.select(id_col, "__head", F.explode(F.array_distinct(keys)).alias("__key"))
+    hits = join_small(grams, dic, "__key").filter(F.col("__head").startswith(F.col("__kw")))
+    found = hits.select(id_col, "__kw").distinct().unionByName(ids.select(id_col, F.lit(None).cast("string").alias("__kw")))
+    return found.groupBy(id_col).agg(F.count("__kw").cast("bigint").alias("kw_hits"))

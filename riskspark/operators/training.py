@@ -222,31 +222,32 @@ def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "pre
 # --- Spark ML pipelines ------------------------------------------------------
 
 def _char_sql(col: str) -> str:
-    """SQL of the char n-gram array (same definition as the long form).
-    Words are padded once, not once per n-gram."""
-    ws = P.WS + "+"
-    return (
-        f"flatten(transform(transform(filter(split(lower(coalesce({col}, '')), r'{ws}'), w -> w != ''), "
-        "w -> concat(' ', w, ' ')), "
-        "p -> flatten(transform(sequence(3, least(5, length(p))), "
-        "n -> transform(sequence(1, length(p) + 1 - n), i -> substring(p, i, n))))))"
-    )
+    """SQL of the char n-gram array (same definition as the long form): at
+    every position of the words, padded with one space, the 3 to 5 characters
+    from there on that lie within one padded word.  Patterns, not lambdas: a
+    Python stage follows, and Spark does not plan one over lambdas."""
+    padded = f"concat(' ', trim(regexp_replace(lower(coalesce({col}, '')), r'{P.WS}+', ' ')), ' ')"
+    return "concat(" + ", ".join(
+        f"regexp_extract_all({padded}, r'(?s)(?=( [^ ]{{{n - 1}}}|[^ ]{{{n}}}|[^ ]{{{n - 1}}} | [^ ]{{{n - 2}}} )).', 1)"
+        for n in (3, 4, 5)) + ")"
 
 
 def pipeline_v1(text_col: str = "text", label_col: str = "label", trees: int = rules.V1_TREES,
                 max_depth: int = 30, seed: int = rules.SPLIT_SEED):
-    """Word TF-IDF (5,000 terms) + random forest.  Spark caps tree depth at 30.
+    """Word TF-IDF (5,000 single words, idf + 1) + random forest.  Spark caps tree depth at 30.
     The forest caches node ids and checkpoints them every 10 iterations into
     the shared ``spark.checkpoint.dir``, so deep-tree lineage stays short and
     survives lost executors."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer
+    from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer, StringIndexer
+
+    from riskspark.operators.vectors import SmoothIdf
 
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=P.TOKEN2, gaps=False, toLowercase=True),
         CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=rules.V1_MAX_FEATURES),
-        IDF(inputCol="tf", outputCol="tfidf"),
+        SmoothIdf(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
         StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
@@ -257,13 +258,16 @@ def pipeline_v1(text_col: str = "text", label_col: str = "label", trees: int = r
 
 def pipeline_v2(text_col: str = "text", label_col: str = "label", trees: int = rules.V2_TREES,
                 max_depth: int = 30, seed: int = rules.SPLIT_SEED, weight_col: str | None = "weight"):
-    """Word 1-2-gram (60,000) + char 3-5-gram (80,000) TF-IDF, assembled, and a
+    """Word 1-2-gram (60,000) + char 3-5-gram (80,000) TF-IDF with sublinear tf
+    and idf + 1, assembled, and a
     class-balanced random forest (weights n / (k * n_class))."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import (IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+    from pyspark.ml.feature import (CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                     StringIndexer, VectorAssembler)
 
+    from riskspark.operators.vectors import SmoothIdf, SublinearTf
+
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
                                 seed=seed, featureSubsetStrategy="sqrt",
                                cacheNodeIds=True, checkpointInterval=10)
@@ -276,11 +280,13 @@ def pipeline_v2(text_col: str = "text", label_col: str = "label", trees: int = r
                                  "FROM __THIS__"),
         CountVectorizer(inputCol="words12", outputCol="wtf", vocabSize=rules.V2_WORD_MAX_FEATURES,
                         minDF=float(rules.V2_MIN_DF), maxDF=rules.V2_WORD_MAX_DF),
-        IDF(inputCol="wtf", outputCol="widf"),
+        SublinearTf(inputCol="wtf", outputCol="wlog"),
+        SmoothIdf(inputCol="wlog", outputCol="widf"),
         Normalizer(inputCol="widf", outputCol="wvec", p=2.0),
         CountVectorizer(inputCol="chars", outputCol="ctf", vocabSize=rules.V2_CHAR_MAX_FEATURES,
                         minDF=float(rules.V2_MIN_DF), maxDF=rules.V2_CHAR_MAX_DF),
-        IDF(inputCol="ctf", outputCol="cidf"),
+        SublinearTf(inputCol="ctf", outputCol="clog"),
+        SmoothIdf(inputCol="clog", outputCol="cidf"),
         Normalizer(inputCol="cidf", outputCol="cvec", p=2.0),
         VectorAssembler(inputCols=["wvec", "cvec"], outputCol="features"),
         StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
@@ -307,9 +313,11 @@ def fitted_labels(model) -> list[str]:
     raise ValueError("pipeline has no StringIndexerModel")
 
 
-def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf_probs") -> DataFrame:
+def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf_probs",
+                           nnz: str | None = None) -> DataFrame:
     """Transform once and read the probability vector by class *name*:
-    ``out`` = [P(HIGH), P(LOW), P(MEDIUM)], a class unseen in training -> 0."""
+    ``out`` = [P(HIGH), P(LOW), P(MEDIUM)], a class unseen in training -> 0.
+    ``nnz`` names a further column, the non-zero entries of the feature vector."""
     from pyspark.ml.functions import vector_to_array
 
     labels = fitted_labels(model)
@@ -321,25 +329,38 @@ def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf
     arr = vector_to_array(F.col("probability"))
     probs = [arr[labels.index(lab)] if lab in labels else F.lit(0.0) for lab in rules.LEVELS]
     keep = [c for c in df.columns]
-    return scored.select(*keep, F.array(*probs).alias(out))
+    more = [F.udf(lambda v: v.numNonzeros(), "long")("features").alias(nnz)] if nnz else []
+    return scored.select(*keep, F.array(*probs).alias(out), *more)
 
 
-def fit_or_load(pipeline, train: DataFrame, key: str):
-    """Fit ``pipeline`` once and keep the model in the shared checkpoint
-    folder (``spark.checkpoint.dir``); later calls with the same key load
-    it instead of refitting."""
+def data_key(pipeline, train: DataFrame) -> str:
+    """A key over every row and column of ``train`` (in any order) and every
+    parameter of every stage."""
     import hashlib
-    import os
 
+    row = F.xxhash64(*sorted(train.columns))
+    n, a, b = train.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1_000_003)))).first()
+    stages = [(type(st).__name__, sorted((p.name, str(v)) for p, v in st.extractParamMap().items()
+                                         if p.name not in ("inputCol", "outputCol") or not str(v).startswith(st.uid)))
+              for st in pipeline.getStages()]
+    return hashlib.sha256(repr((n, a, b, sorted(train.dtypes), stages)).encode()).hexdigest()[:32]
+
+
+def fit_or_load(pipeline, train: DataFrame):
+    """Fit ``pipeline`` once and keep the model in the shared checkpoint
+    folder (``spark.checkpoint.dir``); a later call with the same rows and
+    parameters loads it.  Other rows or parameters give another model; a
+    model that cannot be read is an error."""
     from pyspark.ml import PipelineModel
 
     from riskspark.session import ensure_checkpoint_dir
 
-    root = ensure_checkpoint_dir(train.sparkSession)
-    path = os.path.join(root, "models", hashlib.sha1(key.encode()).hexdigest()[:16])
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - not saved yet
-        model = pipeline.fit(train)
-        model.write().overwrite().save(path)
-        return PipelineModel.load(path)
+    spark = train.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{data_key(pipeline, train)}"
+    # the metadata is written first, the marker last: a model without it is incomplete
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.done")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        pipeline.fit(train).write().overwrite().save(path)
+        fs.create(done, True).close()
+    return PipelineModel.load(path)

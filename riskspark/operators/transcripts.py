@@ -26,12 +26,12 @@ def transcript_build(segments: DataFrame, video_col: str = "video_id", seg_col:
                      summary_chars: int = rules.SUMMARY_CHARS) -> DataFrame:
     """(video, transcript, summary): segment texts (invalid UTF-8 dropped)
     joined by one space in segment order, stripped; summary = first
-    ``summary_chars`` characters."""
-    seg = segments.select(video_col, seg_col, X.drop_invalid_utf8(F.col(text_col)).alias(text_col)).filter(
-        F.col(text_col).isNotNull())
+    ``summary_chars`` characters.  NULL texts are left out; a video with no
+    other text has an empty transcript."""
+    seg = segments.select(video_col, seg_col, X.drop_invalid_utf8(F.col(text_col)).alias(text_col))
     chunks = (seg.withColumn("__chunk", F.floor(F.col(seg_col) / F.lit(chunk_segments)))
               .groupBy(video_col, "__chunk")
-              .agg(_ordered_join(seg_col, text_col).alias("__part")))
+              .agg(F.when(F.count(text_col) > 0, _ordered_join(seg_col, text_col)).alias("__part")))
     whole = chunks.groupBy(video_col).agg(_ordered_join("__chunk", "__part").alias("__t"))
     t = X.strip_ws(F.col("__t"))
     return whole.select(video_col, t.alias("transcript"),

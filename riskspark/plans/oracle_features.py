@@ -62,6 +62,18 @@ def _summary(prefix: str) -> str:
             f"max(term) AS max_term FROM {prefix}_counts GROUP BY post_id")
 
 
+# Single words of caption || ' ' || transcript, the 5,000 most frequent, plain
+# counts, smooth idf + 1, L2 norm: written out, nothing taken from the Spark side.
+TFIDF_WORD = "WITH " + O.RAW_POSTS + r""",
+v1 AS (SELECT post_id, lower(coalesce(caption, '') || ' ' || coalesce(transcript, '')) AS text FROM posts),
+v1_tok AS (SELECT post_id, unnest(regexp_extract_all(text, '""" + P.TOKEN2 + r"""')) AS term FROM v1),
+v1_tf AS (SELECT post_id, term, count(*)::DOUBLE AS tf FROM v1_tok GROUP BY post_id, term),
+v1_top AS (SELECT term, count(*) AS df, sum(tf) AS total FROM v1_tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+v1_idf AS (SELECT term, ln((1 + (SELECT count(*) FROM v1))::DOUBLE / (1 + df)::DOUBLE) + 1::DOUBLE AS idf FROM v1_top),
+v1_w AS (SELECT post_id, term, tf * idf AS w FROM v1_tf JOIN v1_idf USING (term))
+SELECT post_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY post_id)), 6) AS weight FROM v1_w"""
+
+
 def feature_queries() -> dict[str, str]:
     w = "WITH " + CORPUS + "," + _terms("corpus", "word", "wd")
     c = "WITH " + CORPUS + "," + _terms("corpus", "char", "ch")
@@ -83,8 +95,7 @@ FROM per_doc""")
         "char_ngrams": c + "\n" + _summary("ch"),
         "tfidf_vocab": w + "," + _vocab("wd", "corpus", FE.V2_WORD)
         + "\nSELECT term, df, total, round(idf, 9) AS idf FROM wd_vocab",
-        "tfidf_word": w + "," + _vocab("wd", "corpus", FE.V1_WORD) + "," + _weights("wd", FE.V1_WORD)
-        + "\nSELECT post_id, term, round(weight, 6) AS weight FROM wd_weights",
+        "tfidf_word": TFIDF_WORD,
         "tfidf_union": union + "\nSELECT post_id, space, count(*) AS nnz, round(sum(weight), 6) AS weight_sum "
         "FROM u GROUP BY post_id, space",
         "tfidf_nnz": union + "\nSELECT c.post_id, CAST(coalesce(n.nnz, 0) AS BIGINT) AS nnz FROM corpus c "

@@ -44,19 +44,23 @@ vids AS (
   FROM documents WHERE doc_id % 11 <> 10
 )"""
 
-_HREF = q(PG.HREF)
+# Patterns of the SQL side, for the markup of the given pages.
+_HREF = q(r"<a\s[^>]*?href=\"([^\"]*)\"")
+_ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
+_BASE_DIR = r"^([^?#]*/)"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def _decode(x: str) -> str:
-    for ent, ch in PG.ENTITIES:
+    for ent, ch in _ENTITIES:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return x
 
 
 def _resolve(href: str, base: str) -> str:
-    origin = f"regexp_extract({base}, {q(PG.ORIGIN)}, 1)"
+    origin = f"regexp_extract({base}, {q(_ORIGIN)}, 1)"
     scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1)"
-    base_dir = f"regexp_extract({base}, {q(PG.BASE_DIR)}, 1)"
+    base_dir = f"regexp_extract({base}, {q(_BASE_DIR)}, 1)"
     return (f"(CASE WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} "
             f"WHEN starts_with({href}, '//') THEN {scheme} || {href} "
             f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
@@ -80,7 +84,8 @@ links AS (
 
 def _element(html: str, sel) -> str:
     tag, attr, value = sel
-    inner = f"regexp_extract({html}, {q(PG.selector_regex(tag, attr, value))}, 1)"
+    attribute = rf"[^>]*?\s{attr}\s*=\s*[\"']{value}[\"']" if attr else ""
+    inner = f"regexp_extract({html}, {q(rf'(?s)<{tag}\b{attribute}[^>]*>(.*?)</{tag}\s*>')}, 1)"
     return _decode(f"regexp_replace({inner}, '<[^>]*>', '', 'g')")
 
 

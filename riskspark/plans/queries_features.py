@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark.operators import features as FE
+from riskspark.operators import training as TN
 from riskspark.sources import fixtures as FX
 
 
@@ -40,7 +41,9 @@ def q_tfidf_vocab(spark, sf_dir):
 
 
 def q_tfidf_word(spark, sf_dir):
-    w, _ = FE.tfidf(corpus(spark, sf_dir), "post_id", "text", FE.V1_WORD)
+    """Features of the first trainer: words of caption and transcript as they are."""
+    posts = TN.train_prep_v1(FX.posts(spark, sf_dir, spread=True))
+    w, _ = FE.tfidf(posts, "post_id", "full_text", FE.V1_WORD)
     return FE.round_weights(w)
 
 

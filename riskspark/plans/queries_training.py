@@ -72,7 +72,7 @@ def _fit_v2(spark, sf_dir):
     split = _strat(spark, sf_dir)
     TN.require_rows(split)
     train = TN.balanced_weights(split.filter(F.col("split") == "train"))
-    return TN.fit_or_load(TN.pipeline_v2(), train, f"v2|{sf_dir}"), split
+    return TN.fit_or_load(TN.pipeline_v2(), train), split
 
 
 def q_train_v1(spark, sf_dir):
@@ -101,25 +101,16 @@ def q_rf_scores(spark, sf_dir):
 
 
 def q_rf_check(spark, sf_dir):
-    """Per post: model label, score and number of known terms (nnz) of the
-    word vocabulary the model was fitted with."""
+    """Per post: model label, score and the number of known terms (nnz) of the
+    whole feature vector, words and character n-grams."""
     from riskspark.operators import features as FE
 
-    model, split = _fit_v2(spark, sf_dir)
+    model, _ = _fit_v2(spark, sf_dir)
     posts = FX.posts(spark, sf_dir, spread=True)
     text = posts.select("post_id", FE.model_text(posts).alias("text"))
-    out = TN.rf_probability_columns(model, text, "text")
+    out = TN.rf_probability_columns(model, text, "text", nnz="tfidf_nnz")
     p = [F.col("__rf_probs")[i] for i in range(3)]
-    vocab = None
-    for st in model.stages:
-        if st.__class__.__name__ == "CountVectorizerModel":
-            vocab = st.vocabulary
-            break
-    counts = FE.term_counts(text, "post_id", "text", "word")
-    known = counts.join(spark.createDataFrame([(t,) for t in vocab], "term string"), "term", "left_semi")
-    nnz = FE.nnz(known, text, "post_id")
-    return out.select("post_id", SC.rf_label(*p).alias("rf_label_test"), SC.rf_score(*p).alias("rf_score_test")) \
-        .join(nnz.withColumnRenamed("nnz", "tfidf_nnz"), "post_id")
+    return out.select("post_id", SC.rf_label(*p).alias("rf_label_test"), SC.rf_score(*p).alias("rf_score_test"), "tfidf_nnz")
 
 
 def registry():

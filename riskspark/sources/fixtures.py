@@ -114,11 +114,12 @@ def raw_posts(documents: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """(doc_id, text, n_chars); with ``spread`` a scan with fewer splits than
-    task slots is spread over hash partitions of doc_id first (see
-    ``tables.spread_scan``), so the per-row text work uses every core."""
+    """(doc_id, text, n_chars); with ``spread`` and a number in the session's
+    ``spark.riskspark.scanPartitions`` the scan is spread over so many hash
+    partitions of doc_id first (see ``tables.spread_scan``)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return spread_scan(docs, "doc_id") if spread else docs
+    n = spark.conf.get("spark.riskspark.scanPartitions", None) if spread else None
+    return spread_scan(docs, "doc_id", int(n) if n else None)
 
 
 def posts(spark: SparkSession, sf_dir: str, profile: rules.RiskProfile = rules.DEFAULT_PROFILE,

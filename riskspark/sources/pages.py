@@ -1,20 +1,27 @@
-"""Stored web pages -> links and post fields.
-
-Pages are rows (page_id, url, html).  Extraction is per row and JVM-side
-(regular expressions), so it scales with the scan and needs no Python
-worker.  A selector is a (tag, attribute, value) triple standing for
-``tag[attribute="value"]``; ``tag`` or the attribute part may be None.
-Text content = inner HTML with tags removed and the common entities
-decoded once.  ``parse_html_fields`` is the exact-parser path (stdlib
-``html.parser`` in ``mapInPandas``) for markup a regex cannot follow.
+"""Stored web pages -> links, post fields and comments.
+
+Pages are rows (page_id, url, html).  Every page is parsed once, in its own
+row (``mapInArrow``, no shuffle), as a browser reads it: nested elements,
+either quote style, attributes in any order, character references; comments
+and script text hold no elements.  A selector is a (tag, attribute, value)
+triple standing for ``tag[attribute="value"]``; the tag or the attribute
+may be None.  The text of an element is that of everything inside it.
+
+Defined cases: a null or empty page has no elements; an element never
+closed ends with its parent; a null url leaves links as they are written;
+so does a link that is no valid URL.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark import rules
 from riskspark.functions import text as X
@@ -35,47 +42,104 @@ COMMENT_TEXT_SELECTOR = (None, "data-e2e", "comment-text")
 VIDEO_LINK_CONTAINS = "/video/"
 TAG_URL_PATTERN = r"/tag/([^/?#]+)"
 
-# Entities decoded in text content; &amp; last so nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
-
-ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
-BASE_DIR = r"^([^?#]*/)"
-HREF = r"<a\s[^>]*?href=\"([^\"]*)\""
-
-
-def selector_regex(tag: str | None, attr: str | None, value: str | None) -> str:
-    """Regex whose group 1 (or 2 for a tag-less selector) is the element's
-    inner HTML, first match in document order."""
-    attr_part = ""
-    if attr:
-        attr_part = r"[^>]*?\s" + re.escape(attr) + r"\s*=\s*[\"']" + re.escape(value or "") + r"[\"']"
-    if tag:
-        return r"(?s)<" + tag + r"\b" + attr_part + r"[^>]*>(.*?)</" + tag + r"\s*>"
-    return r"(?s)<([a-zA-Z][a-zA-Z0-9]*)\b" + attr_part + r"[^>]*>(.*?)</\1\s*>"
-
-
-def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
-def text_content(inner: Column) -> Column:
-    return decode_entities(F.regexp_replace(inner, r"<[^>]*>", ""))
-
-
-def element_text(html, selector) -> Column:
-    """Text content of the first element matching ``selector`` ('' if none)."""
-    tag, attr, value = selector
-    group = 1 if tag else 2
-    h = F.col(html) if isinstance(html, str) else html
-    return text_content(F.regexp_extract(h, selector_regex(tag, attr, value), group))
-
-
-def meta_content(html, name: str) -> Column:
-    h = F.col(html) if isinstance(html, str) else html
-    pat = r"<meta\s[^>]*?name=\"" + re.escape(name) + r"\"[^>]*?content=\"([^\"]*)\""
-    return decode_entities(F.regexp_extract(h, pat, 1))
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+# start tags that end an open paragraph or list item directly around them
+_ENDS = {"p": frozenset(("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "section", "article",
+                         "header", "footer", "nav", "form", "pre", "blockquote")),
+         "li": frozenset(("li",))}
+
+
+class _Page(HTMLParser):
+    """One page: texts of the elements of each selector in document order,
+    hrefs of its links, and its named meta contents."""
+
+    def __init__(self, selectors):
+        super().__init__(convert_charrefs=True)
+        self.selectors = selectors
+        self.texts: list[list[list[str]]] = [[] for _ in selectors]
+        self.hrefs: list[str] = []
+        self.meta: dict[str, str] = {}
+        self.open: list[tuple[str, list[list[str]]]] = []   # open elements and the texts they collect
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)          # as browsers do; the base class may stop the page
+
+    def handle_starttag(self, tag, attrs):
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")                        # the first of repeated attributes counts
+        if tag == "a" and "href" in a:
+            self.hrefs.append(a["href"])
+        elif tag == "meta" and "name" in a and "content" in a:
+            self.meta.setdefault(a["name"], a["content"])
+        if self.open and tag in _ENDS.get(self.open[-1][0], ()):
+            self.open.pop()
+        found = []
+        for (t, k, v), texts in zip(self.selectors, self.texts):
+            if (t is None or t == tag) and (k is None or a.get(k) == v):
+                found.append([])
+                texts.append(found[-1])
+        if tag not in _VOID:
+            self.open.append((tag, found))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)                    # a closing slash means nothing in HTML
+
+    def handle_endtag(self, tag):
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == tag:
+                del self.open[at:]
+                return
+
+    def handle_data(self, data):
+        for _, texts in self.open:
+            for t in texts:
+                t.append(data)
+
+
+def absolute(base: str | None, href: str) -> str:
+    """The link as a browser reports it (``a.href``)."""
+    try:
+        return urljoin(base or "", href.strip())
+    except ValueError:
+        return href
+
+
+PARSED = pa.struct([("texts", pa.list_(pa.list_(pa.string()))), ("links", pa.list_(pa.struct(
+    [("pos", pa.int64()), ("href", pa.string()), ("link", pa.string())]))), ("meta", pa.string())])
+_PARSED = T.StructType([
+    T.StructField("texts", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("links", T.ArrayType(T.StructType([
+        T.StructField("pos", T.LongType()), T.StructField("href", T.StringType()), T.StructField("link", T.StringType())]))),
+    T.StructField("meta", T.StringType())])
+
+
+def parse_pages(pages: DataFrame, selectors=(), contains: str | None = None, meta: str | None = None,
+                first_only: bool = True, keep=("page_id",)) -> DataFrame:
+    """``keep`` columns plus ``page``: for every selector its elements' texts
+    (the first element's only, with ``first_only``), the links whose href
+    contains ``contains`` (none, if None) with their position among the links
+    of the page, and the content of the meta element named ``meta``."""
+    selectors, keep = [tuple(s) for s in selectors], list(keep)
+
+    def one(url: str | None, html: str | None) -> dict:
+        p = _Page(selectors)
+        p.feed(html or "")
+        p.close()
+        links = [{"pos": i, "href": h, "link": absolute(url, h)} for i, h in enumerate(p.hrefs)
+                 if contains is not None and contains in h]
+        texts = [["".join(t) for t in (found[:1] if first_only else found)] for found in p.texts]
+        return {"texts": texts, "links": links, "meta": p.meta.get(meta, "")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(keep)
+            rows = [one(u, h) for u, h in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(rows, PARSED)],
+                                             names=[*keep, "page"])
+
+    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("page", _PARSED)])
+    return pages.select(*keep, F.col("url").alias("__url"), F.col("html").alias("__html")).mapInArrow(run, schema)
 
 
 def first_nonblank(*cols: Column) -> Column:
@@ -87,37 +151,30 @@ def page_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS, meta_fall
                 like_selector=LIKE_SELECTOR, comment_selector=COMMENT_SELECTOR) -> DataFrame:
     """(page_id, url, caption, like_raw, comment_raw) from stored HTML.
 
-    Caption: the first selector whose text is non-blank, then the meta
-    description, then ''.  Counts: stripped text of their element ('' if
-    absent)."""
-    caps = [element_text("html", s) for s in caption_selectors]
-    if meta_fallback:
-        caps.append(meta_content("html", meta_fallback))
-    return pages.select(
+    Caption: the first selector whose first element's text is non-blank, then
+    the meta description, then ''.  Counts: stripped text of their element
+    ('' if absent)."""
+    selectors = [*caption_selectors, like_selector, comment_selector]
+    p = parse_pages(pages, selectors, meta=meta_fallback, keep=("page_id", "url"))
+    first = [F.get(F.get("page.texts", F.lit(i)), F.lit(0)) for i in range(len(selectors))]
+    return p.select(
         "page_id", "url",
-        first_nonblank(*caps).alias("caption"),
-        X.strip_ws(element_text("html", like_selector)).alias("like_raw"),
-        X.strip_ws(element_text("html", comment_selector)).alias("comment_raw"),
-    )
+        first_nonblank(*first[:-2], F.col("page.meta")).alias("caption"),
+        *[F.coalesce(X.strip_ws(c), F.lit("")).alias(name) for c, name in zip(first[-2:], ("like_raw", "comment_raw"))])
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute URL of a link as a browser reports it (``a.href``)."""
-    origin = F.regexp_extract(base, ORIGIN, 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    base_dir = F.regexp_extract(base, BASE_DIR, 1)
-    return (F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-            .when(href.startswith("//"), F.concat(scheme, href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .when(href.startswith("#") | href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-            .otherwise(F.concat(base_dir, href)))
+def page_comments(pages: DataFrame, selector=COMMENT_TEXT_SELECTOR) -> DataFrame:
+    """(page_id, pos, text) of every element of ``selector``, in page order."""
+    p = parse_pages(pages, [selector], first_only=False)
+    return p.select("page_id", F.posexplode(F.get("page.texts", F.lit(0))).alias("pos", "text")).select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "text")
 
 
 def page_links(pages: DataFrame, contains: str = VIDEO_LINK_CONTAINS, keep=()) -> DataFrame:
     """(page_id, pos, link): links of ``a[href*=contains]`` (the attribute text
     is matched, as a CSS selector does), made absolute against the page URL
     as ``a.href`` reports them, distinct per page at their first position
-    (0-based, document order)."""
+    (0-based among the links of the page)."""
     keep = list(keep)
     links = _matching_links(pages, contains, keep)
     return links.groupBy("page_id", *keep, "link").agg(F.min("pos").alias("pos")).select(
@@ -126,13 +183,8 @@ def page_links(pages: DataFrame, contains: str = VIDEO_LINK_CONTAINS, keep=()) -
 
 def _matching_links(pages: DataFrame, contains: str, keep: list) -> DataFrame:
     """Every matching link occurrence (page_id, keep..., pos, link), repeats included."""
-    hrefs = pages.select(
-        "page_id", "url", *keep, F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF), 1)).alias("pos", "href")
-    ).withColumn("href", decode_entities(F.col("href")))
-    return hrefs.filter(F.col("href").contains(contains)).select(
-        "page_id", *keep, F.col("pos").cast("bigint").alias("pos"),
-        resolve_url(F.col("href"), F.col("url")).alias("link"),
-    )
+    p = parse_pages(pages, contains=contains, keep=("page_id", *keep))
+    return p.select("page_id", *keep, F.explode("page.links").alias("l")).select("page_id", *keep, "l.pos", "l.link")
 
 
 def page_tag(url: Column, pattern: str = TAG_URL_PATTERN) -> Column:
@@ -152,70 +204,8 @@ def hashtag_sample(pages: DataFrame, limit: int = rules.VIDEOS_PER_HASHTAG, cont
     occurrences, so no per-page distinct step (and shuffle) comes first."""
     tagged = pages.select("page_id", "html", "url", page_tag(F.col("url"), tag_pattern).alias("hashtag")).filter(
         F.col("hashtag").isNotNull())
-    lt = _matching_links(tagged, contains, ["hashtag"])
-    first = lt.groupBy("hashtag", "link").agg(F.min(F.struct("page_id", "pos")).alias("at"))
+    first = _matching_links(tagged, contains, ["hashtag"]).groupBy("hashtag", "link").agg(F.min(F.struct("page_id", "pos")).alias("at"))
     w = Window.partitionBy("hashtag").orderBy(F.col("at.page_id"), F.col("at.pos"), F.col("link"))
     return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(limit))
             .select("hashtag", F.col("rank").cast("bigint").alias("rank"), "link",
                     F.col("at.page_id").alias("page_id"), F.col("at.pos").alias("pos")))
-
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-def parse_html_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS) -> DataFrame:
-    """Exact-parser variant of the caption extraction: ``html.parser`` per
-    row inside ``mapInPandas`` (Arrow batches, one pass, no shuffle)."""
-    sels = list(caption_selectors)
-
-    def run(batches):
-        from html.parser import HTMLParser
-
-        class _P(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.stack = []
-                self.found = {i: [] for i in range(len(sels))}
-                self.open = {}
-
-            def handle_starttag(self, tag, attrs):
-                if tag in _VOID:
-                    return
-                a = dict(attrs)
-                self.stack.append(tag)
-                for i, (t, k, v) in enumerate(sels):
-                    if i in self.open or self.found[i]:
-                        continue
-                    if (t is None or t == tag) and (k is None or a.get(k) == v):
-                        self.open[i] = len(self.stack)
-
-            def handle_endtag(self, tag):
-                if tag in _VOID:
-                    return
-                depth = len(self.stack)
-                for i, dpt in list(self.open.items()):
-                    if dpt == depth:
-                        self.found[i].append(None)  # closed marker
-                        del self.open[i]
-                if self.stack:
-                    self.stack.pop()
-
-            def handle_data(self, data):
-                for i in self.open:
-                    self.found[i].append(data)
-
-        for pdf in batches:
-            caps = []
-            for html in pdf["html"].fillna(""):
-                p = _P()
-                p.feed(html)
-                cap = ""
-                for i in range(len(sels)):
-                    txt = "".join(x for x in p.found[i] if x is not None).strip()
-                    if txt:
-                        cap = txt
-                        break
-                caps.append(cap)
-            yield pdf[["page_id"]].assign(caption=caps)
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, caption string")

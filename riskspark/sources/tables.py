@@ -37,24 +37,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_scan(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Spread the rows of a scan with fewer input splits than the session
-    has task slots over hash partitions of ``key`` (a unique id, so no
-    partition can be hot).
+    """Spread the rows of a scan over ``partitions`` hash partitions of
+    ``key`` (a unique id, so no partition can be hot); without a number the
+    scan stays as it is and no shuffle is added.
 
     A file written as one row group is read by one task however many cores
-    there are; CPU-heavy per-row work over whole texts would then run on one
-    core.  On a cluster reading many files the scan already has more splits
-    than slots, and ``df`` is returned unchanged: no shuffle is added."""
-    spark = df.sparkSession
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
-        return df
-    if splits >= slots:
-        return df
-    n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), slots)
-    return df.repartition(n, key)
+    there are; heavy work on whole texts would then run on one core.  Only
+    the caller knows such inputs; a table of many files needs no spreading."""
+    return df.repartition(partitions, key) if partitions else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

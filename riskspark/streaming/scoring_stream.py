@@ -9,7 +9,7 @@ exactly where it stopped.
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -31,7 +31,9 @@ def score_stream(spark: SparkSession, source_dir: str, sink_dir: str, rf_probabi
     posts = reader.parquet(source_dir)
     scored = score_posts(posts, rf_probability, profile)
     if checkpoint is None:
-        checkpoint = os.path.join(ensure_checkpoint_dir(spark), "streams", "score_posts")
+        # one folder for each pair of source and sink: a restart resumes, another stream does not meet it
+        pair = hashlib.sha256(f"{source_dir}\n{sink_dir}".encode()).hexdigest()[:32]
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{pair}"
     writer = (scored.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

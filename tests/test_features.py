@@ -101,3 +101,12 @@ def test_top_terms_cutoff_path_matches_ordered_limit(spark):
         want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
         got = [tuple(r) for r in FE.top_terms(stats, k, max_funnel_rows=0).collect()]
         assert sorted(got, key=lambda r: (-r[1], r[0])) == want
+
+
+def test_first_trainer_uses_single_words(spark):
+    df = spark.createDataFrame([(1, "Aa bb aa"), (2, "bb cc x")], "doc long, text string")
+    w, _ = FE.tfidf(df, "doc", "text", FE.V1_WORD)
+    got = {(r.doc, r.term): r.weight for r in w.collect()}
+    both, one = 1.0, math.log(3 / 2) + 1
+    n1, n2 = math.hypot(2 * one, both), math.hypot(both, one)
+    assert got == pytest.approx({(1, "aa"): 2 * one / n1, (1, "bb"): both / n1, (2, "bb"): both / n2, (2, "cc"): one / n2})

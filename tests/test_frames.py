@@ -58,3 +58,18 @@ def test_frame_pairs_spread_a_hot_video(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert re.search(r"Exchange hashpartitioning\(video_id#\d+L, frame#\d+L", plan)
     assert "partial_avg(blur" in plan
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 100])
+def test_previous_frame_over_gaps_and_chunks(spark, chunk):
+    nums = {1: [0, 2, 4, 9], 2: [5], 3: [3, 4, 5, 6, 7]}
+    df = spark.createDataFrame([(v, n) for v, ns in nums.items() for n in ns], "video_id long, frame long")
+    got = {tuple(r) for r in FR.previous_frames(df, chunk).collect()}
+    assert got == {(v, b, a) for v, ns in nums.items() for a, b in zip(ns, ns[1:])}
+
+
+def test_frames_with_gaps_are_paired(spark):
+    rows = [(1, 0, 2, 1, [0, 0]), (1, 2, 2, 1, [10, 20]), (1, 4, 2, 1, [10, 0])]
+    df = spark.createDataFrame(rows, "video_id long, frame long, width int, height int, gray array<int>")
+    r = FR.frame_features(df, places=None).first()
+    assert r.motion == pytest.approx(((10 + 20) / 2 + (0 + 20) / 2) / 2)

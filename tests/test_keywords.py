@@ -1,4 +1,4 @@
-"""Dictionary matching as a join: broadcast path and sliced path vs brute force."""
+"""Dictionary matching as a join vs brute force, for several key lengths."""
 
 import pytest
 
@@ -14,10 +14,17 @@ def _brute(text, words):
     return sum(1 for w in set(x.lower() for x in words) if w and w in t)
 
 
-@pytest.mark.parametrize("bound", [10_000, 5])
-def test_join_matches_brute_force(spark, bound):
-    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+@pytest.mark.parametrize("gram", [1, 3, 8])
+def test_join_matches_brute_force(spark, gram):
+    far = "x" * 250 + "depression" + "y" * 600 + "kys"      # across the edge of a block
+    texts = spark.createDataFrame(list(enumerate([*TEXTS, far])), "id long, text string")
     words = list(rules.KEYWORDS_V2) + ["KYS", ""]  # duplicates after lower-casing, and a blank entry
     dic = spark.createDataFrame([(w,) for w in words], "keyword string")
-    got = {r.id: r.kw_hits for r in keyword_hits_join(texts, dic, "id", "text", max_broadcast_rows=bound).collect()}
-    assert got == {i: _brute(t, words) for i, t in enumerate(TEXTS)}
+    got = {r.id: r.kw_hits for r in keyword_hits_join(texts, dic, "id", "text", gram=gram).collect()}
+    assert got == {i: _brute(t, words) for i, t in enumerate([*TEXTS, far])}
+
+
+def test_empty_dictionary(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    dic = spark.createDataFrame([("",), (None,)], "keyword string")
+    assert sorted(tuple(r) for r in keyword_hits_join(texts, dic, "id", "text").collect()) == [(1, 0), (2, 0)]

@@ -1,6 +1,6 @@
 """Page extraction with the collector's selectors on inline HTML."""
 
-from pyspark.sql import functions as F
+import pytest
 
 from riskspark.sources import pages as PG
 
@@ -45,24 +45,32 @@ def test_hashtag_sample_limit(spark):
     assert [r.link.rsplit("/", 1)[1] for r in got] == ["0", "1", "2"]
 
 
-def test_tagless_selector_and_parser_path(spark):
-    p = _pages(spark)
-    txt = p.select(PG.element_text("html", PG.COMMENT_TEXT_SELECTOR).alias("t")).first().t
-    assert txt == "first"
-    parsed = PG.parse_html_fields(p).first()
-    assert parsed.caption == "Caption bold <3"
-
-
-def test_regex_and_parser_agree_on_driver_pages(spark):
-    from tests.conftest import SF001
-    from riskspark.sources.tables import read_table
-
-    pages = read_table(spark, SF001, "pages").select("page_id", "url", "html")
-    sel = (("h1", None, None), ("title", None, None))
-    a = {r.page_id: r.caption for r in PG.page_fields(pages, sel).collect()}
-    b = {r.page_id: r.caption for r in PG.parse_html_fields(pages, sel).collect()}
-    assert a == b
-    _ = F
+def test_comments_of_a_page_in_order(spark):
+    got = PG.page_comments(_pages(spark)).orderBy("pos").collect()
+    assert [(r.pos, r.text) for r in got] == [(0, "first"), (1, "second")]
+
+
+@pytest.mark.parametrize("html,caption", [
+    ('<div data-e2e="browse-video-desc"><div>one</div> two</div>', "one two"),
+    ("<div data-e2e='browse-video-desc'>caf&eacute; it&#x27;s</div>", "caf\u00e9 it's"),
+    ('<!-- <div data-e2e="browse-video-desc">no</div> --><span data-e2e="video-desc">yes</span>', "yes"),
+    ('<meta content="late name" name="description">', "late name"),
+    ('<div data-e2e="browse-video-desc">open', "open"),
+    ('<![odd[> <div data-e2e="browse-video-desc">x</div>', "x"),
+    ("", ""), (None, ""),
+])
+def test_captions(spark, html, caption):
+    assert PG.page_fields(_pages(spark, html)).first().caption == caption
+
+
+def test_link_forms(spark):
+    html = ('<a data-href="/video/9" href="/video/1">x</a><a href=\'/video/2\'>y</a><!-- <a href="/video/3">z</a> -->'
+            '<a href="x/video/4">r</a><a href="../video/5">u</a><script>"<a href=\'/video/6\'>"</script>')
+    got = PG.page_links(_pages(spark, html, "https://h.example/a/b")).orderBy("pos").collect()
+    assert [r.link for r in got] == ["https://h.example/video/1", "https://h.example/video/2",
+                                     "https://h.example/a/x/video/4", "https://h.example/video/5"]
+    bare = PG.page_links(_pages(spark, '<a href="x/video/1">x</a>', "https://h.example")).first()
+    assert bare.link == "https://h.example/x/video/1"
 
 
 def test_hot_hashtag_sample_matches_brute_force(spark):

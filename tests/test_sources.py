@@ -45,20 +45,14 @@ def test_csv_nan_becomes_null(spark):
     assert rows[1].neg == 0.5
 
 
-def test_spread_scan_only_when_the_scan_has_too_few_splits(spark):
+def test_spread_scan_is_explicit(spark):
     from riskspark.sources.tables import spread_scan
 
-    slots = spark.sparkContext.defaultParallelism
     one = read_table(spark, SF001, "documents").select("doc_id", "n_chars")  # one file, one row group
-    spread = spread_scan(one, "doc_id")
+    assert spread_scan(one, "doc_id") is one    # no number: no shuffle added
+    spread = spread_scan(one, "doc_id", 8)
     plan = spread._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan
     sizes = [r[1] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < one.count()
     assert sorted(spread.collect()) == sorted(one.collect())
-
-    many = os.path.join(tempfile.mkdtemp(prefix="riskspark-split-"), "t")
-    one.repartition(2 * slots, "doc_id").write.parquet(many)
-    wide = spark.read.parquet(many)
-    assert wide.rdd.getNumPartitions() >= slots
-    assert spread_scan(wide, "doc_id") is wide  # enough splits: no shuffle added
