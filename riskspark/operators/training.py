@@ -329,7 +329,7 @@ def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf
     arr = vector_to_array(F.col("probability"))
     probs = [arr[labels.index(lab)] if lab in labels else F.lit(0.0) for lab in rules.LEVELS]
     keep = [c for c in df.columns]
-    more = [F.udf(lambda v: v.numNonzeros(), "long")("features").alias(nnz)] if nnz else []
+    more = [F.udf(lambda v: int(v.numNonzeros()), "long")("features").alias(nnz)] if nnz else []
     return scored.select(*keep, F.array(*probs).alias(out), *more)
 
 

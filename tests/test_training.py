@@ -137,3 +137,57 @@ def test_report_edge_cases_brute_force(spark):
     assert rep["accuracy"].f1 == pytest.approx(2 / 4, abs=1e-6) and rep["accuracy"].precision is None
     assert rep["macro avg"].recall == pytest.approx(sum(v[1] for v in per.values()) / 3, abs=1e-6)
     assert rep["weighted avg"].f1 == pytest.approx(sum(v[2] * v[3] for v in per.values()) / n, abs=1e-6)
+
+
+def test_vector_stages_match_their_formulas(spark):
+    import math
+
+    from pyspark.ml.linalg import Vectors
+    from riskspark.operators.vectors import SmoothIdf, SublinearTf
+
+    df = spark.createDataFrame([(1, Vectors.sparse(3, {0: 4.0, 1: 1.0})), (2, Vectors.sparse(3, {0: 1.0})),
+                                (3, Vectors.sparse(3, {}))], ["id", "tf"])
+    logged = SublinearTf(inputCol="tf", outputCol="l").transform(df)
+    out = {r.id: list(r.o.toArray()) for r in
+           SmoothIdf(inputCol="l", outputCol="o").fit(logged).transform(logged).collect()}
+    idf = [math.log(4 / 3) + 1, math.log(4 / 2) + 1]
+    assert out[1] == pytest.approx([(1 + math.log(4)) * idf[0], idf[1], 0.0])
+    assert out[2] == pytest.approx([idf[0], 0.0, 0.0]) and out[3] == [0.0, 0.0, 0.0]
+
+
+PROBES = ["i want to die. nobody cares. kill myself", "funny video lol hahaha", "", "today was a good day"]
+
+
+def test_pipeline_v2_probes_and_model_key(spark):
+    from riskspark.operators import scoring as SC
+
+    posts = FX.posts(spark, SF01)
+    prep = TN.train_prep(posts.join(FX.training_labels(spark, SF01), "post_id", "left"))
+    train = TN.balanced_weights(prep)
+    pipe = TN.pipeline_v2(trees=3, max_depth=4)
+    assert TN.data_key(pipe, train) == TN.data_key(TN.pipeline_v2(trees=3, max_depth=4), train.repartition(3))
+    assert TN.data_key(pipe, train) != TN.data_key(pipe, train.limit(50))
+    assert TN.data_key(pipe, train) != TN.data_key(TN.pipeline_v2(trees=4, max_depth=4), train)
+    model = TN.fit_or_load(pipe, train)
+    probe = spark.createDataFrame(list(enumerate(PROBES)), "post_id long, text string")
+    out = TN.rf_probability_columns(model, probe, "text", nnz="nnz")
+    p = [F.col("__rf_probs")[i] for i in range(3)]
+    rows = out.select("post_id", "nnz", "__rf_probs", SC.rf_score(*p).alias("s")).orderBy("post_id").collect()
+    assert rows[2].nnz == 0 and len(rows) == len(PROBES)
+    for r in rows:
+        assert sum(r["__rf_probs"]) == pytest.approx(1.0)
+        assert 0.1 - 1e-9 <= r.s <= 1.0 + 1e-9
+
+
+def test_char_grams_of_the_pipeline_match_the_long_form(spark):
+    from collections import Counter
+
+    from riskspark.operators import features as FE
+
+    texts = ["a bb ccc  dddd", "  Ein\u00a0\u00dcber Wort\n", "\U0001F600ab x\U0001F600 \U0001F600", "", "abcdefg"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    long_form = {}
+    for r in FE.term_counts(df, "doc", "text", "char").collect():
+        long_form.setdefault(r.doc, {})[r.term] = r.tf
+    got = {r.doc: Counter(r.g) for r in df.selectExpr("doc", TN._char_sql("text") + " AS g").collect()}
+    assert {k: dict(v) for k, v in got.items() if v} == long_form
