@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # what stands between words, capitals lowered
 
 # Phrases and their labels; all words must stand consecutively.
 PHRASES = (
@@ -44,14 +44,19 @@ NOTICES = (
      "the following conditions are met", "notice-bsd"),
     ("this work is licensed under a creative commons attribution", "notice-cc"),
 )
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"    # WORD before capitals are lowered: as many words
+ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"    # GAP before capitals are lowered: as many words
 MAX_PAIRS = 62          # votes of a template fit the bits of a long
 SHARE = 0.6             # part of a notice's pairs that must be hit
 MERGE = 2               # diagonals this near belong to one span
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words; only the first and the last piece between gaps can be empty."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
+
+
+def count(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), ANY_CASE_GAP), "")).cast("long")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -65,7 +70,7 @@ def _templates(spark: SparkSession) -> DataFrame:
             rows += [(text, label, base, len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
     t = spark.createDataFrame(rows, "template string, label string, base boolean, pairs int, at int, a string, b string")
     return t.select("template", "label", "base", "pairs", "at", F.xxhash64("a", "b").alias("pair"),
-                    F.hash("b", "a").alias("verify"))
+                    F.col("a").alias("first"), F.col("b").alias("second"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,14 +78,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
                        words(F.col(text)).alias("w"))
-    later = F.expr("slice(w, 2, size(w))")
-    grams = rows.where(F.size("w") > 1).select(
-        "doc_id", "text_hash",
-        F.posexplode(F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), later,
-                                lambda a, b: F.struct(F.xxhash64(a, b).alias("pair"), F.hash(b, a).alias("verify"))))
-        .alias("pos", "g"))
-    hits = (grams.select("doc_id", "text_hash", "pos", "g.pair", "g.verify")
-            .join(F.broadcast(_templates(spark)), ["pair", "verify"])     # a fixed table of some 150 rows
+    pairs = rows.where(F.size("w") > 1).select(
+        "doc_id", "text_hash", F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))
+    grams = (pairs.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "g"))
+             .select("doc_id", "text_hash", "pos", "g.a", "g.b", F.xxhash64("g.a", "g.b").alias("pair")))
+    hits = (grams.join(F.broadcast(_templates(spark)), "pair")     # a fixed table of some 150 rows
+            .where((F.col("a") == F.col("first")) & (F.col("b") == F.col("second")))
             .withColumn("diagonal", F.col("pos") - F.col("at")))
     key = ["doc_id", "text_hash", "template", "label", "base", "pairs"]
     votes = hits.groupBy(*key, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"))
@@ -103,7 +106,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         listed(F.collect_set(F.when(named, F.col("label")))).alias("labels"), F.max("part").alias("score"))
     found = found.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     all_rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
-                           F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+                           count(F.col(text)).alias("n_words"))
     return (all_rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")),
                           "left")
             .select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
