@@ -28,30 +28,34 @@ from riskspark.plans.strategy import join_small
 
 CUT = r"\n+|(?<=[aeiou][.!?])\s+"
 ROUNDS = 20
-CELL = "struct<c:bigint,n:int,k:bigint,h:bigint>"
 RETRIES = 3
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda p: F.length(p) > 0)
+    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), CUT), "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def _cells(d: str, sign: str, size: str) -> str:
-    """The three cells of digest ``d``."""
-    one = ", ".join(f"named_struct('c', pmod(xxhash64({d}, {j}), {size}) + {j} * {size}, 'n', {sign}, 'k', {d}, "
-                    f"'h', xxhash64({d}, 99))" for j in range(3))
+    """The three cells of digest ``d``; ``size`` is a power of two, and the
+    digest's own bits choose the cells."""
+    one = ", ".join(f"named_struct('c', (shiftrightunsigned({d}, {21 * j}) & ({size} - 1)) + {j} * {size}, 'n', {sign}, "
+                    f"'k', {d}, 'h', xxhash64({d}, 99))" for j in range(3))
     return f"array({one})"
 
 
 def _merged(cells: str) -> str:
-    """Cells added up by number; empty ones go."""
-    last = "element_at(acc, -1)"
-    both = (f"named_struct('c', x.c, 'n', {last}.n + x.n, 'k', {last}.k ^ x.k, 'h', {last}.h ^ x.h)")
-    step = (f"if(size(acc) > 0 AND {last}.c = x.c, concat(slice(acc, 1, size(acc) - 1), array({both})), "
-            "concat(acc, array(x)))")
-    return (f"filter(aggregate(sort_array({cells}), CAST(array() AS array<{CELL}>), (acc, x) -> {step}), "
+    """Cells added up by number; empty ones go.  ``s`` are the sorted cells,
+    ``f`` the places where a new number begins; a run is added up in one
+    pass, so the work grows with the cells and not with their square."""
+    begins = "filter(transform(s, (x, i) -> if(get(s, i - 1).c = x.c, NULL, i)), i -> i IS NOT NULL)"
+    total = ("aggregate(slice(s, b + 1, coalesce(get(f, t + 1), size(s)) - b), "
+             "named_struct('c', get(s, b).c, 'n', 0, 'k', 0L, 'h', 0L), "
+             "(acc, x) -> named_struct('c', x.c, 'n', acc.n + x.n, 'k', acc.k ^ x.k, 'h', acc.h ^ x.h))")
+    run = f"if(coalesce(get(f, t + 1), size(s)) = b + 1, get(s, b), {total})"
+    sums = f"element_at(transform(array({begins}), f -> transform(f, (b, t) -> {run})), 1)"
+    return (f"filter(element_at(transform(array(sort_array({cells})), s -> {sums}), 1), "
             "x -> x.n <> 0 OR x.k <> 0 OR x.h <> 0)")
 
 
@@ -72,19 +76,27 @@ def peel(cells: str, size: str) -> str:
     left = _merged(f"concat(st.left, flatten(transform(p, y -> {_cells('y.k', '-y.n', size)})))")
     after = (f"named_struct('left', {left}, 'plus', st.plus + size(filter(p, y -> y.n = 1)), "
              "'minus', st.minus + size(filter(p, y -> y.n = -1)))")
-    step = f"if(size(st.left) = 0, st, element_at(transform(array({pure}), p -> {after}), 1))"
+    step = (f"if(size(st.left) = 0, st, element_at(transform(array({pure}), "
+            f"p -> if(size(p) = 0, st, {after})), 1))")
     return (f"aggregate(sequence(1, {ROUNDS}), named_struct('left', {cells}, 'plus', 0, 'minus', 0), (st, i) -> {step})")
 
 
+def with_sketch(df: DataFrame, d: str) -> DataFrame:
+    """Adds the sketch of digest array ``d`` (``d_cells``) and its table size (``d_size``)."""
+    df = df.withColumn(f"{d}_size", F.expr(f"CAST(pow(2, ceil(log2(1 + 0.9 * size({d})))) AS BIGINT)"))
+    return df.withColumn(f"{d}_cells", F.expr(sketch(d, f"{d}_size")))
+
+
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Adds ``out``: shared digests over all digests of arrays ``a`` and ``b``,
-    by subtracting and peeling sketches, larger ones where that fails."""
-    size = f"CAST(pow(2, ceil(log2(1 + 0.45 * (size({a}) + size({b}))))) AS BIGINT)"
-    df = df.withColumn("__s", F.expr(size))
+    by subtracting and peeling their sketches (``with_sketch``) at the larger
+    of the two sizes, at larger ones where that fails."""
+    df = df.withColumn("__s", F.greatest(f"{a}_size", f"{b}_size"))
     done = None
     for retry in range(RETRIES):
         s = f"(__s * {1 << retry})"
-        tried = F.expr(peel(subtract(sketch(a, s), sketch(b, s)), s))
+        at = [f"if({d}_size = {s}, {d}_cells, {sketch(d, s)})" for d in (a, b)]
+        tried = F.expr(peel(subtract(*at), s))
         if done is not None:
             tried = F.when(F.size("__p.left") == 0, F.col("__p")).otherwise(tried)
         df = df.withColumn("__p", tried)
@@ -98,10 +110,9 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def as_text(d: str) -> Column:
-    """The fingerprint as a string: number of digests, table size and MD5 of the cells."""
-    size = f"CAST(pow(2, ceil(log2(1 + 0.9 * size({d})))) AS BIGINT)"
-    cells = f"transform({sketch(d, size)}, x -> concat_ws(':', x.c, x.n, hex(x.k), hex(x.h)))"
-    return F.concat_ws("/", F.size(d), F.expr(size), F.md5(F.expr(f"concat_ws('|', {cells})")))
+    """The sketch of ``d`` as a string: number of digests, table size and MD5 of the cells."""
+    cells = f"transform({d}_cells, x -> concat_ws(':', x.c, x.n, hex(x.k), hex(x.h)))"
+    return F.concat_ws("/", F.size(d), f"{d}_size", F.md5(F.expr(f"concat_ws('|', {cells})")))
 
 
 def successors(docs: DataFrame, stage: Stage) -> DataFrame:
@@ -141,6 +152,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     df = df.select("id", "n_chars", digests(F.col("text")).alias("d"), F.coalesce("next_d", F.expr("CAST(array() AS array<bigint>)")).alias("nd"),
                    edited.alias("edited"))
     df = df.select("id", "n_chars", "d", "nd", digests(F.col("edited")).alias("ed"), F.sha2("edited", 256).alias("edited_sha256"))
+    for d in ("d", "ed", "nd"):
+        df = with_sketch(df, d)
     df = with_likeness(with_likeness(df, "d", "ed", "near_edited"), "d", "nd", "near_next")
     return df.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
                      as_text("d").alias("fingerprint"), as_text("ed").alias("edited_fingerprint"), "near_edited", "near_next")
