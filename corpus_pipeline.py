@@ -25,11 +25,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of linked documents.
-    Documents without words are linked with nothing and stay; of rows that
-    repeat an id, one stays."""
-    groups = (jaccard.join(docs).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One row of each class of linked documents: the one with the smallest
+    id (null ids last, then by a hash of id and text).  A row is known by id
+    and text, so rows without an id or repeating one are documents of their
+    own.  Rows without words are linked with nothing and all stay."""
+    stage = Stage(spark, "near")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), *COLUMNS)
+    member = stage.write(jaccard.join(keyed, doc_id="key").where("n_shingles > 0")
+                         .groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("n")), "member")
+    ids = keyed.where("text IS NOT NULL").select("key", "doc_id").distinct()
+    chosen = (member.join(ids, "key").groupBy("component_id")
+              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("one")).select("one.key"))
+    others = stage.write(member.select("key").join(chosen, "key", "left_anti"), "others")
+    left = keyed.join(others, "key", "left_anti")
+    # of rows equal in id and text the least stays; without words they are no members
+    equal = member.where("n > 1").select("key")
+    one = left.join(equal, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return left.join(equal, "key", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,3 +324,21 @@ def test_pipeline(spark):
     assert kept == {i for i, n, c in jaccard_components([tuple(r) for r in rows]) if n == 0 or i == c}
     assert C.remove_repeats(spark, docs, SF01).columns == docs.columns
     assert C.mix_sources(spark, docs, SF01).columns == docs.columns
+
+
+def test_near_duplicates_keep_rows_without_their_own_id(spark):
+    """Null and repeated ids are no reason to go; only linked texts are."""
+    import corpus_pipeline as C
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, None), (None, ""), (7, text(2)), (7, text(3)), (7, text(2)),
+            (8, text(1)), (9, text(1) + " more"), (None, text(4)), (None, text(4)), (None, ""), (10, text(3)), (6, text(5)), (6, text(5) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.drop_near_duplicates(spark, docs, SF001)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    near = [r for r in got if r[0] == 6]
+    assert len(near) == 1 and near[0][1].startswith(text(5))
+    assert [r for r in got if r[0] != 6] == sorted([(None, text(0)), (None, None), (None, ""), (None, ""), (7, text(2)), (7, text(3)),
+                                                    (8, text(1)), (None, text(4))], key=str)
+    assert out.columns == docs.columns
