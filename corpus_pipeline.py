@@ -46,9 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by strings that also start elsewhere are cut out of the
-    texts; documents left without text go."""
-    out = suffixdedup.deduplicated(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where("length(trim(text)) > 0")
+    texts; documents that lose all of their text by it go.  Those that had
+    none and lost nothing stay."""
+    out = suffixdedup.deduplicated(docs.select(*COLUMNS, F.octet_length("text").alias("n_bytes")))
+    emptied = (F.octet_length("text") < F.col("n_bytes")) & (F.length(F.trim("text")) == 0)
+    return (out.where(~F.coalesce(emptied, F.lit(False)))
+            .withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,3 +342,16 @@ def test_near_duplicates_keep_rows_without_their_own_id(spark):
     assert [r for r in got if r[0] != 6] == sorted([(None, text(0)), (None, None), (None, ""), (None, ""), (7, text(2)), (7, text(3)),
                                                     (8, text(1)), (None, text(4))], key=str)
     assert out.columns == docs.columns
+
+
+def test_repeats_keep_rows_that_had_no_text(spark):
+    """Only documents emptied by the removal go."""
+    import corpus_pipeline as C
+
+    copy, own = "some passage here " * 20, " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, "  "), (4, copy), (5, copy), (6, own), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.remove_repeats(spark, docs, SF001)
+    assert collected(out, "doc_id", "text") == sorted([r for r in rows if r[1] != copy], key=str)
+    assert out.columns == docs.columns
