@@ -44,11 +44,18 @@ _DROP = frozenset(
     "head script style noscript template iframe title textarea nav footer aside form menu button select dialog svg canvas "
     "object embed audio video map datalist".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+# whole class names and ids: a name, perhaps with a place before it and a kind of box after it
+_COMMENT_NAMES = r"comments?|commentlist|comment-body|comment-content|comment-text|disqus|replies|reply|respond"
 _DROP_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|"
-    r"subscri\w+|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|footer|masthead|site-header|"
-    r"comments?|comment-\w+|disqus|replies|respond|share|sharing|social|related|recommended|widget|toolbar|skip-link)"
-    r"(?:[^a-z]|$)")
+    r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|social)[-_])?"
+    rf"(?:{_COMMENT_NAMES}|ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promo(?:s|tions?)?|banners?|cookies?|consent|notice|gdpr|"
+    r"popup|modal|overlay|newsletter|subscri(?:be|ption)|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|"
+    r"footer|masthead|site-header|share|sharing|social|related(?:[-_](?:posts|articles|links))?|recommended|widgets?|toolbar|"
+    r"skip-link)(?:[-_](?:box|bar|area|list|links?|container|wrapper|wrap|block|section|buttons?|icons?|form|thread|banner|notice|"
+    r"consent|slot|unit|widget|signup|\d+))*")
+_COMMENT = re.compile(rf"(?:{_COMMENT_NAMES})(?:[-_](?:box|area|list|container|wrapper|section|thread|\d+))*")
+_NO_NAMES = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
+_MAY_WRAP = frozenset("form header dialog".split())     # furniture by tag that may hold the main content, as named elements may
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
               "th": ("td", "th"), "option": ("option",)}
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"),
@@ -62,16 +69,21 @@ class Node:
         self.tag, self.attrs, self.kids, self.main, self.drop = tag, attrs, [], False, False
 
 
-def _named_furniture(attrs: str) -> bool:
+def _named_furniture(attrs: str, names: re.Pattern | None = _DROP_NAMES) -> bool:
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         value = value.strip("\"'").lower()
-        if (name in ("class", "id") and _DROP_NAMES.search(value)) or (name == "role" and value in _DROP_ROLES) \
-                or name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if (name in ("class", "id") and names and any(map(names.fullmatch, value.split()))) \
+                or (name == "role" and value in _DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
 
 
+def _comment(attrs: str) -> bool:
+    return any(_COMMENT.fullmatch(x) for name, value in _ATTR.findall(attrs) if name.lower() in ("class", "id")
+               for x in value.strip("\"'").lower().split())
+
+
 def parse(text: str) -> Node:
     """A tree of nodes and strings."""
     root = Node("#root", "")
@@ -131,22 +143,73 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def mark(root: Node) -> bool:
-    """Flag furniture, and the nodes that are or hold main content.  True if the page has any."""
-    found = False
-    inside = 0
+    """Flag furniture, and the nodes that are or hold main content.  True if the page has any.
+
+    Where every article lies in furniture that may be a wrapper, and the
+    articles hold more text than the page outside furniture, the wrappers
+    around those in the fewest are none; so is, without articles, a form
+    that holds more text than all outside furniture."""
+    around: list[Node] = []                     # furniture around the node, outermost first
+    open_ = [0]                                 # articles open within each of them
+    chars: dict[int, int] = {0: 0}              # text by innermost furniture (0: none), and the part of it in articles
+    in_articles: dict[int, int] = {0: 0}
+    found: list[tuple[Node, list[Node]]] = []
+    comments: dict[int, Node] = {}
+    forms: list[Node] = []
     for node, leaving in _walk(root):
-        if not leaving:
-            node.drop = (node.tag in _DROP or (node.tag == "header" and not inside)
-                         or (bool(node.attrs) and node.tag not in ("html", "body", "article", "main")
-                             and _named_furniture(node.attrs)))
-            if node.tag in ("article", "main") and not node.drop:
-                node.main = found = True
-                inside += 1
-        else:
-            if node.tag in ("article", "main") and not node.drop:
-                inside -= 1
+        article = node.tag in ("article", "main")
+        if leaving:
+            if node.drop:
+                around.pop()
+                open_.pop()
+            elif article and id(node) not in comments:
+                open_[-1] -= 1
+            continue
+        node.drop = (node.tag in _DROP or (node.tag == "header" and not any(open_))
+                     or (bool(node.attrs) and node.tag not in ("html", "body", "article", "main")
+                         and _named_furniture(node.attrs, None if node.tag in _NO_NAMES else _DROP_NAMES)))
+        if article and node.attrs and _comment(node.attrs):
+            node.drop = any(open_)              # a reader's comment within an article
+            if not node.drop:
+                comments[id(node)] = node
+        if node.drop:
+            if node.tag == "form" and not around:
+                forms.append(node)
+            around.append(node)
+            open_.append(0)
+        elif article and id(node) not in comments:
+            found.append((node, list(around)))
+            open_[-1] += 1
+        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        if own:
+            at = id(around[-1]) if around else 0
+            chars[at] = chars.get(at, 0) + own
+            if open_[-1]:
+                in_articles[at] = in_articles.get(at, 0) + own
+    if found:
+        for node in comments.values():          # comments beside the articles
+            node.drop = True
+    else:
+        found = [(node, []) for node in comments.values()]
+    free = [node for node, over in found if not over]
+    if not free:
+        wrapped = [(node, over) for node, over in found if all(o.tag in _MAY_WRAP or o.tag not in _DROP for o in over)]
+        least = min((len(over) for _, over in wrapped), default=0)
+        wrapped = [(node, over) for node, over in wrapped if len(over) == least]
+        if sum(in_articles.get(x, 0) for x in {id(over[-1]) for _, over in wrapped}) > chars[0]:
+            free = [node for node, _ in wrapped]
+            for _, over in wrapped:
+                for o in over:
+                    o.drop = False
+    if not free:
+        for node in forms:
+            node.drop = chars.get(id(node), 0) <= chars[0]
+    for node in free:
+        node.main = True
+    for node, leaving in _walk(root):
+        if leaving:
             node.main = node.main or any(isinstance(k, Node) and k.main for k in node.kids)
-    return found
+    return bool(free)
 
 
 def digests(root: Node) -> dict[int, int]:

@@ -355,3 +355,25 @@ def test_repeats_keep_rows_that_had_no_text(spark):
     out = C.remove_repeats(spark, docs, SF001)
     assert collected(out, "doc_id", "text") == sorted([r for r in rows if r[1] != copy], key=str)
     assert out.columns == docs.columns
+
+
+def test_page_furniture_around_and_in_articles():
+    """Wrappers named like furniture, text in articles named like it, and comments that are articles."""
+    from riskspark.llm import pagetext as H
+
+    page = "<nav>m</nav><article><h1>T</h1><p>some body text</p></article><footer>f</footer>"
+    for wrapper in ("form id=aspnetForm", "div class='layout has-sidebar'", "div class='no-sidebar'", "div class='social-post'",
+                    "div class='modal'", "section id=comments"):
+        assert H.main_text(f"<body><{wrapper}>{page}</{wrapper.split()[0]}></body>") == "T\n\nsome body text"
+    assert H.main_text("<form><div class=modal><main><p>body text</p></main><div class=related><article>card</article></div></div></form>") \
+        == "body text"
+    assert H.main_text("<body><form id=aspnetForm><div>menu</div><p>whole text of the page</p></form></body>") \
+        == "menu\n\nwhole text of the page"
+    inside = "<h2 id='related-work'>R</h2><p class='notice'>n</p><section id='comments-on-method'>c</section>"
+    assert H.main_text(f"<article>{inside}</article>") == "R\n\nn\n\nc"
+    comment = "<article class='comment'>reader</article>"
+    assert H.main_text(f"<article><p>b</p>{comment}</article>{comment}") == "b"
+    assert H.main_text(f"<body>{comment}</body>") == "reader"
+    assert H.main_text("<article><p>b</p></article><div class='related'><article>a much longer card of another story</article></div>") == "b"
+    for box in ("ad", "ads-box", "cookie-banner", "social-share", "comment-list", "related-posts", "left-sidebar", "x sidebar"):
+        assert H.main_text(f"<article><p>b</p><div class='{box}'>x</div></article>") == "b"
