@@ -1,11 +1,16 @@
 """Main text of web pages: site template removal.
 
-One light parser walks a page's tags.  Every element subtree outside the
-main content is hashed (tag, attributes that shape it, and text); Spark
-counts, per host, on how many different pages each subtree occurs; subtrees
-found on many pages of a host are that site's template and are deleted.
-Elements that are page furniture by their tag, role or class go as well.
-What remains is read block by block.
+One light parser walks a page's tags.  Elements that are page furniture by
+their tag, role or class go.  Every other subtree with text is hashed (tag,
+attributes that shape it, and text), inside articles too; Spark counts, per
+host, on how many different pages each subtree occurs; subtrees found on
+many pages of a host are that site's template and are deleted.  Inside an
+article the bar is higher and only boxes and paragraphs count: headings,
+list items, cells and words within a sentence recur in real text.
+
+What remains is read block by block.  <article> and <main> are a hint: when
+they hold half of the text or more, other blocks stay only if they read
+like text (a main heading, or some length and few links); else all stay.
 
 Defined cases: null or empty html gives the empty text; a null or
 unparsable url belongs to the empty host; unclosed, misnested and truncated
@@ -29,7 +34,12 @@ from pyspark.sql import types as T
 from riskspark.llm.staging import Stage
 
 MIN_PAGES = 3           # a template subtree is on this many different pages of its host at least,
-MIN_SHARE = 0.1         # and on this share of them
+MIN_SHARE = 0.1         # and on this share of them or on HOT_PAGES;
+HOT_PAGES = 1000
+MAIN_PAGES = 4          # inside main content on so many at least
+MAIN_SHARE = 0.25       # and on this share or on HOT_PAGES
+PROSE_CHARS = 40        # a block of text outside main content has so many characters
+LINK_SHARE = 1 / 3      # and no larger part of them in links
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
                   r"|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))", re.S)
@@ -62,6 +72,10 @@ _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
           "th": ("table", "tr"), "option": ("select",)}
 
 
+# recur in real text, so inside main content they go only with the box that holds them
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption option summary figcaption body".split())
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "main", "drop")
 
@@ -213,23 +227,42 @@ def mark(root: Node) -> bool:
 
 
 def digests(root: Node) -> dict[int, int]:
-    """64-bit hash of each element subtree that holds no main content, by id(node)."""
+    """64-bit hash of each subtree that may be template, by id(node): it has
+    text, is or lies in no furniture, holds no main content, and is no part of
+    a sentence.  Odd hashes are of subtrees inside main content."""
     out: dict[int, int] = {}
-    inside = 0
+    every: dict[int, int] = {}
+    skip = inside = 0
+    above: list[Node] = []
     for node, leaving in _walk(root):
-        own = node.tag in ("article", "main") and not node.drop
+        own = node.main and node.tag in ("article", "main")
         if not leaving:
+            skip += node.drop
             inside += own
+            above.append(node)
             continue
+        above.pop()
+        skip -= node.drop
         inside -= own
-        if node.main or inside or node.tag in ("#root", "html", "body", "head") or node.tag in _RAW:
+        if skip or node.drop or node.main or node.tag in ("#root", "html", "body", "head") or node.tag in _RAW:
             continue
+        text = False
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         h.update(" ".join(node.attrs.split()).encode("utf-8", "surrogatepass"))
         for k in node.kids:
-            part = " ".join(k.split()) if isinstance(k, str) else str(out.get(id(k), k.tag))
+            part = " ".join(k.split()) if isinstance(k, str) else str(every.get(id(k), k.tag))
+            text = text or (bool(part) if isinstance(k, str) else id(k) in every)
             h.update(b"\0" + part.encode("utf-8", "surrogatepass"))
-        out[id(node)] = int.from_bytes(h.digest(), "little", signed=True)
+        if not text:
+            continue
+        every[id(node)] = x = int.from_bytes(h.digest(), "little", signed=True) & ~1 | bool(inside)
+        if node.tag in _BLOCK:
+            count = not (inside and node.tag in _PARTS)
+        else:
+            # an inline element counts alone only outside main content and beside no words
+            count = not inside and not any(isinstance(k, str) and k.strip() for k in above[-1].kids)
+        if count:
+            out[id(node)] = x
     return out
 
 
@@ -238,28 +271,32 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
     root = parse(html)
     has_main = mark(root)
     hashed = digests(root) if template else {}
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool, bool]] = []           # text, in main content, reads like text
     line: list[str] = []
-    keeping = 0
+    keeping = links = linked = title = 0
 
     def flush() -> None:
+        nonlocal linked
         block = " ".join("".join(line).split())
         if block:
-            blocks.append(block)
+            blocks.append((block, keeping > 0, title > 0 or (len(block) >= PROSE_CHARS and linked <= LINK_SHARE * len(block))))
         line.clear()
+        linked = 0
 
     todo: list[Node | str | tuple[Node]] = [root]
     while todo:
         item = todo.pop()
         if isinstance(item, str):
-            if keeping or not has_main:
-                line.append(_html.unescape(item) if "&" in item else item)
+            line.append(_html.unescape(item) if "&" in item else item)
+            linked += len(item.strip()) if links else 0
             continue
         if isinstance(item, tuple):
             node = item[0]
             if node.tag in _BLOCK:
                 flush()
             keeping -= node.tag in ("article", "main")
+            links -= node.tag == "a"
+            title -= node.tag == "h1"
             continue
         if item.drop or hashed.get(id(item)) in template:
             if item.tag in _BLOCK:
@@ -270,47 +307,53 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
         if item.tag == "br":
             line.append(" ")
         keeping += item.tag in ("article", "main")
+        links += item.tag == "a"
+        title += item.tag == "h1"
         todo.append((item,))
         todo.extend(reversed(item.kids))
     flush()
-    return "\n\n".join(blocks)
+    if has_main and 2 * sum(len(t) for t, main, _ in blocks if main) >= sum(len(t) for t, _, _ in blocks):
+        blocks = [b for b in blocks if b[1] or b[2]]
+    return "\n\n".join(t for t, _, _ in blocks)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtrees): hashes of the subtrees on many different pages of each host.
-
-    A page holds few subtrees on a given share of all pages, so a host's list
-    is bounded by the size of its pages, not by their number."""
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()),
-                           T.StructField("subtree", T.LongType())])
+def templates(pages: DataFrame, stage: Stage, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              hot_pages: int = HOT_PAGES, main_pages: int = MAIN_PAGES, main_share: float = MAIN_SHARE) -> DataFrame:
+    """(site, page, subtrees) for rows (site, page, html): hashes of those of
+    the page's subtrees that are on many different pages of its site; pages
+    without any have no row.  The lists are made page by page, so they are
+    bounded by the page and not by what recurs anywhere on a large site."""
+    schema = "site long, page long, subtree long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: set[tuple[str, int, int]] = set()
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                page = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
-                                      "little", signed=True)
+            rows: set[tuple[int, int, int]] = set()
+            for site, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 root = parse(text)
                 mark(root)
                 # 0 stands for the page itself
-                rows.update((h, page, x) for x in (0, *digests(root).values()))
+                rows.update((site, page, x) for x in (0, *digests(root).values()))
             if rows:
-                a, b, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()),
-                                                  pa.array(c, pa.int64())], names=["host", "page", "subtree"])
-
-    seen = pages.select(host(F.col(url)).alias("host"), html).mapInArrow(run, schema).distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    return (counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(total, "host")
-            .where(F.col("n") >= F.col("pages") * min_share)
-            .groupBy("host").agg(F.collect_list("subtree").alias("subtrees")))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["site", "page", "subtree"])
+
+    seen = stage.write(pages.mapInArrow(run, schema).distinct(), "seen")
+    counts = seen.groupBy("site", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_pages, main_pages))
+    total = counts.where("subtree = 0").select("site", F.col("n").alias("pages"))
+    inside = (F.col("subtree").bitwiseAND(1)) == 1
+    bar = F.when(inside, F.greatest(F.lit(main_pages), F.least(F.col("pages") * main_share, F.lit(hot_pages)))).otherwise(
+        F.greatest(F.lit(min_pages), F.least(F.col("pages") * min_share, F.lit(hot_pages))))
+    recurring = stage.write(counts.where("subtree <> 0").join(total, "site").where(F.col("n") >= bar)
+                            .select("site", "subtree"), "recurring")
+    # Written before and after, so that the joins have no aggregation in their stages and adaptive execution may split
+    # a subtree that is on very many pages, and a page that is there very many times.
+    met = stage.write(seen.join(recurring, ["site", "subtree"], "left_semi"), "met")
+    lists = stage.write(met.groupBy("site", "page").agg(F.collect_list("subtree").alias("subtrees")), "templates")
+    stage.release("seen", "recurring", "met")
+    return lists
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html",
@@ -321,25 +364,18 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset] = {}
         for batch in batches:
-            out = []
-            for text, t in zip(batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist()):
-                key = tuple(t or ())
-                if key not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[key] = frozenset(key)
-                out.append(main_text(text or "", known[key]))
+            out = [main_text(text or "", frozenset(t or ())) for text, t in
+                   zip(batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist())]
             cols = [batch.column(i) for i in range(n_keep)]
             cols += [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    # Written first, so that the join below has no aggregation in its stages and adaptive execution may split a hot host.
-    site = Stage(pages.sparkSession, "templates").write(
-        templates(pages, url, html, **how).withColumnRenamed("host", "template_host"), "templates")
+    site, page = F.xxhash64(host(pages[url])), F.xxhash64(F.coalesce(pages[html], F.lit("")))
+    rows = pages.select(site.alias("site"), page.alias("page"), F.coalesce(pages[html], F.lit("")).alias("html"))
+    lists = templates(rows, Stage(pages.sparkSession, "templates"), **how)
     return (pages.select(*[pages[c].alias(f"k{i}") for i, c in enumerate(keep)], pages[html].alias("page_html"),
-                         host(pages[url]).alias("page_host"))
-            .join(site, F.col("page_host") == F.col("template_host"), "left")
+                         site.alias("site"), page.alias("page"))
+            .join(lists, ["site", "page"], "left")
             .select(*[f"k{i}" for i in range(n_keep)], "page_html", "subtrees")
             .mapInArrow(run, schema))

@@ -377,3 +377,30 @@ def test_page_furniture_around_and_in_articles():
     assert H.main_text("<article><p>b</p></article><div class='related'><article>a much longer card of another story</article></div>") == "b"
     for box in ("ad", "ads-box", "cookie-banner", "social-share", "comment-list", "related-posts", "left-sidebar", "x sidebar"):
         assert H.main_text(f"<article><p>b</p><div class='{box}'>x</div></article>") == "b"
+
+
+def test_page_templates_in_articles_and_text_outside(spark):
+    """Boxes that recur inside articles go; headings, list items and words that recur in real text stay; an article
+    is a hint only; a menu on some pages of a large host goes by its number."""
+    from riskspark.llm import pagetext as H
+
+    schema = "page_id long, url string, html string"
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    box = "<div>Buy our coffee <a href='/shop'>now</a></div>"
+    body = "<h2>Notes</h2><p>own {0} <a href=/x>France</a> end</p><ul><li>yes</li><li>{0}</li></ul>"
+    rows = [(k, "http://a.example/", f"<body><article>{body.format(word(k))}{box}</article></body>") for k in range(8)]
+    rows += [(100 + k, "http://b.example/", f"<article><p>card {k}</p></article><p>{word(k)}</p><p>short {k}</p>") for k in range(4)]
+    menu = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+    rows += [(1000 + k, "http://c.example/", f"<body>{menu if k < 6 else ''}<p>{word(k)}</p></body>") for k in range(90)]
+    out = H.extract(spark.createDataFrame(rows, schema), hot_pages=5).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(got) == len(rows)
+    for k in range(8):
+        assert got[k] == f"Notes\n\nown {word(k)} France end\n\nyes\n\n{word(k)}"
+    for k in range(4):
+        assert got[100 + k] == f"card {k}\n\n{word(k)}\n\nshort {k}"
+    for k in range(90):
+        assert got[1000 + k] == word(k)
+    story = f"{word(1)} {word(2)} {word(3)}"
+    assert H.main_text(f"<h1>Title</h1><p>by me</p><p>{word(3)}</p><article>{story}</article><p><a href=1>{word(4)}</a></p>") \
+        == f"Title\n\n{word(3)}\n\n{story}"
