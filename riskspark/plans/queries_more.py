@@ -53,14 +53,14 @@ def q_page_fields(spark, sf_dir):
 
 def q_collect_pipeline(spark, sf_dir):
     """The whole collector job.  The given pages do not link to each other, so
-    the page behind the first matching link of every fourth page is missing
-    and that of the others is the page itself; conversations and frames of
-    the same number are the video's speech and pictures."""
+    the page behind each matching link of a page is the page itself;
+    conversations and frames of the same number are the video's speech and
+    pictures."""
     from riskspark.operators.collector import collect
 
     pages = _pages(spark, sf_dir)
-    first = PG.page_links(pages, FIXTURE_LINK_CONTAINS).groupBy("page_id").agg(F.min_by("link", "pos").alias("url"))
-    stored = pages.where("page_id % 4 <> 3").drop("url").join(first, "page_id")
+    links = PG.page_links(pages, FIXTURE_LINK_CONTAINS).select("page_id", F.col("link").alias("url")).distinct()
+    stored = pages.drop("url").join(links, "page_id")
     return collect(pages, stored, FX.segments(spark, sf_dir), FX.frames(spark, sf_dir), contains=FIXTURE_LINK_CONTAINS,
                    tag_pattern=FIXTURE_TAG_PATTERN, caption_selectors=FIXTURE_CAPTION_SELECTORS)
 

@@ -64,3 +64,13 @@ def test_query_against_its_parts(spark):
     for r in got.itertuples():
         assert r.transcript == said.get(r.post_id, "")
         assert pd.isna(r.face_detected) == pd.isna(r.visual_blur)
+
+
+def test_query_stores_every_page(spark):
+    """Every sampled link of the given tables has its page, under whichever of the page's links it is."""
+    import __spark_entry__ as E
+
+    q = E.queries()
+    got = q["collect_pipeline"](spark, SF001).toPandas()
+    sample = q["hashtag_sample"](spark, SF001).toPandas()
+    assert sorted(zip(got.hashtag, got.video_url)) == sorted(zip(sample.hashtag, sample.link))
