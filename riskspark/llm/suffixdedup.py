@@ -8,8 +8,12 @@ hash met in one segment only rules its windows out (unless the k-gram
 occurs twice in that segment).  Segments that are equal byte for byte repeat
 as a whole and are marked at once.  The different segments that share a hash
 go, by hash, to the shards that are suffix-sorted; each task sorts its
-shards one after the other.  A further text equal to one its task has read
-adds its marks and no segments, so copies are combined before the shuffle.
+shards one after the other.  A hash with more text than ``HOT_BYTES`` (a
+k-gram or passage of very many texts, each with its own neighbours) goes to
+no shard: its windows are counted by a 128-bit hash of all their bytes, with
+partial counts, and those met twice are marked.  A further text equal to one
+its task has read adds its marks and no segments, so copies are combined
+before the shuffle.
 
 Defined cases: null and empty texts and texts shorter than ``length`` lose
 nothing; strings are judged on the input, overlaps included; a null id and
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +43,16 @@ LENGTH = 200
 GRAM = 16
 SLICE_BYTES = 1 << 19
 MAX_WINDOWS = 4096      # windows in one segment; longer runs are cut
-SHARD_BYTES = 2 << 20   # bytes sorted together, unless one hash alone has more
+SHARD_BYTES = 2 << 20   # bytes sorted together, unless one hash alone has more,
+HOT_BYTES = 4 << 20     # which is no hash with more than this
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
+_BASE2 = 0xAEF17502108EF2D9
+_INV2 = pow(_BASE2, -1, 1 << 64)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_TABLE2 = np.random.default_rng(32).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
@@ -149,6 +158,38 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(raw, pa.binary())], names=["least", "rid", "at", "piece"])
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text, pieces) -> (a, b, rid, at): two hashes of each window of the pieces."""
+    def hashed(part: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(x[2] for x in part), np.uint8)
+        n = len(data)
+        sizes = np.array([len(x[2]) for x in part], np.int64)
+        windows = sizes - LENGTH + 1
+        inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = np.repeat(np.cumsum(sizes) - sizes, windows) + inner
+        cols = []
+        for table, base, inv in ((_TABLE, _BASE, _INV), (_TABLE2, _BASE2, _INV2)):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[data] * powers(n, base), out=sums[1:])
+            cols.append(pa.array(mix((sums[at + LENGTH] - sums[at]) * powers(n, inv)[at]).view(np.int64)))
+        rid = np.repeat(np.array([x[0] for x in part], np.int64), windows)
+        start = np.repeat(np.array([x[1] for x in part], np.int64), windows) + inner
+        return pa.RecordBatch.from_arrays([*cols, pa.array(rid), pa.array(start.astype(np.int32))], names=["a", "b", "rid", "at"])
+
+    for b in batches:
+        part, size = [], 0
+        for r, text, pieces in zip(b.column(0), b.column(1), b.column(2)):
+            t = text.as_py().encode("utf-8", "surrogatepass")
+            for p in pieces.as_py():
+                part.append((r.as_py(), p["at"], t[p["at"]:p["at"] + p["windows"] + LENGTH - 1]))
+                size += len(part[-1][2])
+                if size > SLICE_BYTES:
+                    yield hashed(part)
+                    part, size = [], 0
+        if part:
+            yield hashed(part)
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces sorted by hash -> marks (rid, at, windows).  A shard holds whole
     hashes; pieces that repeated rows bring twice are sorted once."""
@@ -179,6 +220,24 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sort_now(rows)
 
 
+def _hot(picked: DataFrame) -> DataFrame:
+    """(least): hashes whose pieces are too much for one shard; all text over HOT_BYTES many at most."""
+    return (picked.groupBy("least").agg(F.sum(F.col("windows").cast("long") + LENGTH - 1).alias("bytes"))
+            .where(F.col("bytes") > HOT_BYTES).select("least"))
+
+
+def _hot_marks(rows: DataFrame, picked: DataFrame, stage: Stage) -> DataFrame:
+    """(rid, at, windows): the windows of pieces that repeat, counted by their hashes."""
+    lists = picked.groupBy("rid").agg(F.collect_list(F.struct("at", "windows")).alias("pieces"))
+    met = stage.write(_join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
+        _window_rows, "a long, b long, rid long, at int"), "windows")
+    twice = stage.write(met.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
+    found = stage.write(met.join(twice, ["a", "b"], "left_semi").select("rid", "at").distinct(), "found")
+    run = F.col("at") - F.row_number().over(Window.partitionBy("rid").orderBy("at"))      # constant along a run
+    return found.withColumn("run", run).groupBy("rid", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows")) \
+        .select("rid", "at", "windows")
+
+
 def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
     """(rid, at, windows) for rows (rid, text): the runs of windows that repeat.
 
@@ -196,14 +255,20 @@ def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
                          .select("least", "one.rid", "one.at", "windows"), "picked")
     equal = segs.where(~whole).join(classes.where("n > 1").select(*same), same, "left_semi")
 
+    hot = stage.write(_hot(picked), "hot")
+    crowded = not hot.isEmpty()
+    if crowded:
+        hot_marks = _hot_marks(rows, picked.join(F.broadcast(hot), "least", "left_semi"), stage)
+        picked = picked.join(F.broadcast(hot), "least", "left_anti")
     lists = picked.groupBy("rid").agg(F.collect_list(F.struct("least", "at", "windows")).alias("pieces"))
     pieces = _join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
         _piece_rows, "least long, rid long, at int, piece binary")
     sorted_marks = pieces.repartition("least").sortWithinPartitions("least").mapInArrow(
         _sort_shards, "rid long, at int, windows int")
-    marks = stage.write(segs.where(whole).select("rid", "at", "windows")
-                        .unionByName(equal.select("rid", "at", "windows")).unionByName(sorted_marks), "marks")
-    stage.release("segments", "classes", "several", "picked")
+    marks = (segs.where(whole).select("rid", "at", "windows").unionByName(equal.select("rid", "at", "windows"))
+             .unionByName(sorted_marks))
+    marks = stage.write(marks.unionByName(hot_marks) if crowded else marks, "marks")
+    stage.release("segments", "classes", "several", "picked", "hot", *(["windows", "twice", "found"] if crowded else []))
     return marks
 
 

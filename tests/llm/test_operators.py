@@ -404,3 +404,25 @@ def test_page_templates_in_articles_and_text_outside(spark):
     story = f"{word(1)} {word(2)} {word(3)}"
     assert H.main_text(f"<h1>Title</h1><p>by me</p><p>{word(3)}</p><article>{story}</article><p><a href=1>{word(4)}</a></p>") \
         == f"Title\n\n{word(3)}\n\n{story}"
+
+
+def test_suffix_dedup_hot_hashes(spark, monkeypatch):
+    """Hashes with much text go to no shard and lose no mark: a passage among different neighbours, copies and periods."""
+    from riskspark.llm import suffixdedup as D
+
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
+    own = lambda n: "".join(rng.choice(letters, n))
+    passage = own(260)
+    rows = [(k, own(220) + passage[k % 7:] + own(220)) for k in range(60)]
+    rows += [(100 + k, own(150) + passage[30:130] + own(150)) for k in range(40)]
+    rows += [(200, rows[3][1]), (None, rows[4][1]), rows[5], (201, "xy" * 400), (202, "xy" * 150 + own(90)), (203, None)]
+    monkeypatch.setattr(D, "HOT_BYTES", 3000)
+    cut = []
+    hot = D._hot
+    monkeypatch.setattr(D, "_hot", lambda picked: cut.append(hot(picked).count()) or hot(picked))
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = D.removal_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(got, *cols) == suffix_rows(rows) and cut[0] > 0
+    monkeypatch.setattr(D, "HOT_BYTES", 0)
+    assert collected(D.removal_report(spark.createDataFrame(rows, "doc_id long, text string")), *cols) == suffix_rows(rows)
