@@ -124,3 +124,12 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def text_slices(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of at most ``limit`` bytes of text
+    at once (one text at least), so that what is derived from a slice never
+    grows with the batch."""
+    data, offsets = text_bytes(column)
+    for i, j in slices(offsets, limit):
+        yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]

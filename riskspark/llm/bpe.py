@@ -4,8 +4,8 @@ A vocabulary of ranked byte strings becomes a BPE model of the sentencepiece
 library: every byte is mapped to one printable character, every piece is
 scored by its negative rank, and normalisation is the identity, so merging
 by best score is merging by lowest rank.  Texts are cut by the vocabulary's
-pattern; each distinct cut is encoded once while it stays in the worker's store and its ids are
-kept as bytes.  Decoding maps ids back to byte strings.
+pattern; each distinct cut is encoded once while it stays in the task's store, which is
+bounded in bytes, and its ids are kept as bytes.  Decoding maps ids back to byte strings.
 
 Defined cases: a null or empty text has no tokens; other columns are kept;
 repeated rows are encoded alike; a cut that is itself a vocabulary entry is
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from riskspark.llm.arrowtext import slices, text_bytes
 
 GROUP_BYTES = 1 << 20  # texts encoded at once
-CACHE_PIECES = 400_000  # distinct cuts kept per worker; the store is emptied beyond this
+STORE_BYTES = 24 << 20  # of distinct cuts kept by a task; the store is emptied beyond this
+CUT_BYTES = 200         # of a cut's entry besides its characters and ids
 
 
 def byte_chars() -> list[str]:
@@ -97,6 +98,7 @@ class Codec:
                                  .replace(r"\S", r"\P{White_Space}")).findall
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.rank = {p: i for i, p in enumerate(self.pieces)}
 
     def _learn(self, cuts: list[str]) -> None:
@@ -111,13 +113,18 @@ class Codec:
                 at.append(i)
         for i, ids in zip(at, self.model.encode(mapped, num_threads=1) if mapped else ()):
             self.known[cuts[i]] = _ids(ids)
+        self.known_bytes += sum(CUT_BYTES + len(c) + len(b) + len(self.known[c]) for c, b in zip(cuts, raw))
+
+    def forget(self) -> None:
+        """Empty the store of cuts."""
+        self.known, self.known_bytes = {}, 0
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers.
         The cuts not met before are encoded in one call."""
         cuts = [self.cut(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        if self.known_bytes > STORE_BYTES:
+            self.forget()
         new = {c for row in cuts for c in row if c not in self.known}
         if new:
             self._learn(list(new))
@@ -174,5 +181,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
                     cols.append(pa.array([hashlib.sha256(e).hexdigest() for e in ids], pa.string()))
                     cols.append(pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        c.forget()      # the worker process lives on and serves other work
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, text).mapInArrow(run, T.StructType(fields))

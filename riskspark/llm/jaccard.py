@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import mix, powers, slices, text_bytes, words
+from riskspark.llm.arrowtext import mix, powers, text_slices, words
 from riskspark.llm.graph import components
 from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import join_small
@@ -50,7 +50,7 @@ PARTS = 0.8             # parts of a window, over its smallest size
 HOT = 48
 PIVOTS = 32
 PARITIES = 16           # longs of parities
-SLICE_WORDS = 1 << 18
+SLICE_BYTES = 1 << 20
 KEPT_BYTES = 5          # bytes of each feature's hash that are compared when a pair is verified
 _ORDER = powers(SHINGLE + 1, 0xD6E8FEB86659FD93)[1:]
 
@@ -117,11 +117,9 @@ def signatures(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 def _sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, features, offsets), some texts at a time."""
-    data, offsets = text_bytes(column)
-    hashes, bounds, _ = words(data, offsets)
-    for i, j in slices(bounds, SLICE_WORDS):
-        lo = bounds[i]
-        yield i, *feature_sets(hashes[lo:bounds[j]], bounds[i:j + 1] - lo)
+    for i, _, data, offsets in text_slices(column, SLICE_BYTES):
+        hashes, bounds, _ = words(data, offsets)
+        yield i, *feature_sets(hashes, bounds)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import slices, text_bytes, words
+from riskspark.llm.arrowtext import slices, text_bytes, text_slices, words
 
 CUT = 0.3
 WIDTHS = (1, 2, 3)
@@ -42,6 +42,7 @@ MAX_ROWS = 6000
 MAX_CHARS = 20_000
 EPOCHS = 6
 SLICE_WORDS = 1 << 16
+SLICE_BYTES = 1 << 19   # texts hashed and scored at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,9 +50,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Hash buckets of every word (word, prefixes) and the offsets of the texts."""
-    data, offsets = text_bytes(column)
     h, bounds, pre = words(data, offsets, PREFIXES)
     return [(x % np.uint64(BUCKETS)).astype(np.int32) for x in (h, *pre)], bounds
 
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     model = Model()
     if len(rows) == 0:
         return model
-    idx, bounds = features(pa.array(rows.pop("text"), pa.string()))     # the texts are not kept
+    idx, bounds = features(*text_bytes(pa.array(rows.pop("text"), pa.string())))     # the texts are not kept
     check = np.random.default_rng(2).random(len(rows)) < 0.25
     return model.fit(idx, bounds, rows["toxic"].to_numpy(np.int64),
                      [x if isinstance(x, str) else None for x in rows["lang"]], check)
@@ -266,12 +266,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data_idx, bounds = features(batch.column(batch.schema.get_field_index(text)))
             out = np.zeros(batch.num_rows)
-            for i, j in slices(bounds, SLICE_WORDS):
-                lo, hi = bounds[i], bounds[j]
-                out[i:j] = m.score([x[lo:hi] for x in data_idx], bounds[i:j + 1] - lo)
+            for i, j, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)), SLICE_BYTES):
+                out[i:j] = m.score(*features(data, offsets))
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[f.name for f in schema])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
