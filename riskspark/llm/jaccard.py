@@ -1,22 +1,25 @@
 """Exact Jaccard join of documents on their sets of word 5-grams, through
 PartEnum signatures.
 
-Sets are put into overlapping size windows [2^w, 2.5 * 2^w], so that two sets
-of similarity 0.8 share the window of the smaller one.  Within a window the
-feature domain is cut into a fixed number of parts by hash.  Two such sets
-differ in at most h features (h = n/4 for the smaller, 2n/9 for the larger),
-each spoils one part, so of the non-empty parts of either set at least
-``slack`` = parts - h are equal in the other: one signature per non-empty
-part finds every pair.  A set too small or too unevenly spread for a slack
-of 1 adds each of its features as a signature.
+Sets are put into overlapping size windows: a set whose size lies between
+two bounds (powers of 1.5) may be the smaller of a pair there, and sets up
+to a quarter larger the larger one.  Within a window the feature domain is
+cut into a fixed number of parts by hash.  Two sets of similarity 0.8 differ
+in at most h = (n + m) / 9 features, each spoils one part, so of the
+non-empty parts of either set at least ``slack`` = parts - h are equal in
+the other: one signature per non-empty part finds every pair.  A part is
+three features or so, more than a chance common shingle fills.  A set too
+small or too unevenly spread for a slack of 1 adds each of its features as a
+signature.
 
 Signatures shared by more than ``HOT`` sets come from common passages or
 large groups of copies.  As every link shares ``slack`` signatures, a set
 with fewer hot ones than that may drop them all and lose no link.  The rest
 (sets made of little else) keep their rarest hot ones, all but slack - 1, of
-which a pair sharing hot ones only must share one.  They are compared with
-some members of each, and then, while a hot signature still holds several
-components, with its other members too; parities of features by cell bound
+which a pair sharing hot ones only must share one.  Each set is first compared
+with some members of its most frequent one, which joins large groups of near
+copies; then, while a hot signature still holds several components, its
+sets are compared with its other members too; parities of features by cell bound
 the distance of such a pair from below before it becomes a row.
 
 Candidate pairs are verified on the sets themselves: first the best pair of
@@ -25,8 +28,8 @@ Equal sets are one node from the start, so copies are never paired.
 
 Defined cases: null and empty texts and texts of white space have size 0
 and are linked with nothing; texts of fewer than five words have one shingle;
-a null id gets its size, and a component through its text only; rows
-repeating an id are linked by their own texts; other columns are not read;
+a row with a null id gets its size and the component of its text, and links
+others like any text; rows repeating an id are linked by their own texts; other columns are not read;
 an empty table gives an empty result.
 """
 
@@ -46,12 +49,13 @@ from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import join_small
 
 SHINGLE = 5
-PARTS = 0.8             # parts of a window, over its smallest size
+RATIO = 1.5             # between the bounds of size windows
+PARTS = 0.3             # parts of a window, over its upper bound; a quarter is spoiled at most
 HOT = 48
 PIVOTS = 32
 PARITIES = 16           # longs of parities
 SLICE_BYTES = 1 << 20
-KEPT_BYTES = 5          # bytes of each feature's hash that are compared when a pair is verified
+_BOUNDS = np.unique(np.ceil(np.power(RATIO, np.arange(80))).astype(np.int64))     # up to sets of 10^13 features
 _ORDER = powers(SHINGLE + 1, 0xD6E8FEB86659FD93)[1:]
 
 
@@ -85,15 +89,16 @@ def signatures(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     """(signature, text, slack) rows of non-empty sets."""
     sizes = np.diff(bounds)
     some = np.flatnonzero(sizes > 0)
-    main = np.zeros(len(sizes), np.int64)
-    main[some] = np.floor(np.log2(sizes[some])).astype(np.int64)
+    main = np.searchsorted(_BOUNDS, sizes, side="right") - 1
+    # the larger of a pair may lie one window above the smaller
+    larger = some[(main[some] > 0) & (4 * sizes[some] <= 5 * (_BOUNDS[main[some]] - 1))]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    smaller = some[(main[some] > 0) & (4 * sizes[some] <= 5 * (1 << main[some]))]
-    for rows, window, larger_only in ((some, main[some], False), (smaller, main[smaller] - 1, True)):
+    for rows, window, larger_only in ((some, main[some], False), (larger, main[larger] - 1, True)):
         if len(rows) == 0:
             continue
-        n = sizes[rows]
-        parts = np.ceil(PARTS * (1 << window)).astype(np.int64) + 3
+        n, top = sizes[rows], _BOUNDS[window + 1]
+        parts = np.ceil(PARTS * top).astype(np.int64) + 3
+        spoiled = (n + top - 1) // 9 if larger_only else n // 4
         first = np.concatenate([[0], np.cumsum(parts)])
         at = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in rows])
         own = np.repeat(np.arange(len(rows)), n)
@@ -104,7 +109,7 @@ def signatures(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
         full = np.flatnonzero(np.bincount(cell, minlength=len(total)))
         text = np.searchsorted(first, full, side="right") - 1
         tag = (full - first[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (window[text].astype(np.uint64) << np.uint64(50))
-        slack = np.bincount(text, minlength=len(rows)) - (2 * n // 9 if larger_only else n // 4)
+        slack = np.bincount(text, minlength=len(rows)) - spoiled
         out.append((mix(total[full] + tag).view(np.int64), rows[text], slack[text]))
         thin = (slack < 1)[own]
         if thin.any():
@@ -124,10 +129,11 @@ def _sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, f, at in _sets_of(b.column(1)):
+        for i, f, at in _sets_of(b.column(2)):
             n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(n)), pa.array(n),
-                                              pa.array(nodes(f, at), mask=n == 0)], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, len(n)), b.column(1).slice(i, len(n)), pa.array(n), pa.array(nodes(f, at), mask=n == 0)],
+                names=["doc_id", "text_hash", "n_shingles", "node"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +220,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, again, f) of the texts that are what their node says."""
     for b in batches:
-        for i, f, at in _sets_of(b.column(1)):
-            low = f.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
-            sets = [low[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array(sets, pa.binary())], names=["node", "f"])
+        for i, f, at in _sets_of(b.column(2)):
+            known = b.column(0).slice(i, len(at) - 1).to_numpy()
+            right = np.flatnonzero(nodes(f, at) == known)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(known[right]), b.column(1).slice(i, len(at) - 1).take(pa.array(right)),
+                 pa.array([f[at[k]:at[k + 1]].tobytes() for k in right], pa.binary())], names=["node", "again", "f"])
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +244,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEPT_BYTES, 8), np.uint8)
-    wide[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(raw, np.uint64)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +262,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     documents, named by their smallest id."""
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stage.write(source.mapInArrow(_sizes, "doc_id long, n_shingles long, node long"), "rows")
-    # copies are one node; its smallest row stands for it
-    classes = stage.write(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    rows = stage.write(source.mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, node long"), "rows")
+    # copies are one node; a row of the smallest id stands for it, one without an id only where there is no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = stage.write(rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("row"))
+                          .select("node", "row.*").withColumnRenamed("doc_id", "least"), "classes")
 
     sigs = source.select("text").mapInArrow(_signatures, _SIG).repartition("sig").sortWithinPartitions("sig", "node")
     found = stage.write(sigs.mapInArrow(_runs, _FOUND), "found")
@@ -278,6 +287,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     pairs = pairs.select("x", "y", "near")
 
     pairs = stage.write(pairs.groupBy("x", "y").agg(F.max("near").alias("near")), "pairs")
+    stage.release("found", "dropped")
 
     sets_made: list[DataFrame] = []
 
@@ -286,16 +296,25 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         if not sets_made:
             wanted = (pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
                       .unionByName(hot.select("node")).distinct().join(classes, "node"))
-            wanted = stage.write(wanted.select("node", F.col("least").alias("doc_id")), "wanted")
-            texts = join_small(source.where("text IS NOT NULL"), wanted, "doc_id")
-            made = texts.select("node", "text", "doc_id").mapInArrow(_feature_rows, "node long, f binary")
-            sets_made.append(stage.write(made, "sets"))
+            # rows repeating id and text bring the same set again
+            same = [F.col("least").eqNullSafe(F.col("doc_id")), F.col("text_hash") == F.col("row_hash")]
+            times = (rows.select("doc_id", F.col("text_hash").alias("row_hash"), F.col("node").alias("row_node"))
+                     .groupBy("doc_id", "row_hash", "row_node").agg(F.count("*").alias("times")).where("times > 1"))
+            wanted = wanted.join(times, [*same, F.col("node") == F.col("row_node")], "left").select(
+                "node", "least", F.col("text_hash").alias("row_hash"), F.col("times").isNotNull().alias("again"))
+            wanted = stage.write(wanted, "wanted")
+            texts = join_small(source.where("text IS NOT NULL"), wanted, [same[1], same[0]])
+            made = stage.write(texts.select("node", "again", "text").mapInArrow(_feature_rows, "node long, again boolean, f binary"), "made")
+            once = made.where("NOT again").select("node", "f")
+            twice = made.where("again").groupBy("node").agg(F.max("f").alias("f"))
+            sets_made.append(stage.write(once.unionByName(twice), "sets"))
+            stage.release("made", "wanted")
         return sets_made[0]
 
-    def open_rows() -> DataFrame:
-        """Hot rows with the parities of their sets."""
-        bits = sets().join(hot.select("node").distinct(), "node", "left_semi").mapInArrow(_parities, "node long, bits array<long>")
-        return stage.write(hot.join(bits, "node"), "hot-bits")
+    def bits() -> DataFrame:
+        """The parities of the sets of hot rows."""
+        few = sets().join(hot.select("node").distinct(), "node", "left_semi")
+        return stage.write(few.mapInArrow(_parities, "node long, bits array<long>"), "bits")
 
     def against_members(rows_of: DataFrame, first: int, count: int) -> DataFrame:
         """Pairs of the rows with members first + 1 .. first + count (by node)
@@ -319,17 +338,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         return (df.join(comp.select(F.col("node").alias(col), F.col("root").alias(out)), col, "left")
                 .withColumn(out, F.coalesce(out, col)))
 
-    comp = _link_up(stage, pairs, hot, open_rows, verified, with_comp, against_members)
+    comp = _link_up(stage, pairs, hot, bits, verified, with_comp, against_members)
     named = (classes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stage.write(named.join(least, "root").select("node", "component_id"), "labels")
     out = rows.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    stage.release("found", "dropped", "pairs", "hot", "classes", *(["sets", "wanted"] if sets_made else []))
+    stage.release("pairs", "hot", "classes", *(["sets"] if sets_made else []))
     return out
 
 
-def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, open_rows, verified, with_comp, against_members) -> DataFrame:
+def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, bits, verified, with_comp, against_members) -> DataFrame:
     """(node, root) of the links among the candidates."""
     if pairs.isEmpty() and hot.isEmpty():
         return stage.spark.createDataFrame([], "node long, root long")
@@ -357,7 +376,16 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, open_rows, verified
         comp = merge(more, "cc2")
     if hot.isEmpty():
         return comp
-    hot = open_rows()
+    bits_of = bits()
+    # each set against some members of its most frequent hot signature
+    often = hot.groupBy("sig").agg(F.count("*").alias("freq"))
+    one = (hot.join(often, "sig").groupBy("node").agg(F.max(F.struct("freq", "sig", "n")).alias("m"))
+           .select("node", "m.sig", "m.n").join(bits_of, "node"))
+    more = stage.write(against_members(stage.write(with_comp(one, comp, "node", "comp"), "one"), 0, PIVOTS), "one-more")
+    more = verified(more, "one-tested").where("linked")
+    if not more.isEmpty():
+        comp = merge(more, "cc3")
+    stage.release("one", "one-more", "one-tested")
     first, count = 0, PIVOTS
     while True:
         # hot signatures whose members are still in several components
@@ -366,9 +394,10 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, open_rows, verified
                             .where((F.col("lo") != F.col("hi")) & (F.col("size") > first + (first > 0))).select("sig"), f"split{first}")
         if split.isEmpty():
             return comp
-        left = stage.write(named.join(split, "sig", "left_semi"), f"open{first}")
+        left = stage.write(join_small(named, split, "sig", "left_semi").join(bits_of, "node"), f"open{first}")
         more = stage.write(against_members(left, first, count), f"more{first}")
         more = verified(more, f"tested{first}").where("linked")
         if not more.isEmpty():
-            comp = merge(more, f"cc3-{first}")
+            comp = merge(more, f"cc4-{first}")
+        stage.release(f"split{first}", f"open{first}", f"more{first}", f"tested{first}", f"members{first}")
         first, count = first + count, 4 * count
