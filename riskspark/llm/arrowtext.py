@@ -3,12 +3,15 @@ buffer, cut into words and hashed with numpy, a few megabytes at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+BATCH_BYTES = 4 << 20  # of a record batch that a task works on at once
 BLOCK_BYTES = 2 << 20  # bytes hashed at once; a longer word makes its own block longer
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -133,3 +136,34 @@ def text_slices(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
     data, offsets = text_bytes(column)
     for i, j in slices(offsets, limit):
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+
+
+def give_back() -> None:
+    """Return freed memory to the system.  Spark keeps its Python workers for
+    later tasks; what one of them has freed but still holds counts against
+    the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Task, limit: int = BATCH_BYTES) -> Task:
+    """``run`` on smaller batches (``limit`` bytes, one row at least), giving memory back at the end of the task."""
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, b.num_rows // max(1, -(-b.nbytes // limit)))
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(batches))
+        finally:
+            give_back()
+
+    return task

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import slices, text_bytes
+from riskspark.llm.arrowtext import slices, text_bytes, tidy
 
 GROUP_BYTES = 1 << 20  # texts encoded at once
 STORE_BYTES = 24 << 20  # of distinct cuts kept by a task; the store is emptied beyond this
@@ -182,6 +182,5 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
                     cols.append(pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
         c.forget()      # the worker process lives on and serves other work
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(*keep, text).mapInArrow(run, T.StructType(fields))
+    return docs.select(*keep, text).mapInArrow(tidy(run), T.StructType(fields))

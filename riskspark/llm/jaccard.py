@@ -18,8 +18,8 @@ with fewer hot ones than that may drop them all and lose no link.  The rest
 (sets made of little else) keep their rarest hot ones, all but slack - 1, of
 which a pair sharing hot ones only must share one.  Each set is first compared
 with some members of its most frequent one, which joins large groups of near
-copies; then, while a hot signature still holds several components, its
-sets are compared with its other members too; parities of features by cell bound
+copies; then, of the hot signatures that still hold several components, all
+sets outside the largest of them are compared with its other members too; parities of features by cell bound
 the distance of such a pair from below before it becomes a row.
 
 Candidate pairs are verified on the sets themselves: first the best pair of
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import mix, powers, text_slices, words
+from riskspark.llm.arrowtext import mix, powers, text_slices, tidy, words
 from riskspark.llm.graph import components
 from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import join_small
@@ -263,14 +263,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    rows = stage.write(source.mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, node long"), "rows")
+    rows = stage.write(source.mapInArrow(tidy(_sizes), "doc_id long, text_hash long, n_shingles long, node long"), "rows")
     # copies are one node; a row of the smallest id stands for it, one without an id only where there is no other
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = stage.write(rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("row"))
                           .select("node", "row.*").withColumnRenamed("doc_id", "least"), "classes")
 
-    sigs = source.select("text").mapInArrow(_signatures, _SIG).repartition("sig").sortWithinPartitions("sig", "node")
-    found = stage.write(sigs.mapInArrow(_runs, _FOUND), "found")
+    sigs = source.select("text").mapInArrow(tidy(_signatures), _SIG).repartition("sig").sortWithinPartitions("sig", "node")
+    found = stage.write(sigs.mapInArrow(tidy(_runs), _FOUND), "found")
     # a set with fewer hot signatures than its slack may do without them
     hot = found.where("hot").select(F.col("x").alias("sig"), F.col("y").alias("node"), F.col("a").alias("n"), F.col("b").alias("slack"))
     dropped = stage.write(hot.groupBy("node", "slack").agg(F.count("*").alias("d")), "dropped")
@@ -290,6 +290,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     stage.release("found", "dropped")
 
     sets_made: list[DataFrame] = []
+    bits: list[DataFrame] = []
 
     def sets() -> DataFrame:
         """Features of every node in a candidate pair or a hot signature."""
@@ -304,27 +305,30 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 "node", "least", F.col("text_hash").alias("row_hash"), F.col("times").isNotNull().alias("again"))
             wanted = stage.write(wanted, "wanted")
             texts = join_small(source.where("text IS NOT NULL"), wanted, [same[1], same[0]])
-            made = stage.write(texts.select("node", "again", "text").mapInArrow(_feature_rows, "node long, again boolean, f binary"), "made")
+            made = stage.write(texts.select("node", "again", "text").mapInArrow(tidy(_feature_rows), "node long, again boolean, f binary"), "made")
             once = made.where("NOT again").select("node", "f")
             twice = made.where("again").groupBy("node").agg(F.max("f").alias("f"))
             sets_made.append(stage.write(once.unionByName(twice), "sets"))
             stage.release("made", "wanted")
         return sets_made[0]
 
-    def bits() -> DataFrame:
+    def parities() -> DataFrame:
         """The parities of the sets of hot rows."""
-        few = sets().join(hot.select("node").distinct(), "node", "left_semi")
-        return stage.write(few.mapInArrow(_parities, "node long, bits array<long>"), "bits")
+        if not bits:
+            few = sets().join(hot.select("node").distinct(), "node", "left_semi")
+            bits.append(stage.write(few.mapInArrow(tidy(_parities), "node long, bits array<long>"), "bits"))
+        return bits[0]
 
-    def against_members(rows_of: DataFrame, first: int, count: int) -> DataFrame:
-        """Pairs of the rows with members first + 1 .. first + count (by node)
+    def against_members(open_rows: DataFrame, members: DataFrame, first: int, count: int) -> DataFrame:
+        """Pairs of open rows with members first + 1 .. first + count (by node)
         of their signature, as far as sizes, components and parities allow a link."""
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-        chosen = rows_of.withColumn("r", rank).where(F.col("r") <= first + count).where(F.col("r") > first)
+        chosen = members.withColumn("r", rank).where(F.col("r") <= first + count).where(F.col("r") > first)
+        chosen = join_small(chosen, open_rows.select("sig").distinct(), "sig", "left_semi").join(parities(), "node")
         chosen = stage.write(chosen.select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
                                            F.col("comp").alias("other_comp"), F.col("bits").alias("other_bits")), f"members{first}")
         differ = " + ".join(f"bit_count(bits[{i}] ^ other_bits[{i}])" for i in range(PARITIES))
-        return (rows_of.join(chosen, "sig")
+        return (open_rows.join(parities(), "node").join(chosen, "sig")
                 .where("node <> other AND comp <> other_comp AND 100 * least(n, m) >= 80 * greatest(n, m)")
                 .where(f"9 * ({differ}) <= n + m")       # sets this similar differ in (n + m) / 9 features at most
                 .select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
@@ -332,13 +336,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def verified(some: DataFrame, name: str) -> DataFrame:
         fx, fy = (sets().select(F.col("node").alias(c), F.col("f").alias(f"f{c}")) for c in ("x", "y"))
         return stage.write(some.select("x", "y").join(fx, "x").join(fy, "y").select("x", "y", "fx", "fy")
-                           .mapInArrow(_linked, "x long, y long, linked boolean"), name)
+                           .mapInArrow(tidy(_linked), "x long, y long, linked boolean"), name)
 
     def with_comp(df: DataFrame, comp: DataFrame, col: str, out: str) -> DataFrame:
         return (df.join(comp.select(F.col("node").alias(col), F.col("root").alias(out)), col, "left")
                 .withColumn(out, F.coalesce(out, col)))
 
-    comp = _link_up(stage, pairs, hot, bits, verified, with_comp, against_members)
+    comp = _link_up(stage, pairs, hot, verified, with_comp, against_members)
     named = (classes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stage.write(named.join(least, "root").select("node", "component_id"), "labels")
@@ -348,7 +352,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
-def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, bits, verified, with_comp, against_members) -> DataFrame:
+def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp, against_members) -> DataFrame:
     """(node, root) of the links among the candidates."""
     if pairs.isEmpty() and hot.isEmpty():
         return stage.spark.createDataFrame([], "node long, root long")
@@ -376,28 +380,31 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, bits, verified, wit
         comp = merge(more, "cc2")
     if hot.isEmpty():
         return comp
-    bits_of = bits()
     # each set against some members of its most frequent hot signature
     often = hot.groupBy("sig").agg(F.count("*").alias("freq"))
-    one = (hot.join(often, "sig").groupBy("node").agg(F.max(F.struct("freq", "sig", "n")).alias("m"))
-           .select("node", "m.sig", "m.n").join(bits_of, "node"))
-    more = stage.write(against_members(stage.write(with_comp(one, comp, "node", "comp"), "one"), 0, PIVOTS), "one-more")
-    more = verified(more, "one-tested").where("linked")
+    one = (hot.join(often, "sig").groupBy("node").agg(F.max(F.struct("freq", "sig", "n")).alias("m")).select("node", "m.sig", "m.n"))
+    one = stage.write(with_comp(one, comp, "node", "comp"), "one")
+    more = verified(stage.write(against_members(one, one, 0, PIVOTS), "one-more"), "one-tested").where("linked")
     if not more.isEmpty():
         comp = merge(more, "cc3")
     stage.release("one", "one-more", "one-tested")
+    # The largest component of a signature is known by one of its sets: components only merge, so a set outside it
+    # now was outside before, and of two sets in different components one is outside: it meets the other in its turn.
+    named = stage.write(with_comp(hot, comp, "node", "comp"), "named")
+    parts = named.groupBy("sig", "comp").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
+    largest = parts.groupBy("sig").agg(F.max(F.struct("size", "rep")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    largest = stage.write(largest.select("sig", F.col("m.rep").alias("rep")), "largest")
     first, count = 0, PIVOTS
     while True:
-        # hot signatures whose members are still in several components
-        named = with_comp(hot, comp, "node", "comp")
-        split = stage.write(named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-                            .where((F.col("lo") != F.col("hi")) & (F.col("size") > first + (first > 0))).select("sig"), f"split{first}")
-        if split.isEmpty():
+        size = named.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > first).select("sig")
+        top = with_comp(largest.join(size, "sig", "left_semi"), comp, "rep", "top").select("sig", "top")
+        outside = stage.write(join_small(named, top, "sig").where("comp <> top").drop("top"), f"open{first}")
+        if outside.isEmpty():
             return comp
-        left = stage.write(join_small(named, split, "sig", "left_semi").join(bits_of, "node"), f"open{first}")
-        more = stage.write(against_members(left, first, count), f"more{first}")
+        more = stage.write(against_members(outside, named, first, count), f"more{first}")
         more = verified(more, f"tested{first}").where("linked")
         if not more.isEmpty():
             comp = merge(more, f"cc4-{first}")
-        stage.release(f"split{first}", f"open{first}", f"more{first}", f"tested{first}", f"members{first}")
+        stage.release(f"open{first}", f"more{first}", f"tested{first}", f"members{first}")
         first, count = first + count, 4 * count
+        named = stage.write(with_comp(hot, comp, "node", "comp"), f"named{first}")

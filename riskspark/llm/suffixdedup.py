@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import mix, powers, slices, text_bytes
+from riskspark.llm.arrowtext import mix, powers, slices, text_bytes, tidy
 from riskspark.llm.inducedsort import repeated_starts
 from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import DEFAULT_BROADCAST_BYTES
@@ -230,7 +230,7 @@ def _hot_marks(rows: DataFrame, picked: DataFrame, stage: Stage) -> DataFrame:
     """(rid, at, windows): the windows of pieces that repeat, counted by their hashes."""
     lists = picked.groupBy("rid").agg(F.collect_list(F.struct("at", "windows")).alias("pieces"))
     met = stage.write(_join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
-        _window_rows, "a long, b long, rid long, at int"), "windows")
+        tidy(_window_rows), "a long, b long, rid long, at int"), "windows")
     twice = stage.write(met.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
     found = stage.write(met.join(twice, ["a", "b"], "left_semi").select("rid", "at").distinct(), "found")
     run = F.col("at") - F.row_number().over(Window.partitionBy("rid").orderBy("at"))      # constant along a run
@@ -244,7 +244,7 @@ def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
     Segments are counted by content with partial counts per task, so a
     passage that very many texts share is no hot group; the joins back read
     written tables, which adaptive execution may split by a hot key."""
-    segs = stage.write(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_segment_rows, _SEG), "segments")
+    segs = stage.write(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(tidy(_segment_rows), _SEG), "segments")
     whole = (F.col("least") == 0) & (F.col("content") == 0)
     same = ["least", "content", "windows"]
     classes = stage.write(segs.where(~whole).groupBy(*same).agg(
@@ -262,9 +262,9 @@ def removal_marks(rows: DataFrame, stage: Stage) -> DataFrame:
         picked = picked.join(F.broadcast(hot), "least", "left_anti")
     lists = picked.groupBy("rid").agg(F.collect_list(F.struct("least", "at", "windows")).alias("pieces"))
     pieces = _join_lists(rows, lists, picked.count()).select("rid", "text", "pieces").mapInArrow(
-        _piece_rows, "least long, rid long, at int, piece binary")
+        tidy(_piece_rows), "least long, rid long, at int, piece binary")
     sorted_marks = pieces.repartition("least").sortWithinPartitions("least").mapInArrow(
-        _sort_shards, "rid long, at int, windows int")
+        tidy(_sort_shards), "rid long, at int, windows int")
     marks = (segs.where(whole).select("rid", "at", "windows").unionByName(equal.select("rid", "at", "windows"))
              .unionByName(sorted_marks))
     marks = stage.write(marks.unionByName(hot_marks) if crowded else marks, "marks")
@@ -319,7 +319,7 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                           + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
                           + [T.StructField("kept_sha256", T.StringType())])
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return _marked(slim, "doc_id", "text").mapInArrow(run, schema)
+    return _marked(slim, "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,4 +335,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays(cols, names=docs_names)
 
     docs_names = list(docs.columns)
-    return _marked(docs, doc_id, text).mapInArrow(run, docs.schema)
+    return _marked(docs, doc_id, text).mapInArrow(tidy(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import slices, text_bytes, text_slices, words
+from riskspark.llm.arrowtext import slices, text_bytes, text_slices, tidy, words
 
 CUT = 0.3
 WIDTHS = (1, 2, 3)
@@ -271,6 +271,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 out[i:j] = m.score(*features(data, offsets))
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[f.name for f in schema])
-        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
