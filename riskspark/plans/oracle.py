@@ -143,6 +143,10 @@ def post_queries() -> dict[str, str]:
             f"{Q.kw_hits(Q.merged('caption', 'transcript'), rules.KEYWORDS_V2)} AS kw_hits_v2 FROM posts"),
         "keyword_hits_join": with_posts(
             f"SELECT post_id, CAST({Q.kw_hits(Q.merged('caption', 'transcript'), rules.KEYWORDS_V2)} AS BIGINT) AS kw_hits FROM posts"),
+        "passage_posts": (
+            "SELECT k.keyword, count(d.doc_id) AS n_texts, min(d.doc_id) AS first_id "
+            "FROM (SELECT DISTINCT lower(text) AS keyword FROM benchmark WHERE length(text) > 0) k "
+            "LEFT JOIN documents d ON contains(lower(d.text), k.keyword) GROUP BY k.keyword"),
         "tag_base_risk": with_posts(f"SELECT post_id, hashtag, {Q.tag_base('hashtag')} AS base_risk FROM posts"),
         "text_risk": with_scored(
             "SELECT post_id, sentiment_v2, risk_score_v2 AS text_risk, risk_level_v2 AS risk_level FROM scored"),

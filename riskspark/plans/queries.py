@@ -67,6 +67,15 @@ def q_keyword_hits_join(spark, sf_dir):
     return keyword_hits_join(p, dictionary, "post_id", "text")
 
 
+def q_passage_posts(spark, sf_dir):
+    """Benchmark passages, whole, as a dictionary of long entries: posts that hold each of them."""
+    from riskspark.operators.keywords import keyword_posts
+    from riskspark.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return keyword_posts(docs, read_table(spark, sf_dir, "benchmark"), "doc_id", "text", keyword_col="text")
+
+
 def q_tag_base_risk(spark, sf_dir):
     p = _posts(spark, sf_dir)
     return p.select("post_id", "hashtag", SC.tag_base_risk("hashtag").alias("base_risk"))
@@ -193,6 +202,7 @@ def registry() -> dict[str, Query]:
         "posts_union": q_posts_union,
         "keyword_hits": q_keyword_hits,
         "keyword_hits_join": q_keyword_hits_join,
+        "passage_posts": q_passage_posts,
         "tag_base_risk": q_tag_base_risk,
         "text_risk": q_text_risk,
         "percent_label": q_percent_label,
