@@ -1,75 +1,219 @@
 """Frame statistics -> atmosphere scores of a video.
 
-Frames are rows (video_id, frame, width, height, gray ARRAY<INT>); frame
-numbers may have gaps.  Per frame, brightness (mean gray) and blur (variance of
-the 4-neighbour Laplacian, border reflected without repeating the edge) are
-array higher-order functions on the JVM.  Motion needs the previous frame:
-its number is found on (video_id, frame) alone, in chunks of frame numbers,
-then the pixels meet in an equi-join on (video_id, frame), shuffled on both
-keys, so a video with very many frames is spread over many tasks (a ``lag``
-window over the pixels would put the whole video into one).  Video means are partial + final
-aggregations.  As in the reproduced behaviour, the first frame only serves
-as the previous frame of the second; a single-frame video scores 0.
+Frames are rows (video_id, frame, width, height, pixels), pixels an array
+of whole numbers or bytes, row by row; gray values, or blue, green and red
+of each pixel in turn (``colour=True``).  Frame numbers may have gaps.
+
+Frames are dealt by (video, chunk of frame numbers), so a video of very
+many frames is spread over many tasks and pixels cross the network once.
+In its task a chunk streams by in frame order: NumPy kernels on Arrow
+batches give brightness (mean gray), blur (variance of the 4-neighbour
+Laplacian, border reflected without repeating the edge) and motion (mean
+absolute difference to the frame before).  A chunk yields one row of sums,
+with its first and last frame; only these meet their neighbours' by a join
+on (video, chunk).  As in the reproduced behaviour, the first frame only
+serves as the previous frame of the second; a single-frame video scores 0.
+
+A frame whose pixels are NULL, hold a NULL or do not fill width x height is
+left out as if it were not there; between frames of different size there
+is no motion; a video without a usable frame scores 0.  Spark's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds the frames of one
+batch and should fit the frames' size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import rules
 from riskspark.functions import numeric as N
+from riskspark.session import cut_lineage
+
+CHUNK = 256             # frame numbers in one chunk, and chunks in one window
+STEP_PIXELS = 1 << 20   # pixels worked on at once (one frame at least)
+# Weights of blue, green and red in a gray pixel, in 1/32768, rounded half up.
+BGR_WEIGHTS = (3735, 19235, 9798)
 
 
-CHUNK = 4096     # frame numbers in one window
-
-
-def _refl(i: Column, n: Column) -> Column:
-    r = F.when(i < 0, -i).when(i >= n, F.lit(2) * n - F.lit(2) - i).otherwise(i)
-    return F.greatest(F.lit(0), F.least(n - F.lit(1), r))
-
-
-def brightness(gray: Column) -> Column:
-    return F.aggregate(gray, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double") / F.size(gray).cast("double")
-
-
-def laplacian_values(gray: Column, width: Column, height: Column) -> Column:
-    """The Laplacian [0 1 0; 1 -4 1; 0 1 0] of every pixel (row-major)."""
-    def px(r, c):
-        return F.element_at(gray, (_refl(r, height) * width + _refl(c, width) + F.lit(1)).cast("int")).cast("double")
-
-    def lap(k):
-        r, c = F.floor(k / width).cast("int"), k % width
-        return px(r - 1, c) + px(r + 1, c) + px(r, c - 1) + px(r, c + 1) - F.lit(4.0) * px(r, c)
-
-    return F.transform(F.sequence(F.lit(0), width * height - F.lit(1)), lap)
-
+# -- kernels on arrays of frames (n, height, width) ---------------------------
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values).cast("double")
+def bgr_to_gray(bgr: np.ndarray) -> np.ndarray:
+    """Gray values of pixels whose last axis is blue, green, red."""
+    b, g, r = BGR_WEIGHTS
+    wide = bgr.astype(np.int64)
+    return (wide[..., 0] * b + wide[..., 1] * g + wide[..., 2] * r + (1 << 14)) >> 15
+
+
+def _mirror(n: int, step: int) -> np.ndarray:
+    """Index of each one's neighbour, mirrored at the border."""
+    i = np.abs(np.arange(n) + step)
+    return np.clip(np.where(i >= n, 2 * n - 2 - i, i), 0, n - 1)
+
+
+def blur_of(gray: np.ndarray) -> np.ndarray:
+    """Population variance of the Laplacian [0 1 0; 1 -4 1; 0 1 0] of each frame."""
+    _, h, w = gray.shape
+    x = gray.astype(np.float64)
+    lap = x[:, _mirror(h, -1)] + x[:, _mirror(h, 1)] + x[:, :, _mirror(w, -1)] + x[:, :, _mirror(w, 1)] - 4.0 * x
+    return lap.var(axis=(1, 2))
+
+
+def brightness_of(gray: np.ndarray) -> np.ndarray:
+    return gray.sum(axis=(1, 2)) / (gray.shape[1] * gray.shape[2])
 
 
-def with_blur(df: DataFrame, gray: str = "gray", out: str = "blur") -> DataFrame:
-    """Adds the population variance of the Laplacian (two passes, like
-    NumPy): the values and their mean are columns of their own, so each is
-    computed once per frame."""
-    return (df.withColumn("__lap", laplacian_values(F.col(gray), F.col("width"), F.col("height")))
-              .withColumn("__mu", _mean(F.col("__lap")))
-              .withColumn(out, F.aggregate(F.col("__lap"), F.lit(0.0),
-                                           lambda a, x: a + (x - F.col("__mu")) * (x - F.col("__mu")))
-                          / F.size(F.col("__lap")).cast("double"))
-              .drop("__lap", "__mu"))
-
-
-def mean_abs_diff(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    return F.aggregate(d, F.lit(0).cast("bigint"), lambda s, x: s + x).cast("double") / F.size(d).cast("double")
-
-
-def frame_stats(frames: DataFrame) -> DataFrame:
-    """(video_id, frame, brightness, blur) for every frame."""
-    b = with_blur(frames.select("video_id", "frame", "width", "height", "gray"))
-    return b.select("video_id", "frame", brightness(F.col("gray")).alias("brightness"), "blur")
+def motion_of(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    d = np.abs(after.astype(np.int64) - before)
+    return d.sum(axis=(1, 2)) / (d.shape[1] * d.shape[2])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, offsets, unusable) of a column of pixel lists or of bytes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        raw = [x or b"" for x in column.to_pylist()]
+        values, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        missing = np.zeros(len(values), bool)
+    else:
+        flat = column.flatten()
+        values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = flat.is_null().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    holes = np.concatenate([[0], np.cumsum(missing)])[offsets]
+    return values, offsets, np.diff(holes) > 0
+
+
+def _steps(batch: pa.RecordBatch, colour: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, gray frames): usable rows of equal size, in order, some at a time."""
+    channels = 3 if colour else 1
+    values, offsets, bad = _flat(batch.column(4))
+    w, h = (pc.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+    usable = np.flatnonzero((w > 0) & (h > 0) & (np.diff(offsets) == w * h * channels) & ~bad)
+    i = 0
+    while i < len(usable):
+        r = usable[i]
+        most = max(1, STEP_PIXELS // int(w[r] * h[r]))
+        same = (w[usable[i:i + most]] == w[r]) & (h[usable[i:i + most]] == h[r])
+        k = len(same) if same.all() else int(same.argmin())
+        rows = usable[i:i + k]
+        each = int(w[r] * h[r] * channels)
+        if rows[-1] - rows[0] == k - 1:
+            part = values[offsets[rows[0]]:offsets[rows[-1] + 1]]
+        else:
+            part = values[(offsets[rows][:, None] + np.arange(each)).ravel()]
+        gray = bgr_to_gray(part.reshape(k, h[r], w[r], 3)) if colour else part.reshape(k, h[r], w[r]).astype(np.int64)
+        yield rows, gray
+        i += k
+
+
+# -- tasks --------------------------------------------------------------------
+
+def _columns(frames: DataFrame, pixels: str) -> list[Column]:
+    return [F.col("video_id").cast("long").alias("video_id"), F.col("frame").cast("long").alias("frame"),
+            F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col(pixels).alias("pixels")]
+
+
+def frame_stats(frames: DataFrame, pixels: str = "gray", colour: bool = False) -> DataFrame:
+    """(video_id, frame, brightness, blur) of every usable frame; no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, gray in _steps(b, colour):
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(brightness_of(gray)),
+                                                  pa.array(blur_of(gray))], names=["video_id", "frame", "brightness", "blur"])
+
+    return frames.select(*_columns(frames, pixels)).mapInArrow(run, "video_id long, frame long, brightness double, blur double")
+
+
+_EDGE = "width int, height int, pixels binary"
+_CHUNK = (f"video_id long, chunk long, n long, n_motion long, blur double, brightness double, motion double, "
+          f"first_blur double, first_brightness double, first struct<{_EDGE}>, last struct<{_EDGE}>")
+_SUMS = ["n", "n_motion", "blur", "brightness", "motion"]
+
+
+class _Chunk:
+    """Sums over the frames of one chunk, its first frame apart."""
+
+    def __init__(self, key: tuple[int, int]):
+        self.key, self.sums, self.first, self.last, self.stats = key, [0, 0, 0.0, 0.0, 0.0], None, None, (None, None)
+
+    def add(self, gray: np.ndarray) -> None:
+        blur, bright = blur_of(gray), brightness_of(gray)
+        if self.first is None:
+            self.first, self.stats = gray[0], (float(blur[0]), float(bright[0]))
+            blur, bright = blur[1:], bright[1:]
+        moved = motion_of(gray[:-1], gray[1:])
+        if self.last is not None and self.last.shape == gray.shape[1:]:
+            moved = np.concatenate([motion_of(self.last[None], gray[:1]), moved])
+        for i, x in enumerate((len(blur), len(moved), blur.sum(), bright.sum(), moved.sum())):
+            self.sums[i] += x
+        self.last = gray[-1]
+
+    def row(self) -> tuple:
+        edge = lambda g: None if g is None else {"width": g.shape[1], "height": g.shape[0], "pixels": g.astype("<i4").tobytes()}
+        return (*self.key, *self.sums, *self.stats, edge(self.first), edge(self.last))
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    edge = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+    types = [pa.int64()] * 4 + [pa.float64()] * 5 + [edge] * 2
+    names = ["video_id", "chunk", *_SUMS, "first_blur", "first_brightness", "first", "last"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _chunks(frames: DataFrame, pixels: str, colour: bool, chunk: int) -> DataFrame:
+    """One row per chunk of frames; frames stream by in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Chunk | None = None
+        done: list[tuple] = []
+        for b in batches:
+            video, part = (b.column(i).to_pylist() for i in (0, 5))
+            keys = list(zip(video, part))
+            starts = [r for r in range(b.num_rows) if r == 0 or keys[r] != keys[r - 1]] + [b.num_rows]
+            for lo, hi in zip(starts, starts[1:]):
+                if now is None or now.key != keys[lo]:
+                    if now is not None:
+                        done.append(now.row())
+                    now = _Chunk(keys[lo])
+                for _, gray in _steps(b.slice(lo, hi - lo), colour):
+                    now.add(gray)
+                if len(done) * (now.last.size if now.last is not None else 1) >= STEP_PIXELS:
+                    yield _arrow(done)
+                    done = []
+            if done:
+                yield _arrow(done)
+                done = []
+        if now is not None:
+            yield _arrow([now.row()])
+
+    dealt = frames.select(*_columns(frames, pixels), F.floor(F.col("frame") / F.lit(chunk)).cast("long").alias("chunk"))
+    # of rows repeating a frame's number the order is that of a hash of their pixels
+    dealt = (dealt.withColumn("tie", F.xxhash64("pixels")).repartition("video_id", "chunk")
+             .sortWithinPartitions("video_id", "chunk", "frame", "tie").drop("tie"))
+    return dealt.mapInArrow(run, _CHUNK)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first frame of a chunk against the last one before: sums over that one frame."""
+    def image(x: dict) -> np.ndarray:
+        return np.frombuffer(x["pixels"], "<i4").reshape(1, x["height"], x["width"])
+
+    for b in batches:
+        video, blur, bright, first, before = (b.column(i) for i in range(5))
+        moved = []
+        for x, y in zip(before, first):
+            x, y = image(x.as_py()), image(y.as_py())
+            moved.append(float(motion_of(x, y)[0]) if x.shape == y.shape else None)
+        ones = np.ones(b.num_rows, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [video, pa.array(ones), pa.array([int(m is not None) for m in moved], pa.int64()), blur, bright,
+             pa.array([m or 0.0 for m in moved], pa.float64())], names=["video_id", *_SUMS])
 
 
 def atmosphere(blur: Column, bright: Column, motion: Column) -> dict[str, Column]:
@@ -97,46 +241,24 @@ def previous_frames(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.where("prev_frame IS NOT NULL").unionByName(across.where("prev_frame IS NOT NULL"))
 
 
-def frame_features(frames: DataFrame, places: int | None = 6) -> DataFrame:
+def frame_features(frames: DataFrame, places: int | None = 6, pixels: str = "gray", colour: bool = False,
+                   chunk: int = CHUNK) -> DataFrame:
     """(video_id, blur, brightness, motion, happy, sad, angry, calm)."""
-    follows = previous_frames(frames)
-    cur = frames.select("video_id", "frame", "width", "height", "gray")
-    prev = frames.select("video_id", F.col("frame").alias("prev_frame"), F.col("gray").alias("prev")).join(
-        follows, ["video_id", "prev_frame"])
-    pairs = cur.join(prev, ["video_id", "frame"], "inner")
-    per_frame = with_blur(pairs).select(
-        "video_id", "blur",
-        brightness(F.col("gray")).alias("brightness"),
-        mean_abs_diff(F.col("prev"), F.col("gray")).alias("motion"),
-    )
-    per_video = per_frame.groupBy("video_id").agg(
-        F.avg("blur").alias("blur"), F.avg("brightness").alias("brightness"), F.avg("motion").alias("motion"))
-    videos = frames.select("video_id").distinct()
-    v = videos.join(per_video, "video_id", "left").select(
-        "video_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("blur", "brightness", "motion")])
+    chunks = cut_lineage(_chunks(frames, pixels, colour, chunk))      # read three times below; the frames once
+    some = chunks.where("first IS NOT NULL")
+    follows = previous_frames(some.select("video_id", F.col("chunk").alias("frame")), chunk)
+    here = some.select("video_id", F.col("chunk").alias("frame"), "first_blur", "first_brightness", "first")
+    before = some.select("video_id", F.col("chunk").alias("prev_frame"), "last")
+    pairs = here.join(follows, ["video_id", "frame"]).join(before, ["video_id", "prev_frame"])
+    seams = pairs.select("video_id", "first_blur", "first_brightness", "first", "last").mapInArrow(
+        _across, "video_id long, n long, n_motion long, blur double, brightness double, motion double")
+    total = (chunks.select("video_id", *_SUMS).unionByName(seams)
+             .groupBy("video_id").agg(*[F.sum(c).alias(c) for c in _SUMS]))
+    mean = lambda c, n: F.when(F.col(n) > 0, F.col(c) / F.col(n)).otherwise(F.lit(0.0)).alias(c)
+    v = total.select("video_id", mean("blur", "n"), mean("brightness", "n"), mean("motion", "n_motion"))
     scores = atmosphere(F.col("blur"), F.col("brightness"), F.col("motion"))
     out = v.select("video_id", "blur", "brightness", "motion", *[e.alias(k) for k, e in scores.items()])
     if places is None:
         return out
     return out.select("video_id", *[N.round_half_away(F.col(c), places).alias(c)
                                     for c in ("blur", "brightness", "motion", "happy", "sad", "angry", "calm")])
-
-
-def blur_numpy(frames: DataFrame) -> DataFrame:
-    """Cross-check path: the same Laplacian variance with NumPy on Arrow
-    batches (``mapInPandas``), for frames whose size varies widely."""
-
-    def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            out = []
-            for g, w, h in zip(pdf["gray"], pdf["width"], pdf["height"]):
-                img = np.asarray(g, dtype="float64").reshape(int(h), int(w))
-                p = np.pad(img, 1, mode="reflect") if min(img.shape) > 1 else np.pad(img, 1, mode="edge")
-                lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4.0 * img
-                out.append(float(lap.var()))
-            yield pdf[["video_id", "frame"]].assign(blur=out)
-
-    return frames.select("video_id", "frame", "width", "height", "gray").mapInPandas(
-        run, "video_id long, frame long, blur double")

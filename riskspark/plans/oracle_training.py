@@ -78,8 +78,44 @@ fstats AS (
 )"""
 
 
+# 0.114 blue + 0.587 green + 0.299 red in 15 bits, of the pixel (x, 255 - x, (7 x + 3 k) % 256)
+GRAY_FRAMES = """
+gray_frames AS (
+  SELECT video_id, frame, width, height, list_transform(gray, lambda x, i:
+           (3735 * x + 19235 * (255 - x) + 9798 * ((7 * x + 3 * (i - 1)) % 256) + 16384) // 32768) AS gray
+  FROM frames
+),
+"""
+
+
 def training_queries() -> dict[str, str]:
     r6 = lambda x: f"round({x}, 6)"
+    features = f""",
+pairs AS (
+  SELECT f.video_id, f.blur, f.brightness,
+         CAST(list_sum(list_transform(range(1, len(f.gray) + 1), lambda i: abs(f.gray[i] - p.gray[i]))) AS DOUBLE)
+           / CAST(len(f.gray) AS DOUBLE) AS motion
+  FROM fstats f JOIN fstats p ON p.video_id = f.video_id AND p.frame = f.frame - 1
+  WHERE f.frame >= 1
+),
+pv AS (SELECT video_id, avg(blur) AS blur, avg(brightness) AS brightness, avg(motion) AS motion FROM pairs GROUP BY video_id),
+v AS (
+  SELECT a.video_id, coalesce(pv.blur, {d(0.0)}) AS blur, coalesce(pv.brightness, {d(0.0)}) AS bright,
+         coalesce(pv.motion, {d(0.0)}) AS motion
+  FROM (SELECT DISTINCT video_id FROM frames) a LEFT JOIN pv ON pv.video_id = a.video_id
+),
+s AS (
+  SELECT video_id, blur, bright, motion,
+         ({d(1.0)} - bright / {d(255.0)}) * {d(rules.ATMOS_SAD_DARK_W)} + (CASE WHEN blur < {d(rules.ATMOS_BLUR_CUTOFF)} THEN {d(1.0)} ELSE {d(0.0)} END) * {d(rules.ATMOS_SAD_BLUR_W)} AS sad,
+         CASE WHEN bright > 0 THEN bright / {d(255.0)} ELSE {d(0.0)} END AS happy,
+         CASE WHEN motion > 0 THEN motion / {d(rules.ATMOS_ANGRY_SCALE)} ELSE {d(0.0)} END AS angry
+  FROM v
+),
+t AS (SELECT *, {d(1.0)} - angry AS calm FROM s),
+tt AS (SELECT *, CASE WHEN happy + sad + angry + calm <= 0 THEN {d(1.0)} ELSE happy + sad + angry + calm END AS total FROM t)
+SELECT video_id, {r6('blur')} AS blur, {r6('bright')} AS brightness, {r6('motion')} AS motion,
+       {r6('happy / total')} AS happy, {r6('sad / total')} AS sad, {r6('angry / total')} AS angry,
+       {r6('calm / total')} AS calm FROM tt"""
     per = """
 per AS (
   SELECT c.cls, CAST((SELECT count(*) FROM preds WHERE label = c.cls) AS DOUBLE) AS sup,
@@ -116,30 +152,6 @@ UNION ALL SELECT 'weighted avg', {r6('CASE WHEN sum(sup) > 0 THEN sum(precision
        {r6('CASE WHEN sum(sup) > 0 THEN sum(recall * sup) / sum(sup) ELSE 0.0 END')},
        {r6('CASE WHEN sum(sup) > 0 THEN sum(f1 * sup) / sum(sup) ELSE 0.0 END')}, CAST(sum(sup) AS BIGINT) FROM m""",
         "frame_blur": "WITH " + STATS + f"\nSELECT video_id, frame, {r6('brightness')} AS brightness, {r6('blur')} AS blur FROM fstats",
-        "frame_features": "WITH " + STATS + f""",
-pairs AS (
-  SELECT f.video_id, f.blur, f.brightness,
-         CAST(list_sum(list_transform(range(1, len(f.gray) + 1), lambda i: abs(f.gray[i] - p.gray[i]))) AS DOUBLE)
-           / CAST(len(f.gray) AS DOUBLE) AS motion
-  FROM fstats f JOIN fstats p ON p.video_id = f.video_id AND p.frame = f.frame - 1
-  WHERE f.frame >= 1
-),
-pv AS (SELECT video_id, avg(blur) AS blur, avg(brightness) AS brightness, avg(motion) AS motion FROM pairs GROUP BY video_id),
-v AS (
-  SELECT a.video_id, coalesce(pv.blur, {d(0.0)}) AS blur, coalesce(pv.brightness, {d(0.0)}) AS bright,
-         coalesce(pv.motion, {d(0.0)}) AS motion
-  FROM (SELECT DISTINCT video_id FROM frames) a LEFT JOIN pv ON pv.video_id = a.video_id
-),
-s AS (
-  SELECT video_id, blur, bright, motion,
-         ({d(1.0)} - bright / {d(255.0)}) * {d(rules.ATMOS_SAD_DARK_W)} + (CASE WHEN blur < {d(rules.ATMOS_BLUR_CUTOFF)} THEN {d(1.0)} ELSE {d(0.0)} END) * {d(rules.ATMOS_SAD_BLUR_W)} AS sad,
-         CASE WHEN bright > 0 THEN bright / {d(255.0)} ELSE {d(0.0)} END AS happy,
-         CASE WHEN motion > 0 THEN motion / {d(rules.ATMOS_ANGRY_SCALE)} ELSE {d(0.0)} END AS angry
-  FROM v
-),
-t AS (SELECT *, {d(1.0)} - angry AS calm FROM s),
-tt AS (SELECT *, CASE WHEN happy + sad + angry + calm <= 0 THEN {d(1.0)} ELSE happy + sad + angry + calm END AS total FROM t)
-SELECT video_id, {r6('blur')} AS blur, {r6('bright')} AS brightness, {r6('motion')} AS motion,
-       {r6('happy / total')} AS happy, {r6('sad / total')} AS sad, {r6('angry / total')} AS angry,
-       {r6('calm / total')} AS calm FROM tt""",
+        "frame_features": "WITH " + STATS + features,
+        "colour_features": "WITH " + STATS.replace("AS lap FROM frames)", "AS lap FROM gray_frames)").replace("lapf AS", GRAY_FRAMES + "lapf AS", 1) + features,
     }

@@ -60,6 +60,10 @@ def q_frame_features(spark, sf_dir):
     return FR.frame_features(FX.frames(spark, sf_dir))
 
 
+def q_colour_features(spark, sf_dir):
+    return FR.frame_features(FX.colour_frames(spark, sf_dir), pixels="bgr", colour=True)
+
+
 def q_frame_blur(spark, sf_dir):
     s = FR.frame_stats(FX.frames(spark, sf_dir))
     return s.select("video_id", "frame", FR.N.round_half_away(F.col("brightness"), 6).alias("brightness"),
@@ -123,6 +127,7 @@ def registry():
         "class_report": q_class_report,
         "frame_features": q_frame_features,
         "frame_blur": q_frame_blur,
+        "colour_features": q_colour_features,
         "train_v1": q_train_v1,
         "train_v2": q_train_v2,
         "rf_scores": q_rf_scores,

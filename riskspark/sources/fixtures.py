@@ -197,6 +197,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gray frames as colour ones: of the k-th gray value x the pixel
+    (blue x, green 255 - x, red (7 x + 3 k) % 256), interleaved."""
+    gray = frames(spark, sf_dir)
+    pixel = F.transform("gray", lambda x, k: F.array(x, F.lit(255) - x, ((x * 7 + k * 3) % 256).cast("int")))
+    return gray.select("video_id", "frame", "width", "height", F.flatten(pixel).alias("bgr"))
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True labels: toxic -> HIGH; else low quality -> MEDIUM; else LOW."""
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
