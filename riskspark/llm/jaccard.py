@@ -278,7 +278,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     met = hot.groupBy("sig").agg(F.count("*").alias("freq"))
     rarest = F.row_number().over(Window.partitionBy("node", "slack").orderBy("freq", "sig"))
     hot = stage.write(hot.join(heavy, ["node", "slack"]).join(met, "sig").withColumn("r", rarest)
-                      .where(F.col("r") <= F.col("d") - F.greatest("slack", F.lit(1)) + 1).select("sig", "node", "n"), "hot")
+                      .where(F.col("r") <= F.col("d") - F.greatest("slack", F.lit(1)) + 1).select("sig", "node", "n", "freq"), "hot")
     # a link shares as many signatures as either set's slack, all but the hot ones here
     pairs = found.where("NOT hot").groupBy("x", "y", "a", "b").agg(F.count("*").alias("near"))
     for node, slack in (("x", "a"), ("y", "b")):
@@ -381,8 +381,7 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp
     if hot.isEmpty():
         return comp
     # each set against some members of its most frequent hot signature
-    often = hot.groupBy("sig").agg(F.count("*").alias("freq"))
-    one = (hot.join(often, "sig").groupBy("node").agg(F.max(F.struct("freq", "sig", "n")).alias("m")).select("node", "m.sig", "m.n"))
+    one = hot.groupBy("node").agg(F.max(F.struct("freq", "sig", "n")).alias("m")).select("node", "m.sig", "m.n")
     one = stage.write(with_comp(one, comp, "node", "comp"), "one")
     more = verified(stage.write(against_members(one, one, 0, PIVOTS), "one-more"), "one-tested").where("linked")
     if not more.isEmpty():
@@ -390,6 +389,7 @@ def _link_up(stage: Stage, pairs: DataFrame, hot: DataFrame, verified, with_comp
     stage.release("one", "one-more", "one-tested")
     # The largest component of a signature is known by one of its sets: components only merge, so a set outside it
     # now was outside before, and of two sets in different components one is outside: it meets the other in its turn.
+    hot = hot.drop("freq")
     named = stage.write(with_comp(hot, comp, "node", "comp"), "named")
     parts = named.groupBy("sig", "comp").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
     largest = parts.groupBy("sig").agg(F.max(F.struct("size", "rep")).alias("m"), F.count("*").alias("k")).where("k > 1")
