@@ -69,13 +69,14 @@ def q_tfidf_nnz(spark, sf_dir):
 def q_oov_summary(spark, sf_dir):
     """Vocabulary fitted on the labelled posts, applied to every post:
     documents with no known term, and distinct unknown terms (anti join)."""
-    c = corpus(spark, sf_dir)
-    train = labelled_corpus(spark, sf_dir)
-    vocab = FE.vocabulary(FE.term_counts(train, "post_id", "text", "word"), train.count(), FE.V2_WORD, "post_id")
-    counts = FE.term_counts(c, "post_id", "text", "word")
-    known = counts.join(vocab.select("term"), "term", "left_semi")
+    lab = FX.training_labels(spark, sf_dir).select("post_id").distinct().withColumn("labelled", F.lit(True))
+    c = corpus(spark, sf_dir).join(lab, "post_id", "left").withColumn("labelled", F.col("labelled").isNotNull())
+    counts = FE.term_counts(c, "post_id", "text", "word", keep=("labelled",))
+    stats = FE.oov_stats(counts, "labelled")        # first pass over the texts
+    vocab = FE.vocabulary_of(stats, c.where("labelled").select("post_id").count(), FE.V2_WORD).select("term").cache()
+    known = FE.join_small(counts, vocab, "term")    # second pass
     per_doc = FE.nnz(known.withColumnRenamed("tf", "weight"), c, "post_id")
-    unknown = counts.select("term").distinct().join(vocab.select("term"), "term", "left_anti")
+    unknown = stats.select("term").join(vocab, "term", "left_anti")
     # documents and unknown terms in one stream, summarised by one global
     # aggregation (one job; each side only fills its own column)
     rows = per_doc.select("nnz", F.lit(None).cast("string").alias("term")).unionByName(

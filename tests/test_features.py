@@ -92,14 +92,14 @@ def test_vocab_broadcast_and_no_shuffle_of_terms(spark):
     assert "hashpartitioning(doc, term" not in plan
 
 
-def test_top_terms_cutoff_path_matches_ordered_limit(spark):
-    """Many ties at the cut: the histogram path keeps exactly the rows of
+def test_top_terms_match_the_ordered_limit(spark):
+    """Many ties at the cut: the histogram keeps exactly the rows of
     orderBy(total desc, term).limit(k)."""
     rows = [(f"t{i:03d}", 1 + (i * 7) % 5) for i in range(300)]
     stats = spark.createDataFrame(rows, "term string, total long").repartition(6)
     for k in (1, 37, 120, 299, 300, 400):
         want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
-        got = [tuple(r) for r in FE.top_terms(stats, k, max_funnel_rows=0).collect()]
+        got = [tuple(r) for r in FE.top_terms(stats, k).collect()]
         assert sorted(got, key=lambda r: (-r[1], r[0])) == want
 
 
@@ -110,3 +110,15 @@ def test_first_trainer_uses_single_words(spark):
     both, one = 1.0, math.log(3 / 2) + 1
     n1, n2 = math.hypot(2 * one, both), math.hypot(both, one)
     assert got == pytest.approx({(1, "aa"): 2 * one / n1, (1, "bb"): both / n1, (2, "bb"): both / n2, (2, "cc"): one / n2})
+
+
+def test_oov_summary_reads_the_texts_twice(spark):
+    """One pass fills the written term table (vocabulary and unknown terms), one counts known terms by document."""
+    rows = [(1, "aa bb aa", True), (2, "bb cc x", False), (3, "dd", False), (4, "aa bb", True)]
+    df = spark.createDataFrame(rows, "doc long, text string, mine boolean")
+    stats = FE.oov_stats(FE.term_counts(df, "doc", "text", "word", max_words=1, keep=("mine",)), "mine")
+    assert {tuple(r) for r in stats.collect()} == {("aa", 2, 3), ("bb", 2, 2), ("cc", 0, 0), ("dd", 0, 0)}
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan     # read back, not computed again
+    vocab = FE.vocabulary_of(stats, 2, FE.TfidfSpec(min_df=1))
+    assert {r.term for r in vocab.collect()} == {"aa", "bb"}
