@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_tables() -> None:
+    for path, spark in list(_tables.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone; nothing can be deleted through it
+            return
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read
+    back: computed once, with the columns and statistics of a table.  The
+    files go when the Python process ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
