@@ -7,8 +7,6 @@ import __spark_entry__ as E
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF001
 
-HEAVY = {"tfidf_union", "tfidf_nnz", "oov_summary", "frame_features", "frame_blur", "char_ngrams"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -20,8 +18,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    if name in HEAVY:
-        pytest.skip("checked at sf0.01 by scripts/check_oracle.py")
     df = E.queries()[name](spark, SF001)
     got = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
