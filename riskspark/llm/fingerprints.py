@@ -1,8 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph
 digests, with DataFrame operations only.
 
-A text is cut into paragraphs (lines, long ones also at some sentence ends,
-chosen by the letter before the full stop, so equal passages are cut alike).
+A text is cut into paragraphs: lines, cut again at some sentence ends (chosen
+by the letter before the full stop, so equal passages are cut alike), and
+what is still longer than 96 code points every 96 from its start, whatever
+the script.  White space before a paragraph does not count.  An edit leaves
+every paragraph before it as it was, so a text of 192 code points or more
+shares one at least with its edited text.
 Each distinct digest goes into one cell of each of three tables; a cell keeps
 a count and the exclusive or of its digests and of their checks.  Sketches of
 one size subtract cell by cell; what remains is the difference of the two
@@ -10,8 +14,8 @@ texts, and peeling cells that hold one digest recovers it.  If that stops
 early the sketches are made twice as large, and again.  The recovered
 difference gives the likeness (shared digests over all digests).
 
-Defined cases: null and empty texts have an empty sketch; two empty texts
-are alike (1), an empty and another text are not (0); rows with a null id
+Defined cases: null, empty and blank texts have an empty sketch; two such texts
+are alike (1), such a one and another text are not (0); rows with a null id
 have no next document (the next text reads as empty) and are nobody's next;
 rows repeating an id are ordered by a hash of their text, equal rows count
 once in that order; other columns are not read; a table of one document is
@@ -26,14 +30,15 @@ from pyspark.sql import functions as F
 from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import join_small
 
-CUT = r"\n+|(?<=[aeiou][.!?])\s+"
+# from a character that is no white space to a sentence end, the line's end or the 96th code point
+PARAGRAPH = r"\S[^\n]{0,95}?(?:(?<=[aeiou][.!?])(?=\s)|(?=\n)|\z)|\S[^\n]{95}"
 ROUNDS = 20
 RETRIES = 3
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs."""
-    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), CUT), "")
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 

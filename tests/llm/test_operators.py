@@ -230,6 +230,23 @@ def test_page_text(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_mixing_without_own_ids(spark):
+    """Rows without an id, or sharing one, draw each for itself, copies of one text too."""
+    from riskspark.llm import mixing as M
+
+    rows = ([(None, "ten words " * 5, "a")] * 3000 + [(7, f"text {i} of one id", "b") for i in range(3000)]
+            + [(i + 10, "four words of text", "c") for i in range(3000)])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    per = M.plan(df, with_columns=True).groupBy("row.source").agg({"target": "max", "size": "sum"}).collect()
+    assert len(per) == 3
+    taken = {r[0]: (r[1], r[2]) for r in M.plan(df, with_columns=True).selectExpr(
+        "row.source AS s", "size * copies AS t", "target").groupBy("s").agg({"t": "sum", "target": "max"}).select(
+        "s", "sum(t)", "max(target)").collect()}
+    for t, target in taken.values():
+        assert t == pytest.approx(target, rel=0.06)
+    assert M.mix(df).count() == M.plan(df).selectExpr("sum(copies)").first()[0]
+
+
 def test_licenses(spark, odd, empty):
     from riskspark.llm import licenses as S
 
@@ -251,8 +268,20 @@ def test_fingerprints(spark, odd, empty):
 
     docs = table_of("documents").sort_values("doc_id").reset_index(drop=True)
     got = {r["doc_id"]: r for r in Q.op8_fingerprints(spark, SF001).collect()}
-    cut = re.compile(r"\n+|(?<=[aeiou][.!?])\s+", re.A)
-    parts = lambda t: {p for p in cut.split(t) if p}
+
+    def parts(t):
+        """Walks the text: a paragraph begins at a character that is no space and ends by the stated rule."""
+        out, start = set(), None
+        for k, c in enumerate(t):
+            if start is None and c not in " \t\n\x0b\f\r":
+                start = k
+            after = t[k + 1:k + 2]
+            stop = start is not None and k > 0 and t[k - 1] in "aeiou" and c in ".!?" and after in set(" \t\n\x0b\f\r")
+            if start is not None and (stop or after in ("", "\n") or k - start == 95):
+                out.add(t[start:k + 1])
+                start = None
+        return out
+
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     for k, (i, t) in enumerate(zip(docs.doc_id, docs.text)):
         nxt = docs.text[(k + 1) % len(docs)]
@@ -261,6 +290,12 @@ def test_fingerprints(spark, odd, empty):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["near_edited"] == pytest.approx(like(parts(t), parts(edited)))
         assert r["near_next"] == pytest.approx(like(parts(t), parts(nxt)))
+        assert r["near_edited"] > 0 or len(t) < 192 or len(t[:96].strip()) < 96
+    one_line = [(1, "盛世长安月色明" * 60), (2, " ".join(f"w{i}" for i in range(4000))), (3, "Ночь улица фонарь " * 40), (4, "x" * 5000)]
+    for r in B.report(spark.createDataFrame(one_line, "doc_id long, text string")).collect():
+        t, nxt = (one_line[k % 4][1] for k in (r["doc_id"] - 1, r["doc_id"]))
+        edited = t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]
+        assert r["near_edited"] == pytest.approx(like(parts(t), parts(edited))) and r["near_edited"] > 0 and r["near_next"] == 0
     by_text = collections.defaultdict(set)
     for i, t in zip(docs.doc_id, docs.text):
         by_text[t].add(got[i]["fingerprint"])
