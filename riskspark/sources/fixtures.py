@@ -216,3 +216,10 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("true_label"),
     )
 
+
+
+def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label): toxic -> NEG; else good quality -> POS; else NEU."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return lab.select("doc_id", F.when(F.col("toxic") == 1, F.lit("NEG")).when(F.col("quality") == 1, F.lit("POS"))
+                      .otherwise(F.lit("NEU")).alias("label"))
