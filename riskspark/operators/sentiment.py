@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from riskspark import rules
 from riskspark.functions import numeric as N
+from riskspark.functions import patterns as P
 from riskspark.functions import text as X
 
 
@@ -37,6 +38,26 @@ def lexicon_probabilities(text, profile: rules.RiskProfile = rules.DEFAULT_PROFI
     return F.array(n / total, F.lit(rules.LEXICON_PRIOR) / total, p / total)
 
 
+def lexicon_scorer(profile: rules.RiskProfile = rules.DEFAULT_PROFILE) -> Callable:
+    """The lexicon as a batch scorer's factory, for stages that run in Python."""
+    negative, positive = frozenset(profile.lexicon_negative), frozenset(profile.lexicon_positive)
+
+    def factory():
+        import numpy as np
+        import regex
+
+        word = regex.compile(P.TOKEN1)
+
+        def score(texts):
+            found = [set(word.findall(t.lower())) for t in texts]
+            counts = np.array([(len(w & negative), rules.LEXICON_PRIOR, len(w & positive)) for w in found], dtype="float64")
+            return counts.reshape(len(found), 3) / counts.reshape(len(found), 3).sum(axis=1, keepdims=True)
+
+        return score
+
+    return factory
+
+
 def batch_model_probabilities(text, make_scorer: Callable, logits: bool = False,
                               batch_size: int = 64) -> Column:
     """ARRAY<DOUBLE>[neg, neu, pos] from a batch model on Arrow batches.
