@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import mix, powers, slices, text_bytes, tidy
+from riskspark.llm.arrowtext import give_back, mix, powers, slices, text_bytes, tidy
 from riskspark.llm.inducedsort import repeated_starts
 from riskspark.llm.staging import Stage
 from riskspark.plans.strategy import DEFAULT_BROADCAST_BYTES
@@ -43,7 +43,7 @@ LENGTH = 200
 GRAM = 16
 SLICE_BYTES = 1 << 19
 MAX_WINDOWS = 4096      # windows in one segment; longer runs are cut
-SHARD_BYTES = 2 << 20   # bytes sorted together, unless one hash alone has more,
+SHARD_BYTES = 1 << 20   # bytes sorted together, unless one hash alone has more,
 HOT_BYTES = 4 << 20     # which is no hash with more than this
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
@@ -144,18 +144,23 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text, pieces) -> the bytes of each piece."""
+    def rows_of(part: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        least, rid, at, raw = zip(*part)
+        return pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(rid, pa.int64()), pa.array(at, pa.int32()),
+                                           pa.array(raw, pa.binary())], names=["least", "rid", "at", "piece"])
+
     for b in batches:
-        rid, least, at, windows, raw = [], [], [], [], []
-        for r, text, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            t = text.encode("utf-8", "surrogatepass")
-            for p in pieces:
-                rid.append(r)
-                least.append(p["least"])
-                at.append(p["at"])
-                windows.append(p["windows"])
-                raw.append(t[p["at"]:p["at"] + p["windows"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(rid, pa.int64()), pa.array(at, pa.int32()),
-                                          pa.array(raw, pa.binary())], names=["least", "rid", "at", "piece"])
+        part, size = [], 0
+        for r, text, pieces in zip(b.column(0), b.column(1), b.column(2)):
+            t = text.as_py().encode("utf-8", "surrogatepass")
+            for p in pieces.as_py():
+                part.append((p["least"], r.as_py(), p["at"], t[p["at"]:p["at"] + p["windows"] + LENGTH - 1]))
+                size += len(part[-1][3])
+                if size > SLICE_BYTES:
+                    yield rows_of(part)
+                    part, size = [], 0
+        if part:
+            yield rows_of(part)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +215,11 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["rid", "at", "windows"])
 
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for row in zip(*(map(pa.Scalar.as_py, b.column(i)) for i in range(4))):
             if size > SHARD_BYTES and row[0] != rows[-1][0]:
                 yield from sort_now(rows)
                 rows, size = [], 0
+                give_back()         # what the sort has freed, before the next shard
             rows.append(row)
             size += len(row[3])
     if rows:
