@@ -215,7 +215,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["rid", "at", "windows"])
 
     for b in batches:
-        for row in zip(*(map(pa.Scalar.as_py, b.column(i)) for i in range(4))):
+        for cells in zip(*(b.column(i) for i in range(4))):
+            row = tuple(x.as_py() for x in cells)
             if size > SHARD_BYTES and row[0] != rows[-1][0]:
                 yield from sort_now(rows)
                 rows, size = [], 0
