@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.arrowtext import slices, text_bytes, text_slices, tidy, words
+from riskspark.llm.arrowtext import give_back, slices, text_bytes, text_slices, tidy, words
 
 CUT = 0.3
 WIDTHS = (1, 2, 3)
@@ -253,8 +253,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
         return model
     idx, bounds = features(*text_bytes(pa.array(rows.pop("text"), pa.string())))     # the texts are not kept
     check = np.random.default_rng(2).random(len(rows)) < 0.25
-    return model.fit(idx, bounds, rows["toxic"].to_numpy(np.int64),
-                     [x if isinstance(x, str) else None for x in rows["lang"]], check)
+    model = model.fit(idx, bounds, rows["toxic"].to_numpy(np.int64),
+                      [x if isinstance(x, str) else None for x in rows["lang"]], check)
+    del rows, idx, bounds
+    give_back()         # the driver goes on with other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
