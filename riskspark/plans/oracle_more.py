@@ -108,6 +108,27 @@ view AS (
 fv AS (SELECT * FROM view WHERE hashtag IS NOT NULL)"""
 
 
+_MISSING = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', "
+            "'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')")
+
+
+def _csv_column(name: str, kind: str) -> str:
+    """Expected type of a column whose values are of a known kind."""
+    blank = f"{name} IS NULL" + (f" OR {name} IN {_MISSING}" if kind == "string" else "")
+    with_gaps = {"bigint": "double", "boolean": "string"}.get(kind, kind)
+    return (f"SELECT '{name}' AS \"column\", CASE WHEN count(*) = 0 THEN 'string' WHEN n_missing = count(*) THEN 'double' "
+            f"WHEN n_missing = 0 THEN '{kind}' ELSE '{with_gaps}' END AS kind, count(*) AS n_rows, n_missing "
+            f"FROM t, (SELECT count(*) FILTER ({blank}) AS n_missing FROM t) GROUP BY n_missing")
+
+
+CSV_TYPES = """WITH t AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.toxic = 1 AS toxic, l.quality / 2.0 AS half_quality, l.quality
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+""" + "\nUNION ALL ".join(_csv_column(c, k) for c, k in (
+    ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
+    ("toxic", "boolean"), ("half_quality", "double"), ("quality", "bigint")))
+
+
 def with_dash(body: str) -> str:
     return "WITH " + DASH + "\n" + body
 
@@ -171,6 +192,7 @@ FROM pages""",
         # DuckDB reads no page whose bytes are not valid UTF-8, so none of these fails
         "page_status": """SELECT nullif(split_part(split_part(url, '://', 2), '/', 1), '') AS host, count(*) AS n_pages,
        CAST(0 AS BIGINT) AS n_failed FROM pages GROUP BY 1""",
+        "csv_types": CSV_TYPES,
         "posts_head": with_dash(f"SELECT post_id, hashtag, caption, mm_risk_score, mm_level FROM view "
                                 f"ORDER BY post_id LIMIT {QM.HEAD_ROWS}"),
         "label_counts": O.with_scored("SELECT rf_risk_label AS label, count(*) AS n FROM scored GROUP BY rf_risk_label"),

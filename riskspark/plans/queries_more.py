@@ -23,6 +23,8 @@ TOP_K = 10
 HEAD_ROWS = 5
 PAGE_SIZE = 25
 PAGE = 3
+FIXTURE_COMMENT_SELECTOR = ("p", None, None)
+FIXTURE_HOST_PATTERN = r"^[a-z]+://([^/?#]*)"
 
 
 def _pages(spark, sf_dir):
@@ -122,6 +124,34 @@ def q_page_status(spark, sf_dir):
     return PG.page_status(_pages(spark, sf_dir))
 
 
+def q_page_comment_risk(spark, sf_dir):
+    """Comment risk of the stored pages: every page is a video, its host the
+    tag; pages that cannot be read count as not reached.  The given pages hold
+    no comment elements of the video site, so their paragraphs stand in."""
+    pages = _pages(spark, sf_dir)
+    failed = PG.page_failures(pages).select("page_id", F.lit("failed").alias("failed"))
+    host = F.regexp_extract("url", FIXTURE_HOST_PATTERN, 1)
+    videos = pages.select("page_id", host.alias("tag")).join(failed, "page_id", "left").select(
+        "tag", "page_id", F.coalesce("failed", F.lit("ok")).alias("status"))
+    return CM.comment_risk(videos, PG.page_comments(pages, FIXTURE_COMMENT_SELECTOR), video_col="page_id")
+
+
+def q_csv_types(spark, sf_dir):
+    """Documents and their labels written as CSV, and the types that the cells have."""
+    import uuid
+
+    from riskspark.session import ensure_checkpoint_dir
+    from riskspark.sources import inferred as IN
+    from riskspark.sources.tables import write_table
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"),
+                                                        (F.col("quality") / 2.0).alias("half_quality"), "quality")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    write_table(docs.join(labels, "doc_id", "left"), path, fmt="csv")
+    return IN.column_kinds(IN.read_raw(spark, path))
+
+
 def q_sentiment_fitted(spark, sf_dir):
     """Every document scored by a model learned from labelled documents:
     toxic ones are negative, other good ones positive, the rest neutral.  A
@@ -177,6 +207,8 @@ def registry():
         "dash_sorted": q_dash_sorted,
         "dash_page": q_dash_page,
         "page_status": q_page_status,
+        "page_comment_risk": q_page_comment_risk,
+        "csv_types": q_csv_types,
         "sentiment_fitted": q_sentiment_fitted,
         "posts_head": q_posts_head,
         "label_counts": q_label_counts,
