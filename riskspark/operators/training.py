@@ -257,22 +257,32 @@ def pipeline_v1(text_col: str = "text", label_col: str = "label", trees: int = r
 
 
 def pipeline_v2(text_col: str = "text", label_col: str = "label", trees: int = rules.V2_TREES,
-                max_depth: int = 30, seed: int = rules.SPLIT_SEED, weight_col: str | None = "weight"):
+                max_depth: int = 30, seed: int = rules.SPLIT_SEED, weight_col: str | None = "weight",
+                draw_by: str | None = None, groups: int = 4):
     """Word 1-2-gram (60,000) + char 3-5-gram (80,000) TF-IDF with sublinear tf
-    and idf + 1, assembled, and a
-    class-balanced random forest (weights n / (k * n_class))."""
+    and idf + 1, assembled, and a class-balanced random forest.
+
+    With ``draw_by``, the column that identifies a row, the trees are dealt in
+    ``groups`` with a bootstrap draw each, balanced on that draw
+    (``operators/forest.py``); without it the weights n / (k * n_class) of all
+    rows in ``weight_col`` are used for every tree."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import (CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                     StringIndexer, VectorAssembler)
 
+    from riskspark.operators.forest import BalancedForest
     from riskspark.operators.vectors import SmoothIdf, SublinearTf
 
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
-                                seed=seed, featureSubsetStrategy="sqrt",
-                               cacheNodeIds=True, checkpointInterval=10)
-    if weight_col:
-        rf.setWeightCol(weight_col)
+    if draw_by:
+        rf = BalancedForest(featuresCol="features", labelCol="label_idx", idCol=draw_by, numTrees=trees, groups=groups,
+                            maxDepth=max_depth, seed=seed)
+    else:
+        rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, maxDepth=max_depth,
+                                    seed=seed, featureSubsetStrategy="sqrt",
+                                    cacheNodeIds=True, checkpointInterval=10)
+        if weight_col:
+            rf.setWeightCol(weight_col)
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=P.TOKEN2, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="tokens", outputCol="bigrams"),
@@ -329,7 +339,8 @@ def rf_probability_columns(model, df: DataFrame, text_col: str, out: str = "__rf
     arr = vector_to_array(F.col("probability"))
     probs = [arr[labels.index(lab)] if lab in labels else F.lit(0.0) for lab in rules.LEVELS]
     keep = [c for c in df.columns]
-    more = [F.udf(lambda v: int(v.numNonzeros()), "long")("features").alias(nnz)] if nnz else []
+    held = F.unwrap_udt("features")["values"]
+    more = [F.size(F.filter(held, lambda x: x != 0)).cast("bigint").alias(nnz)] if nnz else []
     return scored.select(*keep, F.array(*probs).alias(out), *more)
 
 
