@@ -3,8 +3,9 @@
 All word pairs of every text are hashed and joined with the word pairs of
 the license templates.  A hit votes for the diagonal (its place in the text
 minus its place in the template); votes are combined per diagonal before
-anything is shuffled, neighbouring diagonals are merged, and a span counts
-when enough of the template's pairs were hit.  A short phrase needs all of
+anything is shuffled, diagonals at most ``MERGE`` apart are merged, and a
+span counts when enough of the template's pairs were hit; hits further apart
+never add up.  A short phrase needs all of
 them on one diagonal, that is, its words standing consecutively.
 
 Defined cases: null and empty texts have no words, no place and score 0;
@@ -47,7 +48,7 @@ NOTICES = (
 ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"    # GAP before capitals are lowered: as many words
 MAX_PAIRS = 62          # votes of a template fit the bits of a long
 SHARE = 0.6             # part of a notice's pairs that must be hit
-MERGE = 2               # diagonals this near belong to one span
+MERGE = 4               # a span's diagonals lie at most this far apart: words put in or left out
 
 
 def words(text: Column) -> Column:
@@ -87,12 +88,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             .withColumn("diagonal", F.col("pos") - F.col("at")))
     key = ["doc_id", "text_hash", "template", "label", "base", "pairs"]
     votes = hits.groupBy(*key, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"))
-    # neighbouring diagonals of a notice make one span; a phrase's diagonals stay apart
-    line = Window.partitionBy(*key).orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(line), F.lit(-1 << 40)) > MERGE)
-    spans = (votes.withColumn("span", F.sum(apart.cast("int")).over(line))
-             .groupBy(*key, "span").agg(F.bit_or("seen").alias("seen"), F.min("diagonal").alias("start"))
-             .withColumn("part", F.bit_count("seen") / F.col("pairs")))
+    # a notice's diagonals from one to MERGE further on make one span; a phrase's stay apart
+    near = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, MERGE)
+    seen = F.when(F.col("base"), F.col("seen")).otherwise(F.bit_or("seen").over(near))
+    spans = (votes.withColumn("merged", seen).withColumn("part", F.bit_count("merged") / F.col("pairs"))
+             .withColumnRenamed("diagonal", "start"))
     whole = F.col("base") & (F.col("part") == 1.0)
     named = whole | (~F.col("base") & (F.col("part") >= SHARE))
 
