@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from riskspark.llm.arrowtext import slices, text_bytes, tidy
 
 GROUP_BYTES = 1 << 20  # texts encoded at once
-STORE_BYTES = 24 << 20  # of distinct cuts kept by a task; the store is emptied beyond this
+STORE_BYTES = 8 << 20   # of distinct cuts kept by a task; the store is emptied beyond this
 CUT_BYTES = 200         # of a cut's entry besides its characters and ids
 
 
