@@ -117,8 +117,43 @@ def q_rf_check(spark, sf_dir):
     return out.select("post_id", SC.rf_label(*p).alias("rf_label_test"), SC.rf_score(*p).alias("rf_score_test"), "tfidf_nnz")
 
 
+def q_rf_confusion(spark, sf_dir):
+    """Confusion matrix of the fitted model on the rows it has not seen."""
+    return TN.confusion(q_train_v2(spark, sf_dir))
+
+
+def q_rf_report(spark, sf_dir):
+    """Precision, recall and f1 of the fitted model on the rows it has not seen."""
+    return TN.class_report(q_train_v2(spark, sf_dir))
+
+
+def q_rf_data_check(spark, sf_dir):
+    """The fitted model over all posts, in one table of (measure, value): rows
+    per predicted label, posts without a known term, and the summaries of
+    score and number of known terms."""
+    from pyspark import StorageLevel
+
+    from riskspark.operators import report as RP
+
+    out = q_rf_check(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    measure = lambda name, value: F.struct(name.alias("measure"), value.cast("double").alias("value"))
+    parts = [RP.value_counts(out, "rf_label_test").select(
+        measure(F.concat(F.lit("label "), F.coalesce("rf_label_test", F.lit("none"))), F.col("n")).alias("r"))]
+    parts.append(out.agg(F.count_if(F.col("tfidf_nnz") == 0).alias("n")).select(measure(F.lit("nnz == 0"), F.col("n")).alias("r")))
+    for col in ("rf_score_test", "tfidf_nnz"):
+        d = RP.describe(out, col)
+        parts.append(d.select(F.explode(F.array(*[measure(F.lit(f"{col} {c}"), F.col(c)) for c in d.columns])).alias("r")))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    return table.select("r.*")
+
+
 def registry():
     return {
+        "rf_confusion": q_rf_confusion,
+        "rf_report": q_rf_report,
+        "rf_data_check": q_rf_data_check,
         "train_prep": q_train_prep,
         "train_prep_v1": q_train_prep_v1,
         "split_plain": q_split_plain,
