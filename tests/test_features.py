@@ -122,3 +122,40 @@ def test_oov_summary_reads_the_texts_twice(spark):
     assert "regexp_extract_all" not in plan     # read back, not computed again
     vocab = FE.vocabulary_of(stats, 2, FE.TfidfSpec(min_df=1))
     assert {r.term for r in vocab.collect()} == {"aa", "bb"}
+
+
+def test_terms_are_summed_up_in_their_document(spark, monkeypatch):
+    """No term is a row before a document is summed up or weighed; rows of one
+    document count together, also where its terms take several rows."""
+    rows = [(1, "ab ab xyz"), (1, "ab abcd"), (None, "abc"), (None, "xyz"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    want = {}
+    for doc, text in rows:
+        want.setdefault(doc, Counter()).update(py_char_wb(text or ""))
+    monkeypatch.setattr(FE, "LIST_TERMS", 4)
+    lists = FE.term_lists(df, "doc", "text", "char")
+    out = FE.term_summary(lists, "doc")
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == {
+        d: (sum(c.values()), len(c), min(c), max(c)) for d, c in want.items() if c}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_alike_by_broadcast_and_by_shuffle(spark):
+    spec = FE.TfidfSpec("char", max_features=40, sublinear=True)
+    c = spark.createDataFrame([*enumerate(DOCS), (0, "the bb"), (None, "dddd a")], "doc long, text string")
+    w, vocab = FE.tfidf(c, "doc", "text", spec)
+    joined = FE.term_weights(c, "doc", "text", spec, vocab, max_bytes=0)
+    got, want = ({(r.doc, r.term): r.weight for r in d.collect()} for d in (w, joined))
+    assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-12)
+    assert "Window" not in w._jdf.queryExecution().executedPlan().toString()
+
+
+def test_char_counts_by_numbers_and_one_by_one():
+    """Texts of few characters are counted as numbers, others one by one; both follow the definition."""
+    for text in [*DOCS, "a", "aaaa aaa", "  x\u2003yé\x85z ", "日本 語語語語語語 🙂🙂🙂 a", "nul\0 a\0"]:
+        want = Counter(py_char_wb(text))
+        for alphabet in (1 << 12, 1):
+            got = Counter()
+            FE._count_chars(got, text.lower(), alphabet)
+            FE._count_chars(got, "", alphabet)
+            assert got == want
