@@ -10,7 +10,10 @@ non-empty parts of either set at least ``slack`` = parts - h are equal in
 the other: one signature per non-empty part finds every pair.  A part is
 three features or so, more than a chance common shingle fills.  A set too
 small or too unevenly spread for a slack of 1 adds each of its features as a
-signature.
+signature.  Of its signatures in a window each set leaves out the largest
+``spared(slack)``.  What two sets share loses only from its upper end, by the
+larger of their two numbers, so they still share as many as the slack that is
+left of either; that takes the place of the slack.
 
 Signatures shared by more than ``HOT`` sets come from common passages or
 large groups of copies.  As every link shares ``slack`` signatures, a set
@@ -46,7 +49,7 @@ from pyspark.sql import types as T
 from riskspark.llm.arrowtext import mix, powers, text_slices, tidy, words
 from riskspark.llm.graph import components
 from riskspark.llm.staging import Stage
-from riskspark.plans.strategy import join_small
+from riskspark.plans.strategy import DEFAULT_BROADCAST_BYTES, join_small, payload_bytes
 
 SHINGLE = 5
 RATIO = 1.5             # between the bounds of size windows
@@ -54,6 +57,7 @@ PARTS = 0.3             # parts of a window, over its upper bound; a quarter is
 HOT = 48
 PIVOTS = 32
 PARITIES = 16           # longs of parities
+SPARED = 0.5            # of a slack
 SLICE_BYTES = 1 << 20
 _BOUNDS = np.unique(np.ceil(np.power(RATIO, np.arange(80))).astype(np.int64))     # up to sets of 10^13 features
 _ORDER = powers(SHINGLE + 1, 0xD6E8FEB86659FD93)[1:]
@@ -85,6 +89,11 @@ def nodes(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def spared(slack: np.ndarray) -> np.ndarray:
+    """Signatures left out at each slack; neither these nor what is left of the slack fall as it rises."""
+    return np.floor(SPARED * np.maximum(slack, 0)).astype(np.int64)
+
+
 def signatures(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, text, slack) rows of non-empty sets."""
     sizes = np.diff(bounds)
@@ -110,7 +119,11 @@ def signatures(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
         text = np.searchsorted(first, full, side="right") - 1
         tag = (full - first[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (window[text].astype(np.uint64) << np.uint64(50))
         slack = np.bincount(text, minlength=len(rows)) - spoiled
-        out.append((mix(total[full] + tag).view(np.int64), rows[text], slack[text]))
+        sig = mix(total[full] + tag).view(np.int64)
+        order = np.lexsort((sig, text))
+        rank = np.arange(len(sig)) - np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(rows)))])[text]
+        kept = order[rank < (np.bincount(text, minlength=len(rows)) - spared(slack))[text]]
+        out.append((sig[kept], rows[text[kept]], (slack - spared(slack))[text[kept]]))
         thin = (slack < 1)[own]
         if thin.any():
             raw = mix(f[thin] + (window[own][thin].astype(np.uint64) << np.uint64(40)) + np.uint64(1))
@@ -334,7 +347,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 .select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
 
     def verified(some: DataFrame, name: str) -> DataFrame:
-        fx, fy = (sets().select(F.col("node").alias(c), F.col("f").alias(f"f{c}")) for c in ("x", "y"))
+        ends = some.select(F.col("x").alias("node")).unionByName(some.select(F.col("y").alias("node"))).distinct()
+        # few nodes go to the sets; for many the sets are dealt to the pairs as they are
+        held = sets().join(F.broadcast(ends), "node", "left_semi") if payload_bytes(ends) <= DEFAULT_BROADCAST_BYTES else sets()
+        fx, fy = (held.select(F.col("node").alias(c), F.col("f").alias(f"f{c}")) for c in ("x", "y"))
         return stage.write(some.select("x", "y").join(fx, "x").join(fy, "y").select("x", "y", "fx", "fy")
                            .mapInArrow(tidy(_linked), "x long, y long, linked boolean"), name)
 
