@@ -39,6 +39,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,9 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "text_hash", "n_shingles", "node"])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of a set that go to the same of ``parts`` partitions, in
+    one row: their exchange carries node, size and slack once for them all."""
     seen: set[int] = set()          # sets this task has emitted already: copies add nothing
     for b in batches:
         for _, f, at in _sets_of(b.column(0)):
@@ -162,14 +165,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, text, slack = signatures(f, at)
             use = fresh[text] if len(text) else np.zeros(0, bool)
             sig, text, slack = sig[use], text[use], slack[use]
-            for k in range(0, len(sig), 1 << 16):
-                s = slice(k, k + (1 << 16))
+            part = np.mod(sig, parts)
+            order = np.lexsort((part, slack, text))
+            sig, text, slack, part = sig[order], text[order], slack[order], part[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (text[1:] != text[:-1]) | (slack[1:] != slack[:-1]) | (part[1:] != part[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts, len(sig))
+            for k in range(0, len(starts), 1 << 15):
+                s, e = starts[k:k + (1 << 15)], ends[k:k + (1 << 15) + 1]
+                lists = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(sig[e[0]:e[-1]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[s]), pa.array(node[text[s]]), pa.array(n[text[s]].astype(np.int32)),
-                     pa.array(slack[s].astype(np.int32))], names=["sig", "node", "n", "slack"])
+                    [pa.array(part[s].astype(np.int32)), pa.array(node[text[s]]), pa.array(n[text[s]].astype(np.int32)),
+                     pa.array(slack[s].astype(np.int32)), lists], names=["part", "node", "n", "slack", "sigs"])
 
 
-_SIG = "sig long, node long, n int, slack int"
+_SIGS = "part int, node long, n int, slack int, sigs array<long>"
 _FOUND = "hot boolean, x long, y long, a int, b int"
 
 
@@ -282,7 +293,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     classes = stage.write(rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("row"))
                           .select("node", "row.*").withColumnRenamed("doc_id", "least"), "classes")
 
-    sigs = source.select("text").mapInArrow(tidy(_signatures), _SIG).repartition("sig").sortWithinPartitions("sig", "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sigs = (source.select("text").mapInArrow(tidy(partial(_signatures, parts=parts)), _SIGS).repartitionById(parts, "part")
+            .select(F.explode("sigs").alias("sig"), "node", "n", "slack").sortWithinPartitions("sig", "node"))
     found = stage.write(sigs.mapInArrow(tidy(_runs), _FOUND), "found")
     # a set with fewer hot signatures than its slack may do without them
     hot = found.where("hot").select(F.col("x").alias("sig"), F.col("y").alias("node"), F.col("a").alias("n"), F.col("b").alias("slack"))

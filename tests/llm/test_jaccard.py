@@ -1,6 +1,7 @@
 """The Jaccard join's signatures and the rows that carry its links."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskspark.llm import jaccard as J
@@ -60,3 +61,17 @@ def test_two_large_groups_sharing_a_passage(spark, monkeypatch):
             rows.append((100 * g + k, " ".join(passage + mine)))
     got = collected(J.join(spark.createDataFrame(rows, "doc_id long, text string")), *COLS)
     assert got == jaccard_components(rows)
+
+
+def test_signatures_of_a_partition_travel_in_one_row():
+    texts = [" ".join(f"w{k}x{i}" for i in range(40 + 90 * k)) for k in range(6)] + ["one two", "", None, "one two"]
+    column, parts = pa.array(texts), 5
+    got = list(J._signatures(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), parts))
+    rows = [r for b in got for r in b.to_pylist()]
+    ((_, f, at),) = J._sets_of(column)
+    node, n, (sig, text, slack) = J.nodes(f, at), np.diff(at), J.signatures(f, at)
+    want = {(int(s), int(node[t]), int(n[t]), int(k)) for s, t, k in zip(sig, text, slack)}
+    assert sorted((s, r["node"], r["n"], r["slack"]) for r in rows for s in r["sigs"]) == sorted(want)
+    assert all(s % parts == r["part"] for r in rows for s in r["sigs"])
+    keys = [(r["part"], r["node"], r["slack"]) for r in rows]
+    assert len(set(keys)) == len(keys) < len(want) / 2
