@@ -159,3 +159,49 @@ def test_char_counts_by_numbers_and_one_by_one():
             FE._count_chars(got, text.lower(), alphabet)
             FE._count_chars(got, "", alphabet)
             assert got == want
+
+
+def test_counts_of_many_documents_are_those_of_each():
+    """All n-grams of several documents by one sort; by halves, or one by one, where the characters are too many."""
+    wide = "".join(chr(0x4e00 + i) + " ab "[i % 4] for i in range(6000))
+    for docs in ([[d] for d in DOCS if d] + [["a b", "", "b a"], []], [["ab ab"], [wide], ["nul\0 a\0", "x"], ["ab"]], [["", "  "]]):
+        for got, one in ((FE.gram_counts(docs), FE._count_chars), (FE.word_counts(docs, 2), lambda c, t: FE._count_words(c, t, 2))):
+            terms, doc, number, tf = got
+            for k, texts in enumerate(docs):
+                want = Counter()
+                for t in texts:
+                    one(want, t)
+                mine = doc == k
+                assert {terms[i]: n for i, n in zip(number[mine].tolist(), tf[mine].tolist())} == want
+            assert (doc[1:] >= doc[:-1]).all()
+
+
+def test_weights_of_many_documents_are_those_of_each():
+    docs = [["a b a c"], ["x"], ["c c c"], []]
+    known = {"a": (4, 1.5), "c": (2, 0.5), "a b": (9, 2.0)}
+    for sublinear in (True, False):
+        counts = FE.word_counts(docs)
+        doc, number, weight = FE.known_weights(counts, known, sublinear)
+        for k, texts in enumerate(docs):
+            one = Counter()
+            for t in texts:
+                FE._count_words(one, t, 2)
+            mine = doc == k
+            assert dict(zip(number[mine].tolist(), weight[mine].tolist())) == pytest.approx(FE._weigh(one, known, sublinear))
+
+
+def test_totals_are_the_statistics_of_the_counts(spark, monkeypatch):
+    """Terms are summed up before they are rows; a document of many texts is counted once."""
+    data = [*enumerate(DOCS), (0, "the bb"), *[(None, f"dddd a{i % 3}") for i in range(9)], (77, "the"), (77, None)]
+    c = spark.createDataFrame(data, "doc long, text string")
+    for chars, texts in ((1 << 20, 1 << 8), (30, 4)):
+        monkeypatch.setattr(FE, "LIST_CHARS", chars)
+        monkeypatch.setattr(FE, "LIST_ROWS", texts)
+        for kind in ("word", "char"):
+            got, want = ({r.term: (r.df, r.total) for r in d.collect()} for d in (
+                FE.term_totals(c, "doc", "text", kind), FE.term_stats(FE.term_counts(c, "doc", "text", kind))))
+            mine: dict = {}
+            for doc, text in data:
+                mine.setdefault(doc, Counter()).update((py_word if kind == "word" else py_char_wb)(text or ""))
+            assert got == want == {t: (sum(t in d for d in mine.values()), sum(d[t] for d in mine.values()))
+                                   for t in set().union(*mine.values())}
